@@ -3,6 +3,10 @@
 ``items`` is the output of ``model.human_items``.  The published analysis joins it to products and users,
 which only drops items without a product or user id; ``analysed`` applies that as a filter, and the two
 joins run only where their columns are shown.
+
+``profile`` is the output of ``item_profile``: the items counted by band, hour and outcome.  It has a few
+hundred rows whatever the size of the log, and most frames are sums over it, so one pass over the items
+serves them all.
 """
 
 from __future__ import annotations
@@ -92,67 +96,81 @@ def funnel_stages(sessions: DataFrame, items: DataFrame) -> DataFrame:
     return stages.withColumn("pct_prev", pct(F.col("n"), before, 1))
 
 
-def price_band_mix(items: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    share = [
-        rate(F.col(o), F.col("items")).alias(f"pct_{name}")
-        for o, name in ((PURCHASED, "purchased"), (REMOVED, "removed"), (SILENT, "silent"))
-    ]
+def item_profile(items: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """Items and their value in cents by price band, start hour and outcome."""
     return (
         banded_items(items, rules)
+        .groupBy("price_band", "start_hour", "outcome")
+        .agg(F.count("*").alias("n"), F.sum(cents(F.col("price"))).alias("cents"))
+    )
+
+
+def _n(condition: Column | None = None) -> Column:
+    """Aggregate over a profile: the items that meet a condition."""
+    n = F.col("n") if condition is None else F.when(condition, F.col("n"))
+    return F.coalesce(F.sum(n), F.lit(0))
+
+
+def _outcome(name: str) -> Column:
+    return F.col("outcome") == name
+
+
+def price_band_mix(profile: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    shares = {"pct_purchased": PURCHASED, "pct_removed": REMOVED, "pct_silent": SILENT}
+    return (
+        profile.filter(F.col("price_band").isNotNull())
         .groupBy("price_band")
-        .agg(
-            F.count("*").alias("items"),
-            *[F.count_if(F.col("outcome") == o).alias(o) for o in (PURCHASED, REMOVED, SILENT)],
-        )
-        .filter(F.col("price_band").isNotNull() & (F.col("items") >= rules.band_min_items))
-        .select("price_band", "items", *share)
+        .agg(_n().alias("items"), *[_n(_outcome(o)).alias(o) for o in shares.values()])
+        .filter(F.col("items") >= rules.band_min_items)
+        .select("price_band", "items", *[rate(F.col(o), F.col("items")).alias(c) for c, o in shares.items()])
     )
 
 
-def _profile(items: DataFrame, hour: Column, rules: Rules) -> DataFrame:
+def hour_profile(profile: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """Items and abandoned share per start hour, for hours with enough items."""
     return (
-        analysed(items)
-        .groupBy(hour.alias("start_hour"))
-        .agg(F.count("*").alias("items"), F.count_if(lost()).alias("lost"))
+        profile.groupBy("start_hour")
+        .agg(_n().alias("items"), _n(lost()).alias("lost"))
         .filter(F.col("items") >= rules.hour_min_items)
         .select("start_hour", "items", rate(F.col("lost"), F.col("items")).alias("pct_abandoned"))
     )
 
 
-def hour_profile(items: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    return _profile(items, F.col("start_hour"), rules)
-
-
 def hour_profile_local(items: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """The hour profile on the clock of the shop instead of UTC."""
     local = F.convert_timezone(F.lit("UTC"), F.lit(rules.local_zone), F.col("session_start"))
-    return _profile(items, F.hour(local), rules)
+    per_hour = (
+        analysed(items)
+        .groupBy(F.hour(local).alias("start_hour"), "outcome")
+        .agg(F.count("*").alias("n"))
+    )
+    return hour_profile(per_hour, rules)
 
 
-def hour_highlight(items: DataFrame, rules: Rules = Rules()) -> DataFrame:
+def hour_highlight(profile: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """Hours whose rate lies the margin or more above the plain mean of the hourly rates."""
     mean = mean_rate(F.col("pct_abandoned"), Window.partitionBy())
     return (
-        hour_profile(items, rules)
+        hour_profile(profile, rules)
         .withColumn("mean_pct", mean)
         .withColumn("highlighted", F.col("pct_abandoned") >= F.col("mean_pct") + rules.hour_margin)
     )
 
 
-def price_band_spread(items: DataFrame, rules: Rules = Rules()) -> DataFrame:
+def price_band_spread(profile: DataFrame, rules: Rules = Rules()) -> DataFrame:
     unsold = F.lit(100.0) - F.col("pct_purchased")
     return (
-        price_band_mix(items, rules)
+        price_band_mix(profile, rules)
         .agg(F.min(unsold).alias("min_pct"), F.max(unsold).alias("max_pct"))
         .withColumn("spread", F.col("max_pct") - F.col("min_pct"))
     )
 
 
-def hour_extremes(items: DataFrame, rules: Rules = Rules()) -> DataFrame:
+def hour_extremes(profile: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """Hours with the highest and lowest rate, the earlier hour on ties."""
     hour, value = F.col("start_hour"), F.col("pct_abandoned")
     return (
-        hour_profile(items, rules)
+        hour_profile(profile, rules)
         .agg(
             F.max_by(hour, F.struct(value, -hour)).alias("peak_hour"),
             F.max(value).alias("peak_pct"),
@@ -164,6 +182,7 @@ def hour_extremes(items: DataFrame, rules: Rules = Rules()) -> DataFrame:
 
 
 def first_vs_returning(sessions: DataFrame, items: DataFrame) -> DataFrame:
+    """Abandoned share on a user's first visit and on later ones."""
     visit = F.when(F.col("session_no") == 1, "first").otherwise("returning")
     return (
         session_outcomes(items)
@@ -174,32 +193,26 @@ def first_vs_returning(sessions: DataFrame, items: DataFrame) -> DataFrame:
     )
 
 
-def outcome_share(items: DataFrame) -> DataFrame:
+def outcome_share(profile: DataFrame) -> DataFrame:
     """Shares of the three outcomes in percent, and silent per removed item."""
-    counts = analysed(items).agg(
-        F.count("*").alias("n"),
-        *[F.count_if(F.col("outcome") == o).alias(o) for o in (PURCHASED, REMOVED, SILENT)],
-    )
-    share = {o: F.coalesce(rate(F.col(o), F.col("n")), F.lit(0.0)) for o in (PURCHASED, REMOVED, SILENT)}
+    shares = {"pct_purchased": PURCHASED, "pct_removed": REMOVED, "pct_silent": SILENT}
+    counts = profile.agg(_n().alias("n"), *[_n(_outcome(o)).alias(o) for o in shares.values()])
     return counts.select(
-        share[PURCHASED].alias("pct_purchased"),
-        share[REMOVED].alias("pct_removed"),
-        share[SILENT].alias("pct_silent"),
+        *[F.coalesce(rate(F.col(o), F.col("n")), F.lit(0.0)).alias(c) for c, o in shares.items()],
         F.try_divide(SILENT, REMOVED).alias("silent_per_removed"),
     )
 
 
-def value_lost_vs_won(items: DataFrame) -> DataFrame:
-    value = cents(F.col("price"))
-    totals = analysed(items).agg(
-        money(F.coalesce(F.sum(F.when(lost(), value)), F.lit(0))).alias("lost_value"),
-        money(F.coalesce(F.sum(F.when(~lost(), value)), F.lit(0))).alias("won_value"),
-    )
+def value_lost_vs_won(profile: DataFrame) -> DataFrame:
+    def value(condition: Column) -> Column:
+        return money(F.coalesce(F.sum(F.when(condition, F.col("cents"))), F.lit(0)))
+
+    totals = profile.agg(value(lost()).alias("lost_value"), value(~lost()).alias("won_value"))
     return totals.withColumn("lost_per_won", F.col("lost_value") / F.greatest("won_value", F.lit(1.0)))
 
 
-def headline_abandonment(items: DataFrame) -> DataFrame:
-    return analysed(items).agg(rate(F.count_if(lost()), F.count("*")).alias("pct_abandoned"))
+def headline_abandonment(profile: DataFrame) -> DataFrame:
+    return profile.agg(rate(_n(lost()), _n()).alias("pct_abandoned"))
 
 
 def _visits_record(sessions: DataFrame, items: DataFrame) -> DataFrame:
@@ -211,18 +224,20 @@ def _visits_record(sessions: DataFrame, items: DataFrame) -> DataFrame:
     )
 
 
-def findings_summary(sessions: DataFrame, items: DataFrame, rules: Rules = Rules()) -> DataFrame:
+def findings_summary(
+    sessions: DataFrame, items: DataFrame, profile: DataFrame, rules: Rules = Rules()
+) -> DataFrame:
     """One row with every headline figure."""
     facts = analysis_scope(items).select(
         "items",
         "users",
-        _record(headline_abandonment(items)).alias("headline"),
-        _record(value_lost_vs_won(items)).alias("value"),
-        _record(outcome_share(items)).alias("share"),
+        _record(headline_abandonment(profile)).alias("headline"),
+        _record(value_lost_vs_won(profile)).alias("value"),
+        _record(outcome_share(profile)).alias("share"),
         _record(week1_return(sessions, rules)).alias("cohort"),
-        _record(price_band_spread(items, rules)).alias("band"),
+        _record(price_band_spread(profile, rules)).alias("band"),
         _record(_visits_record(sessions, items)).alias("visit"),
-        _record(hour_extremes(items, rules)).alias("hour"),
+        _record(hour_extremes(profile, rules)).alias("hour"),
     )
     return facts.select(
         "items",
@@ -246,12 +261,14 @@ def findings_summary(sessions: DataFrame, items: DataFrame, rules: Rules = Rules
     )
 
 
-def hypothesis_table(sessions: DataFrame, items: DataFrame, rules: Rules = Rules()) -> DataFrame:
+def hypothesis_table(
+    sessions: DataFrame, items: DataFrame, profile: DataFrame, rules: Rules = Rules()
+) -> DataFrame:
     """The three hypotheses with the two figures that judge each and their difference."""
     rows = [
-        ("price", price_band_spread(items, rules), "min_pct", "max_pct"),
+        ("price", price_band_spread(profile, rules), "min_pct", "max_pct"),
         ("first visit", _visits_record(sessions, items), "first_pct", "returning_pct"),
-        ("time of day", hour_extremes(items, rules), "trough_pct", "peak_pct"),
+        ("time of day", hour_extremes(profile, rules), "trough_pct", "peak_pct"),
     ]
     return reduce(DataFrame.unionByName, [
         df.select(

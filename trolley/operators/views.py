@@ -1,6 +1,7 @@
 """The dashboard views and the funnel file behind the first one.
 
-``export`` is the dashboard table, or any frame with its ``outcome`` and ``price_band``.
+The item views count rows of the dashboard table.  ``profile`` holds those counts already, be it
+``analysis.item_profile`` of the items or ``profile_of`` a dashboard file.
 """
 
 from __future__ import annotations
@@ -32,25 +33,30 @@ def view_funnel(funnel: DataFrame) -> DataFrame:
     )
 
 
-def view_outcome_split(export: DataFrame) -> DataFrame:
+def profile_of(export: DataFrame) -> DataFrame:
+    """Rows of a dashboard table by price band and outcome."""
+    return export.groupBy("price_band", "outcome").agg(F.count("*").alias("n"))
+
+
+def view_outcome_split(profile: DataFrame) -> DataFrame:
     return (
-        export.groupBy("outcome")
-        .agg(F.count("*").alias("items"))
+        profile.groupBy("outcome")
+        .agg(F.sum("n").alias("items"))
         .withColumn("outcome_order", position(F.col("outcome"), _OUTCOME_ORDER))
         .orderBy("outcome_order")
     )
 
 
 def view_price_band_pct(
-    export: DataFrame, bands: Sequence[str] | None = None, rules: Rules = Rules()
+    profile: DataFrame, bands: Sequence[str] | None = None, rules: Rules = Rules()
 ) -> DataFrame:
     """Share of each outcome within its price band, in percent; ``bands`` narrows the bands shown."""
     if bands is not None:
-        export = export.filter(F.col("price_band").isin(*bands))
+        profile = profile.filter(F.col("price_band").isin(*bands))
     in_band = F.sum("items").over(Window.partitionBy("price_band"))
     return (
-        export.groupBy("price_band", "outcome")
-        .agg(F.count("*").alias("items"))
+        profile.groupBy("price_band", "outcome")
+        .agg(F.sum("n").alias("items"))
         .withColumn("pct_of_band", rate(F.col("items"), in_band))
         .withColumn("band_order", position(F.col("price_band"), binned_bands(rules)))
         .orderBy(F.asc_nulls_last("band_order"), position(F.col("outcome"), _OUTCOME_ORDER))

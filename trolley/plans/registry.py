@@ -39,7 +39,8 @@ def star_of(spark: SparkSession, sf_dir: str) -> StarSchema:
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    arriving = streaming.read_stream_files(spark, sf_dir, "events.parquet")
+    # a pattern, since a stream takes a plain path for a folder and the table may be one file
+    arriving = streaming.read_stream_files(spark, f"{sf_dir}/event[s].parquet")
     root = staging_dir(spark)
     if root is None:
         raise RuntimeError("set spark.checkpoint.dir to a shared folder to run the streaming query")
@@ -94,26 +95,27 @@ _RECIPES: dict[str, Callable[[StarSchema], DataFrame]] = {
     "weekly_retention": lambda s: cohorts.weekly_retention(s.dim_session, s.rules),
     "week1_return": lambda s: cohorts.week1_return(s.dim_session, s.rules),
     "cohort_sizes": lambda s: cohorts.cohort_sizes(s.dim_session, s.rules),
-    "price_band_mix": lambda s: analysis.price_band_mix(s.human_items, s.rules),
-    "hour_profile": lambda s: analysis.hour_profile(s.human_items, s.rules),
+    "price_band_mix": lambda s: analysis.price_band_mix(s.item_profile, s.rules),
+    "hour_profile": lambda s: analysis.hour_profile(s.item_profile, s.rules),
     "hour_profile_local": lambda s: analysis.hour_profile_local(s.human_items, s.rules),
-    "hour_highlight": lambda s: analysis.hour_highlight(s.human_items, s.rules),
-    "price_band_spread": lambda s: analysis.price_band_spread(s.human_items, s.rules),
-    "hour_extremes": lambda s: analysis.hour_extremes(s.human_items, s.rules),
+    "hour_highlight": lambda s: analysis.hour_highlight(s.item_profile, s.rules),
+    "price_band_spread": lambda s: analysis.price_band_spread(s.item_profile, s.rules),
+    "hour_extremes": lambda s: analysis.hour_extremes(s.item_profile, s.rules),
     "first_vs_returning": lambda s: analysis.first_vs_returning(s.dim_session, s.human_items),
-    "outcome_share": lambda s: analysis.outcome_share(s.human_items),
-    "value_lost_vs_won": lambda s: analysis.value_lost_vs_won(s.human_items),
-    "headline_abandonment": lambda s: analysis.headline_abandonment(s.human_items),
-    "findings_summary": lambda s: analysis.findings_summary(s.dim_session, s.human_items, s.rules),
-    "hypothesis_table": lambda s: analysis.hypothesis_table(s.dim_session, s.human_items, s.rules),
+    "outcome_share": lambda s: analysis.outcome_share(s.item_profile),
+    "value_lost_vs_won": lambda s: analysis.value_lost_vs_won(s.item_profile),
+    "headline_abandonment": lambda s: analysis.headline_abandonment(s.item_profile),
+    "findings_summary": lambda s: analysis.findings_summary(
+        s.dim_session, s.human_items, s.item_profile, s.rules),
+    "hypothesis_table": lambda s: analysis.hypothesis_table(
+        s.dim_session, s.human_items, s.item_profile, s.rules),
     "dashboard_export": lambda s: analysis.dashboard_export(s.cart_item_base, s.rules),
     # dashboard
     "funnel_export": lambda s: views.funnel_export(analysis.funnel_stages(s.dim_session, s.human_items)),
     "view_funnel": lambda s: views.view_funnel(
         views.funnel_export(analysis.funnel_stages(s.dim_session, s.human_items))),
-    "view_outcome_split": lambda s: views.view_outcome_split(analysis.banded_items(s.human_items, s.rules)),
-    "view_price_band_pct": lambda s: views.view_price_band_pct(
-        analysis.banded_items(s.human_items, s.rules), rules=s.rules),
+    "view_outcome_split": lambda s: views.view_outcome_split(s.item_profile),
+    "view_price_band_pct": lambda s: views.view_price_band_pct(s.item_profile, rules=s.rules),
 }
 
 

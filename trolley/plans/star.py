@@ -36,7 +36,7 @@ class StarSchema:
 
     STORED = [
         "dim_brand", "dim_category", "dim_product", "dim_session", "dim_user",
-        "fact_cart_items", "bot_sessions", "human_items",
+        "fact_cart_items", "bot_sessions", "human_items", "item_profile",
     ]
 
     @classmethod
@@ -106,6 +106,10 @@ class StarSchema:
     def human_items(self) -> DataFrame:
         return self._table("human_items", lambda: model.human_items(self.fact_cart_items, self.dim_session))
 
+    @property
+    def item_profile(self) -> DataFrame:
+        return self._table("item_profile", lambda: analysis.item_profile(self.human_items, self.rules))
+
     @property
     def cart_item_base(self) -> DataFrame:
         return analysis.cart_item_base(self.human_items, self.dim_product, self.dim_user)

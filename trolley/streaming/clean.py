@@ -42,7 +42,6 @@ def start_clean(raw: DataFrame, path: str, checkpoint: str, delay: str = "1 hour
     )
 
 
-def read_stream_files(spark: SparkSession, path: str, glob: str) -> DataFrame:
-    """A stream over the Parquet files of a folder, with the schema of the files there now."""
-    schema = spark.read.option("pathGlobFilter", glob).parquet(path).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(path)
+def read_stream_files(spark: SparkSession, path: str) -> DataFrame:
+    """A stream over the Parquet files at a path, with the schema of the files there now."""
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
