@@ -38,9 +38,9 @@ def load_raw(spark: SparkSession, path: str, months: Iterable[str] | None = None
 
 def months_of(spark: SparkSession, path: str) -> list[str]:
     """Month names in a folder, in order.  Lists files; their content is not read."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv*").load(path).select("path")
-    names = files.select(F.regexp_extract("path", _MONTH_IN_PATH, 1).alias("m")).distinct().orderBy("m")
-    return [r.m for r in names.collect()]
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
+    names = files.select(F.regexp_extract("path", _MONTH_IN_PATH, 1).alias("m")).filter("m <> ''").distinct()
+    return sorted(r.m for r in names.collect())
 
 
 def load_dashboard_items(spark: SparkSession, path: str) -> DataFrame:
