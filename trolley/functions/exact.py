@@ -1,67 +1,65 @@
 """Rounding and money on integers, so that ties never depend on binary fractions.
 
 ``round(double, n)`` breaks ties differently in every engine.  Here money is summed as whole cents and
-every rounded figure is one integer division, half away from zero.
+every rounded figure is one integer division, half away from zero.  Arguments are SQL text, as a rule a
+column name; results are columns.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, WindowSpec, functions as F
+from pyspark.sql import Column, functions as F
 
-# Counts up to 10^18 times a scale of up to 10^8 stay exact in this type.
-_WIDE = "decimal(20,0)"
 
-
-def _div(a: Column, b: Column) -> Column:
-    return F.call_function("div", a, b)
+def _half_up(a: str, b: str) -> str:
+    """a / b as a whole number, half away from zero; NULL when b is 0.  b must not be negative."""
+    divisor = f"nullif(2 * ({b}), 0)"
+    return (
+        f"CASE WHEN ({a}) < 0 THEN -((({b}) - 2 * ({a})) DIV {divisor}) "
+        f"ELSE (({b}) + 2 * ({a})) DIV {divisor} END"
+    )
 
 
-def half_up(a: Column, b: Column) -> Column:
-    """a / b as a whole number, half away from zero; NULL when b is 0.  b must not be negative."""
-    b = F.nullif(b, F.lit(0))
-    doubled = F.abs(a) * 2 + b
-    size = _div(doubled, b * 2)
-    return F.when(a < 0, -size).otherwise(size)
+def half_up(a: str, b: str, scale: int = 1) -> Column:
+    """a / b rounded to a fraction of 1 / scale."""
+    whole = _half_up(f"({a}) * {scale}", b) if scale > 1 else _half_up(a, b)
+    return F.expr(f"({whole}) / {scale}D")
 
 
-def cents(price: Column) -> Column:
+def cents(price: str) -> Column:
     """A price as whole cents (BIGINT)."""
-    return F.floor(price * 100 + F.lit(0.5))
+    return F.expr(f"floor({price} * 100 + 0.5D)")
 
 
-def money(total_cents: Column) -> Column:
+def money(total_cents: str) -> Column:
     """Cents as an amount with two decimals."""
-    return total_cents / F.lit(100.0)
+    return F.expr(f"({total_cents}) / 100D")
 
 
-def whole_money(total_cents: Column) -> Column:
+def whole_money(total_cents: str) -> Column:
     """Cents rounded to whole units."""
-    return half_up(total_cents, F.lit(100)).cast("double")
+    return half_up(total_cents, "100")
 
 
-def mean_money(total_cents: Column, n: Column) -> Column:
+def mean_money(total_cents: str, n: str) -> Column:
     """Average amount, two decimals."""
-    return money(half_up(total_cents, n))
+    return F.expr(f"({_half_up(total_cents, n)}) / 100D")
 
 
-def pct(part: Column, whole: Column, places: int = 2) -> Column:
-    """100 * part / whole rounded to ``places`` decimals."""
-    scaled = part.cast(_WIDE) * F.lit(100 * 10**places).cast(_WIDE)
-    return half_up(scaled, whole.cast(_WIDE)).cast("double") / F.lit(float(10**places))
+def pct(part: str, whole: str, places: int = 2) -> Column:
+    """100 * part / whole rounded to ``places`` decimals, exact for counts up to 10^20."""
+    scaled = f"CAST({part} AS DECIMAL(20,0)) * {100 * 10**places}"
+    return F.expr(f"({_half_up(scaled, f'CAST({whole} AS DECIMAL(20,0))')}) / {10**places}D")
 
 
-def rate(part: Column, whole: Column) -> Column:
+def rate(part: str, whole: str) -> Column:
     """100 * part / whole, not rounded."""
-    return F.lit(100.0) * part / F.nullif(whole, F.lit(0))
+    return F.expr(f"100D * ({part}) / nullif({whole}, 0)")
 
 
-def mean_rate(rates: Column, over: WindowSpec | None = None) -> Column:
-    """Plain mean of a few rates, summed as millionths so that row order cannot matter.
+def mean_rate(rates: str, window: str = "") -> Column:
+    """Plain mean of a few rates, to the millionth, summed as integers so that row order cannot matter.
 
-    An aggregate, or with ``over`` a window function.
+    An aggregate, or with ``window`` (such as ``OVER ()``) a window function.
     """
-    micro = F.floor(rates * 1_000_000 + F.lit(0.5))
-    total, n = F.sum(micro), F.count(micro)
-    if over is not None:
-        total, n = total.over(over), n.over(over)
-    return half_up(total, n) / F.lit(1_000_000.0)
+    micro = f"floor({rates} * 1000000 + 0.5D)"
+    return F.expr(f"({_half_up(f'sum({micro}) {window}', f'count({micro}) {window}')}) / 1000000D")

@@ -93,7 +93,11 @@ def funnel_stages(sessions: DataFrame, items: DataFrame) -> DataFrame:
         for i, (stage, c) in enumerate(numbers, 1)
     ])))
     before = F.lag("n").over(Window.orderBy("stage_order"))
-    return stages.withColumn("pct_prev", pct(F.col("n"), before, 1))
+    return (
+        stages.withColumn("before", before)
+        .withColumn("pct_prev", pct("n", "before", 1))
+        .drop("before")
+    )
 
 
 def item_profile(items: DataFrame, rules: Rules = Rules()) -> DataFrame:
@@ -101,7 +105,7 @@ def item_profile(items: DataFrame, rules: Rules = Rules()) -> DataFrame:
     return (
         banded_items(items, rules)
         .groupBy("price_band", "start_hour", "outcome")
-        .agg(F.count("*").alias("n"), F.sum(cents(F.col("price"))).alias("cents"))
+        .agg(F.count("*").alias("n"), F.sum(cents("price")).alias("cents"))
     )
 
 
@@ -122,7 +126,7 @@ def price_band_mix(profile: DataFrame, rules: Rules = Rules()) -> DataFrame:
         .groupBy("price_band")
         .agg(_n().alias("items"), *[_n(_outcome(o)).alias(o) for o in shares.values()])
         .filter(F.col("items") >= rules.band_min_items)
-        .select("price_band", "items", *[rate(F.col(o), F.col("items")).alias(c) for c, o in shares.items()])
+        .select("price_band", "items", *[rate(o, "items").alias(c) for c, o in shares.items()])
     )
 
 
@@ -132,7 +136,7 @@ def hour_profile(profile: DataFrame, rules: Rules = Rules()) -> DataFrame:
         profile.groupBy("start_hour")
         .agg(_n().alias("items"), _n(lost()).alias("lost"))
         .filter(F.col("items") >= rules.hour_min_items)
-        .select("start_hour", "items", rate(F.col("lost"), F.col("items")).alias("pct_abandoned"))
+        .select("start_hour", "items", rate("lost", "items").alias("pct_abandoned"))
     )
 
 
@@ -149,10 +153,9 @@ def hour_profile_local(items: DataFrame, rules: Rules = Rules()) -> DataFrame:
 
 def hour_highlight(profile: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """Hours whose rate lies the margin or more above the plain mean of the hourly rates."""
-    mean = mean_rate(F.col("pct_abandoned"), Window.partitionBy())
     return (
         hour_profile(profile, rules)
-        .withColumn("mean_pct", mean)
+        .withColumn("mean_pct", mean_rate("pct_abandoned", "OVER ()"))
         .withColumn("highlighted", F.col("pct_abandoned") >= F.col("mean_pct") + rules.hour_margin)
     )
 
@@ -189,7 +192,7 @@ def first_vs_returning(sessions: DataFrame, items: DataFrame) -> DataFrame:
         .join(early_visits(sessions, 1), "user_session", "left")
         .groupBy(visit.alias("visit"))
         .agg(F.sum("lost").alias("lost"), F.sum("items").alias("items"))
-        .select("visit", rate(F.col("lost"), F.col("items")).alias("pct_abandoned"))
+        .select("visit", rate("lost", "items").alias("pct_abandoned"))
     )
 
 
@@ -198,21 +201,24 @@ def outcome_share(profile: DataFrame) -> DataFrame:
     shares = {"pct_purchased": PURCHASED, "pct_removed": REMOVED, "pct_silent": SILENT}
     counts = profile.agg(_n().alias("n"), *[_n(_outcome(o)).alias(o) for o in shares.values()])
     return counts.select(
-        *[F.coalesce(rate(F.col(o), F.col("n")), F.lit(0.0)).alias(c) for c, o in shares.items()],
+        *[F.coalesce(rate(o, "n"), F.lit(0.0)).alias(c) for c, o in shares.items()],
         F.try_divide(SILENT, REMOVED).alias("silent_per_removed"),
     )
 
 
 def value_lost_vs_won(profile: DataFrame) -> DataFrame:
     def value(condition: Column) -> Column:
-        return money(F.coalesce(F.sum(F.when(condition, F.col("cents"))), F.lit(0)))
+        return F.coalesce(F.sum(F.when(condition, F.col("cents"))), F.lit(0))
 
-    totals = profile.agg(value(lost()).alias("lost_value"), value(~lost()).alias("won_value"))
+    totals = profile.agg(value(lost()).alias("lost"), value(~lost()).alias("won")).select(
+        money("lost").alias("lost_value"), money("won").alias("won_value")
+    )
     return totals.withColumn("lost_per_won", F.col("lost_value") / F.greatest("won_value", F.lit(1.0)))
 
 
 def headline_abandonment(profile: DataFrame) -> DataFrame:
-    return profile.agg(rate(_n(lost()), _n()).alias("pct_abandoned"))
+    counts = profile.agg(_n(lost()).alias("lost"), _n().alias("n"))
+    return counts.select(rate("lost", "n").alias("pct_abandoned"))
 
 
 def _visits_record(sessions: DataFrame, items: DataFrame) -> DataFrame:

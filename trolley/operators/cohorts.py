@@ -83,7 +83,7 @@ def weekly_retention(sessions: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """
     starts = F.date_add(first_day(sessions), F.col("cohort") * rules.cohort_days)
     returns = [
-        rate(F.col(f"week_{k}"), F.col("week_0")).alias(f"week_{k}_pct")
+        rate(f"week_{k}", "week_0").alias(f"week_{k}_pct")
         for k in range(1, rules.last_cohort + 1)
     ]
     return cohort_counts(sessions, rules).select(
@@ -96,7 +96,7 @@ def weekly_retention(sessions: DataFrame, rules: Rules = Rules()) -> DataFrame:
 
 def week1_return(sessions: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """Plain mean of the week-1 shares of the cohorts that have one; NULL when none has."""
-    return weekly_retention(sessions, rules).agg(mean_rate(F.col("week_1_pct")).alias("week1_return_pct"))
+    return weekly_retention(sessions, rules).agg(mean_rate("week_1_pct").alias("week1_return_pct"))
 
 
 def cohort_sizes(sessions: DataFrame, rules: Rules = Rules()) -> DataFrame:

@@ -17,7 +17,7 @@ def _n(condition: Column) -> Column:
 
 
 def _total_cents(condition: Column | None = None) -> Column:
-    value = cents(F.col("price"))
+    value = cents("price")
     return F.sum(value if condition is None else F.when(condition, value))
 
 
@@ -78,7 +78,7 @@ def funnel_both_grains(sessions: DataFrame, items: DataFrame) -> DataFrame:
         "reached_purchase",
     )
     return by_session.unionByName(by_item).withColumn(
-        "pct_cart_to_purchase", pct(F.col("reached_purchase"), F.col("reached_cart"))
+        "pct_cart_to_purchase", pct("reached_purchase", "reached_cart")
     )
 
 
@@ -91,10 +91,10 @@ def abandonment_by_price_band(items: DataFrame, rules: Rules = Rules()) -> DataF
     return groups.select(
         "price_band",
         "cart_items",
-        pct(F.col(PURCHASED), F.col("cart_items")).alias("pct_purchased"),
-        pct(F.col(REMOVED), F.col("cart_items")).alias("pct_removed"),
-        pct(F.col(SILENT), F.col("cart_items")).alias("pct_silent"),
-        whole_money(F.col("lost_cents")).alias("abandoned_value"),
+        pct(PURCHASED, "cart_items").alias("pct_purchased"),
+        pct(REMOVED, "cart_items").alias("pct_removed"),
+        pct(SILENT, "cart_items").alias("pct_silent"),
+        whole_money("lost_cents").alias("abandoned_value"),
     ).orderBy("price_band")
 
 
@@ -120,9 +120,9 @@ def abandonment_by_brand(items: DataFrame, products: DataFrame, rules: Rules = R
         .select(
             "brand",
             "cart_items",
-            mean_money(F.col("cents"), F.col("cart_items")).alias("avg_price"),
-            pct(F.col("lost"), F.col("cart_items")).alias("pct_abandoned"),
-            whole_money(F.col("lost_cents")).alias("abandoned_value"),
+            mean_money("cents", "cart_items").alias("avg_price"),
+            pct("lost", "cart_items").alias("pct_abandoned"),
+            whole_money("lost_cents").alias("abandoned_value"),
         )
         .orderBy(F.desc("abandoned_value"), "brand")
         .limit(rules.brand_top)
@@ -134,7 +134,7 @@ def abandonment_by_hour(items: DataFrame, rules: Rules = Rules()) -> DataFrame:
         items.groupBy(F.col("start_hour").alias("hour_utc"))
         .agg(F.count("*").alias("cart_items"), _n(lost()).alias("lost"))
         .filter(F.col("cart_items") >= rules.hour_min_items)
-        .select("hour_utc", "cart_items", pct(F.col("lost"), F.col("cart_items")).alias("pct_abandoned"))
+        .select("hour_utc", "cart_items", pct("lost", "cart_items").alias("pct_abandoned"))
         .orderBy(F.desc("pct_abandoned"), "hour_utc")
     )
 
@@ -184,7 +184,7 @@ def abandonment_by_visit_stage(sessions: DataFrame, items: DataFrame) -> DataFra
             "visit_stage",
             "sessions",
             "cart_items",
-            pct(F.col("lost"), F.col("cart_items")).alias("pct_abandoned"),
+            pct("lost", "cart_items").alias("pct_abandoned"),
         )
         .orderBy("visit_stage")
     )
@@ -236,13 +236,11 @@ def outcome_split(items: DataFrame) -> DataFrame:
         F.sum("seconds_to_purchase").alias("seconds"),
         F.count("seconds_to_purchase").alias("waits"),
     )
-    total = F.sum("cart_items").over(Window.partitionBy())
-    tenths = half_up(F.col("seconds") * 10, F.col("waits") * 60)
     return groups.select(
         "outcome",
         "cart_items",
-        pct(F.col("cart_items"), total).alias("pct_of_all"),
-        mean_money(F.col("cents"), F.col("cart_items")).alias("avg_price"),
-        (tenths / F.lit(10.0)).alias("avg_mins_to_buy"),
-        whole_money(F.col("cents")).alias("total_value"),
+        pct("cart_items", "sum(cart_items) OVER ()").alias("pct_of_all"),
+        mean_money("cents", "cart_items").alias("avg_price"),
+        half_up("seconds", "waits * 60", 10).alias("avg_mins_to_buy"),
+        whole_money("cents").alias("total_value"),
     ).orderBy(F.desc("cart_items"), "outcome")

@@ -40,7 +40,7 @@ def dim_brand(events: DataFrame) -> DataFrame:
 def dim_product(events: DataFrame) -> DataFrame:
     per_brand = events.groupBy("product_id", "brand").agg(
         F.max("category_id").alias("category_id"),
-        F.sum(cents(F.col("price"))).alias("cents"),
+        F.sum(cents("price")).alias("cents"),
         F.min("price").alias("min_price"),
         F.max("price").alias("max_price"),
         F.count("*").alias("events"),
@@ -59,7 +59,7 @@ def dim_product(events: DataFrame) -> DataFrame:
             "product_id",
             "category_id",
             "brand",
-            mean_money(F.col("cents"), F.col("events")).alias("avg_price"),
+            mean_money("cents", "events").alias("avg_price"),
             "min_price",
             "max_price",
             "events",
@@ -147,11 +147,11 @@ def first_cart_events(events: DataFrame) -> DataFrame:
         .agg(
             F.max("user_id").alias("user_id"),
             F.min("event_time").alias("carted_at"),
-            F.sum(cents(F.col("price"))).alias("cents"),
+            F.sum(cents("price")).alias("cents"),
             F.count("*").alias("n"),
         )
         .select("user_session", "product_id", "user_id", "carted_at",
-                mean_money(F.col("cents"), F.col("n")).alias("price"))
+                mean_money("cents", "n").alias("price"))
     )
 
 
@@ -186,7 +186,7 @@ def fact_cart_items(events: DataFrame) -> DataFrame:
         .agg(
             F.max(F.when(cart, F.col("user_id"))).alias("user_id"),
             F.min(F.when(cart, F.col("event_time"))).alias("carted_at"),
-            F.sum(F.when(cart, cents(F.col("price")))).alias("cents"),
+            F.sum(F.when(cart, cents("price"))).alias("cents"),
             F.count_if(cart).alias("n"),
             F.min(F.when(_is_type(REMOVE) & known, F.col("event_time"))).alias("removed_at"),
             F.min(F.when(_is_type(PURCHASE) & known, F.col("event_time"))).alias("purchased_at"),
@@ -204,7 +204,7 @@ def fact_cart_items(events: DataFrame) -> DataFrame:
         "product_id",
         "user_id",
         "carted_at",
-        mean_money(F.col("cents"), F.col("n")).alias("price"),
+        mean_money("cents", "n").alias("price"),
         "removed_at",
         "purchased_at",
         outcome.alias("outcome"),

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from trolley.functions.clicks import binned_bands, position
 from trolley.functions.exact import rate
@@ -53,11 +53,10 @@ def view_price_band_pct(
     """Share of each outcome within its price band, in percent; ``bands`` narrows the bands shown."""
     if bands is not None:
         profile = profile.filter(F.col("price_band").isin(*bands))
-    in_band = F.sum("items").over(Window.partitionBy("price_band"))
     return (
         profile.groupBy("price_band", "outcome")
         .agg(F.sum("n").alias("items"))
-        .withColumn("pct_of_band", rate(F.col("items"), in_band))
+        .withColumn("pct_of_band", rate("items", "sum(items) OVER (PARTITION BY price_band)"))
         .withColumn("band_order", position(F.col("price_band"), binned_bands(rules)))
         .orderBy(F.asc_nulls_last("band_order"), position(F.col("outcome"), _OUTCOME_ORDER))
     )

@@ -54,13 +54,13 @@ class StarSchema:
             star._tables[name] = spark.read.parquet(f"{root}/{name}")
         return star
 
-    def _table(self, name: str, make: Callable[[], DataFrame], partition_by: str | None = None) -> DataFrame:
+    def _table(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
         with self._lock:
             if name not in self._tables:
                 df = make()
                 if self._root:
                     path = f"{self._root}/{name}"
-                    sinks.write_table(df, path, partition_by)
+                    sinks.write_table(df, path)
                     df = df.sparkSession.read.schema(df.schema).parquet(path)
                 self._tables[name] = df
             return self._tables[name]
@@ -68,7 +68,7 @@ class StarSchema:
     @property
     def collapsed_events(self) -> DataFrame:
         """All raw events without their copies, still with the rows that cleaning drops."""
-        return self._table("collapsed_events", lambda: cleaning.collapse_copies(self._raw()), "month")
+        return self._table("collapsed_events", lambda: cleaning.collapse_copies(self._raw()))
 
     @property
     def fact_events(self) -> DataFrame:
