@@ -5,7 +5,7 @@ import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from trolley.operators import analysis, conversion, views
+from trolley.operators import analysis, cleaning, conversion, views
 from trolley.plans import star
 from trolley.schema import EVENT_COLUMNS
 from trolley.sources import events_log, raw_log, sinks
@@ -66,6 +66,25 @@ def test_wrong_header(spark, folder):
         raw_log.load_raw(spark, folder, ["2019-Dec"]).collect()
 
 
+def test_the_first_copy_in_the_file_stays(spark, tmp_path):
+    """Copies that differ in price and brand, in one file and over the parts of one month."""
+    rows = [row(product=p, price=f"{9 - i}.50", brand=f"b{i}") for i in range(4) for p in range(300)]
+    write_month(tmp_path, "2019-Oct", rows)
+    parts = tmp_path / "2019-Nov.csv"
+    parts.mkdir()
+    for i in range(4):
+        write_month(parts, f"part-{i}", rows[i * 300:(i + 1) * 300])
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")  # many splits per file
+    try:
+        log = raw_log.load_raw(spark, str(tmp_path))
+        assert log.rdd.getNumPartitions() > 8
+        kept = cleaning.collapse_copies(log).select("month", "price", "brand", "copies").distinct()
+        assert sorted(tuple(r) for r in kept.collect()) == [
+            ("2019-Nov", 9.5, "b0", 4), ("2019-Oct", 9.5, "b0", 4)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_load_and_model(spark, folder, tmp_path):
     root = str(tmp_path / "out")
     built = star.load_and_model(spark, folder, root)

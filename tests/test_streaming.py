@@ -27,3 +27,14 @@ def test_copy_in_a_later_file(spark, raw, tmp_path):
         raw({}, {"user_session": None}, {"price": 0.0, "product_id": 2}).write.mode("append").parquet(src)
         clean.start_clean(clean.read_stream_files(spark, src), out, checkpoint).awaitTermination()
     assert spark.read.parquet(out).count() == 1
+
+
+def test_bounded_batches_equal_one(spark, tmp_path):
+    """Files that follow one another in time, read one per micro-batch."""
+    raw = events_log.raw_from_events(events_log.read_events(spark, f"{DATA}/sf0.001"))
+    src, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "checkpoint"))
+    for day in ("2024-01-0", "2024-01-1", "2024-01-2", "2024-01-3"):
+        raw.filter(F.col("event_time").startswith(day)).coalesce(1).write.mode("append").parquet(src)
+    stream = clean.read_stream_files(spark, src, max_files=1)
+    clean.start_clean(stream, out, checkpoint).awaitTermination()
+    assert spark.read.parquet(out).count() == 463

@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from trolley.functions.clicks import parse_event_time, positive
 from trolley.schema import EVENT_COLUMNS, EVENT_KEY
 
-# Which of several copies stays: the least in these columns, NULL first.
+# Which of several copies stays: the first to arrive where the log has that column, else the least in
+# these columns, NULL first.
 _TIE_BREAK = ["price", "category_id", "brand", "category_code"]
 
 
@@ -27,10 +28,11 @@ def collapse_copies(raw: DataFrame) -> DataFrame:
     NULL session gathers in one task.  Rows whose time cannot be parsed keep ``event_time`` NULL.
     """
     keys = [*EVENT_KEY, "month"]
+    order = ["arrival", *_TIE_BREAK] if "arrival" in raw.columns else _TIE_BREAK
     return (
         with_event_time(raw)
         .groupBy(*keys)
-        .agg(F.min(F.struct(*_TIE_BREAK)).alias("kept"), F.count("*").alias("copies"))
+        .agg(F.min(F.struct(*order)).alias("kept"), F.count("*").alias("copies"))
         .select(
             *[F.col(c) if c in EVENT_KEY else F.col(f"kept.{c}") for c in EVENT_COLUMNS],
             "copies",

@@ -10,7 +10,7 @@ from trolley.operators import analysis, cleaning, cohorts, conversion, model, vi
 from trolley.plans.star import StarSchema
 from trolley.schema import Rules
 from trolley.sources import events_log
-from trolley.sources.staging import staging_dir
+from trolley.sources.staging import fingerprint, staging_dir
 from trolley.streaming import clean as streaming
 
 # The sample has few brands and few items per hour; the published minima would leave nothing.
@@ -19,17 +19,10 @@ SAMPLE_RULES = Rules(brand_min_items=100, hour_min_items=20)
 _stars: dict[tuple, StarSchema] = {}
 
 
-def _fingerprint(spark: SparkSession, path: str) -> tuple:
-    """Size and age of the files at a path, so that changed data is never served from old tables."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(where)
-    return tuple(sorted((str(f.getPath()), f.getLen(), f.getModificationTime()) for f in found))
-
-
 def star_of(spark: SparkSession, sf_dir: str) -> StarSchema:
     """The star schema of a data folder, shared by all queries of the application."""
-    key = (spark.sparkContext.applicationId, sf_dir, _fingerprint(spark, f"{sf_dir}/events.parquet"))
+    data = fingerprint(spark, f"{sf_dir}/events.parquet")  # changed data gets tables of its own
+    key = (spark.sparkContext.applicationId, sf_dir, data)
     if key not in _stars:
         raw = events_log.read_events(spark, sf_dir)
         _stars[key] = StarSchema(

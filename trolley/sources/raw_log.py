@@ -25,15 +25,19 @@ def load_raw(spark: SparkSession, path: str, months: Iterable[str] | None = None
     """The raw log of the given months (all ``*.csv`` of the folder if none are given).
 
     The schema is declared and the header is checked against it.  A month whose file is absent raises
-    PATH_NOT_FOUND.  Text that stands for a missing value is read as NULL.
+    PATH_NOT_FOUND.  Text that stands for a missing value is read as NULL.  ``arrival`` orders rows as
+    they stand in the file: rows of one split are numbered in reading order, whichever task reads it.
     """
     files = [f"{path}/{m}.csv" for m in months] if months is not None else f"{path}/*.csv"
     log = spark.read.schema(RAW).option("header", True).option("enforceSchema", False).csv(files)
     texts = {
         c: F.when(~F.col(c).isin(MISSING_TEXT), F.col(c)) for c in _TEXT_COLUMNS
     }
+    arrival = F.struct(
+        "_metadata.file_name", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row")
+    )
     month = F.regexp_extract("_metadata.file_path", _MONTH_IN_PATH, 1)
-    return log.withColumn("month", month).withColumns(texts)
+    return log.withColumns({"month": month, "arrival": arrival}).withColumns(texts)
 
 
 def months_of(spark: SparkSession, path: str) -> list[str]:

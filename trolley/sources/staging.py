@@ -2,26 +2,51 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import os
 import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
-_LOCAL: list[tempfile.TemporaryDirectory] = []
-
 
 def staging_dir(spark: SparkSession) -> str | None:
-    """A fresh folder for derived tables.
+    """A fresh folder for derived tables, removed when the application ends.
 
     It lies in the shared folder that ``spark.checkpoint.dir`` names, so the tables outlive any executor.
     Where the setting is absent a local session takes a temporary folder; a cluster session gets None,
     and its tables stay lazy.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/trolley-{uuid.uuid4().hex}"
-    if spark.sparkContext.master.startswith("local"):
-        folder = tempfile.TemporaryDirectory(prefix="trolley-")
-        _LOCAL.append(folder)
-        return folder.name
-    return None
+    if not shared and spark.sparkContext.master.startswith("local"):
+        shared = tempfile.gettempdir()
+    if not shared:
+        return None
+    path = f"{shared.rstrip('/')}/trolley-{uuid.uuid4().hex}"
+    _remove_at_exit(spark, path)
+    return path
+
+
+def fingerprint(spark: SparkSession, path: str) -> tuple[int, int, int]:
+    """Bytes, files and age of what lies at a path: changes when the data does."""
+    where, files = _file_system(spark, path)
+    summary = files.getContentSummary(where)
+    return summary.getLength(), summary.getFileCount(), files.getFileStatus(where).getModificationTime()
+
+
+def _file_system(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _remove_at_exit(spark: SparkSession, path: str) -> None:
+    where, files = _file_system(spark, path)
+    owner = os.getpid()
+
+    def remove() -> None:
+        if os.getpid() == owner:
+            with contextlib.suppress(Exception):
+                files.delete(where, True)
+
+    atexit.register(remove)

@@ -42,6 +42,13 @@ def start_clean(raw: DataFrame, path: str, checkpoint: str, delay: str = "1 hour
     )
 
 
-def read_stream_files(spark: SparkSession, path: str) -> DataFrame:
-    """A stream over the Parquet files at a path, with the schema of the files there now."""
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+def read_stream_files(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
+    """A stream over the Parquet files at a path, with the schema of the files there now.
+
+    All new files form one micro-batch unless ``max_files`` bounds it.  Set the bound where files arrive
+    in the order of their events; otherwise a later batch may hold events that the watermark calls late.
+    """
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    return reader.parquet(path)
