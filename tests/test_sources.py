@@ -43,6 +43,8 @@ def test_months(spark, folder):
     assert {r.month: r["count"] for r in everything.groupBy("month").count().collect()} == {
         "2019-Nov": 1, "2019-Oct": 6}
     assert raw_log.load_raw(spark, folder, ["2019-Nov"]).count() == 1
+    november = everything.filter("month = '2019-Nov'")._jdf.queryExecution().executedPlan().toString()
+    assert november.count("FileScan csv") == 1
     with pytest.raises(AnalysisException, match="PATH_NOT_FOUND"):
         raw_log.load_raw(spark, folder, ["2019-Dec"])
 

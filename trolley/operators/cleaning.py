@@ -9,10 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from trolley.functions.clicks import parse_event_time, positive
-from trolley.schema import EVENT_COLUMNS, EVENT_KEY
+from trolley.schema import ARRIVAL, EVENT_COLUMNS, EVENT_KEY
 
-# Which of several copies stays: the first to arrive where the log has that column, else the least in
-# these columns, NULL first.
+# Which of several copies stays: the first to arrive where the log tells, else the least in these
+# columns, NULL first.
 _TIE_BREAK = ["price", "category_id", "brand", "category_code"]
 
 
@@ -28,7 +28,7 @@ def collapse_copies(raw: DataFrame) -> DataFrame:
     NULL session gathers in one task.  Rows whose time cannot be parsed keep ``event_time`` NULL.
     """
     keys = [*EVENT_KEY, "month"]
-    order = ["arrival", *_TIE_BREAK] if "arrival" in raw.columns else _TIE_BREAK
+    order = [c for c in ARRIVAL if c in raw.columns] + _TIE_BREAK
     return (
         with_event_time(raw)
         .groupBy(*keys)

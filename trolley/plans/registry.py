@@ -10,7 +10,8 @@ from trolley.operators import analysis, cleaning, cohorts, conversion, model, vi
 from trolley.plans.star import StarSchema
 from trolley.schema import Rules
 from trolley.sources import events_log
-from trolley.sources.staging import fingerprint, staging_dir
+from trolley.sources.files import fingerprint
+from trolley.sources.staging import staging_dir
 from trolley.streaming import clean as streaming
 
 # The sample has few brands and few items per hour; the published minima would leave nothing.

@@ -147,7 +147,7 @@ def load_months(
     months = list(months) if months is not None else raw_log.months_of(spark, src)
     if not months:
         raise ValueError(f"no monthly files in {src}")
-    for month in months:
+    for month in sorted(months):
         events = cleaning.collapse_copies(raw_log.load_raw(spark, src, [month]))
         sinks.write_table(events, path, "month", mode)
         mode = "append"

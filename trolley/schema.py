@@ -40,6 +40,9 @@ RAW = T.StructType([
 EVENT_KEY = ["event_time", "event_type", "product_id", "user_id", "user_session"]
 EVENT_COLUMNS = RAW.fieldNames()
 
+# Where a row stood in the files of its month, in this order; a log may lack any of them.
+ARRIVAL = ["arrival_file", "arrival_block", "arrival_row"]
+
 # The stored event table: unique events, the number of raw rows behind each, and the month as partition.
 COLLAPSED = T.StructType(
     [T.StructField("event_time", T.TimestampNTZType()), *RAW.fields[1:]]

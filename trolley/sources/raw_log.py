@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from trolley.schema import DASHBOARD, FUNNEL, MISSING_TEXT, RAW
+from trolley.sources.files import matching
 
-# {month}.csv, also compressed, or a folder {month}.csv with part files
-_MONTH_IN_PATH = r"/([^/]+)\.csv(?:\.[a-z0-9]+)?(?:/[^/]+)?$"
 _TEXT_COLUMNS = ["event_type", "category_code", "brand", "user_session"]
+_LONGEST_MISSING = max(map(len, MISSING_TEXT))
 
 
 def source_path(root: str, source: str = "sample") -> str:
@@ -21,30 +22,52 @@ def source_path(root: str, source: str = "sample") -> str:
     return os.path.join(root, source)
 
 
-def load_raw(spark: SparkSession, path: str, months: Iterable[str] | None = None) -> DataFrame:
-    """The raw log of the given months (all ``*.csv`` of the folder if none are given).
+def _present(name: str) -> Column:
+    """A text column with NULL for texts that mean a missing value; longer texts need no lookup."""
+    text = F.col(name)
+    return F.when((F.octet_length(text) > _LONGEST_MISSING) | ~text.isin(MISSING_TEXT), text)
 
-    The schema is declared and the header is checked against it.  A month whose file is absent raises
-    PATH_NOT_FOUND.  Text that stands for a missing value is read as NULL.  ``arrival`` orders rows as
-    they stand in the file: rows of one split are numbered in reading order, whichever task reads it.
-    """
-    files = [f"{path}/{m}.csv" for m in months] if months is not None else f"{path}/*.csv"
-    log = spark.read.schema(RAW).option("header", True).option("enforceSchema", False).csv(files)
-    texts = {
-        c: F.when(~F.col(c).isin(MISSING_TEXT), F.col(c)) for c in _TEXT_COLUMNS
+
+def _month_files(spark: SparkSession, path: str) -> dict[str, tuple[str, bool]]:
+    """Month -> file and whether it is a folder of parts: {month}.csv, also compressed."""
+    found = matching(spark, f"{path}/*.csv*")
+    return {name.split(".csv")[0]: (name, folder) for name, folder in found.items()}
+
+
+def months_of(spark: SparkSession, path: str) -> list[str]:
+    """Month names in a folder, in order."""
+    return sorted(_month_files(spark, path))
+
+
+def _load_month(spark: SparkSession, path: str, month: str, folder: bool) -> DataFrame:
+    log = spark.read.schema(RAW).option("header", True).option("enforceSchema", False).csv(path)
+    arrival = {
+        "arrival_block": F.col("_metadata.file_block_start"),
+        "arrival_row": F.monotonically_increasing_id(),
     }
-    arrival = F.struct(
-        "_metadata.file_name", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row")
+    if folder:
+        arrival["arrival_file"] = F.col("_metadata.file_name")
+    return log.withColumns(
+        {c: _present(c) for c in _TEXT_COLUMNS} | {"month": F.lit(month)} | arrival
     )
-    month = F.regexp_extract("_metadata.file_path", _MONTH_IN_PATH, 1)
-    return log.withColumns({"month": month, "arrival": arrival}).withColumns(texts)
 
 
-def months_of(spark: SparkSession, path: str) -> list[str]:
-    """Month names in a folder, in order.  Lists files; their content is not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
-    names = files.select(F.regexp_extract("path", _MONTH_IN_PATH, 1).alias("m")).filter("m <> ''").distinct()
-    return sorted(r.m for r in names.collect())
+def load_raw(spark: SparkSession, path: str, months: Iterable[str] | None = None) -> DataFrame:
+    """The raw log of the given months (all of the folder if none are given).
+
+    The schema is declared and the header is checked against it.  A month whose file is absent raises
+    PATH_NOT_FOUND.  Each month is a scan of its own with a constant ``month``, so a filter on it drops
+    the other scans from the plan.  The ``arrival`` columns order rows as they stand in the month's files:
+    rows of one split are numbered in reading order, whichever task reads it.
+    """
+    files = _month_files(spark, path)
+    months = list(months) if months is not None else sorted(files)
+    if not months:
+        raise ValueError(f"no monthly files in {path}")
+    named = [(m, *files.get(m, (f"{m}.csv", False))) for m in months]
+    mixed = any(folder for _, _, folder in named)
+    parts = [_load_month(spark, f"{path}/{name}", month, mixed) for month, name, _ in named]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def load_dashboard_items(spark: SparkSession, path: str) -> DataFrame:

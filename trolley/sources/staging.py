@@ -10,6 +10,8 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+from trolley.sources.files import file_system
+
 
 def staging_dir(spark: SparkSession) -> str | None:
     """A fresh folder for derived tables, removed when the application ends.
@@ -28,20 +30,8 @@ def staging_dir(spark: SparkSession) -> str | None:
     return path
 
 
-def fingerprint(spark: SparkSession, path: str) -> tuple[int, int, int]:
-    """Bytes, files and age of what lies at a path: changes when the data does."""
-    where, files = _file_system(spark, path)
-    summary = files.getContentSummary(where)
-    return summary.getLength(), summary.getFileCount(), files.getFileStatus(where).getModificationTime()
-
-
-def _file_system(spark: SparkSession, path: str):
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
 def _remove_at_exit(spark: SparkSession, path: str) -> None:
-    where, files = _file_system(spark, path)
+    where, files = file_system(spark, path)
     owner = os.getpid()
 
     def remove() -> None:
