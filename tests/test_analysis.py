@@ -92,7 +92,8 @@ def test_unknown_event_types_are_counted(events, sessions):
 
 
 def test_first_and_returning(sessions, items):
-    visits = sessions({"user_session": "a"}, {"user_session": "b", "session_start": at("10:00:00")})
+    visits = sessions({"user_session": "a", "n_carts": 1},
+                      {"user_session": "b", "n_carts": 1, "session_start": at("10:00:00")})
     table = items({"user_session": "a"}, {"user_session": "b", "outcome": "purchased"})
     found = {r.visit: r.pct_abandoned for r in analysis.first_vs_returning(visits, table).collect()}
     assert found == {"first": 100.0, "returning": 0.0}

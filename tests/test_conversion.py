@@ -55,7 +55,8 @@ def test_brands_are_ranked_and_limited(spark, items):
 
 def test_visit_stages(sessions, items):
     visits = sessions(*[
-        {"user_session": f"s{i}", "session_start": at(f"2019-10-{i:02d} 09:00:00")} for i in range(1, 9)])
+        {"user_session": f"s{i}", "session_start": at(f"2019-10-{i:02d} 09:00:00"), "n_carts": int(i not in (3, 7))}
+        for i in range(1, 9)])
     carted = items(*[{"user_session": f"s{i}"} for i in (1, 2, 4, 5, 6, 8)],
                    {"user_session": "s8", "product_id": None, "outcome": "purchased"})
     found = {r.visit_stage: (r.sessions, r.cart_items, r.pct_abandoned)

@@ -148,17 +148,18 @@ def test_exports(spark, tmp_path):
 
     s = star_of(spark, f"{DATA}/sf0.01")
     export = analysis.dashboard_export(s.cart_item_base, s.rules)
-    sinks.write_csv(export, str(tmp_path / "dashboard"))
-    back = raw_log.load_dashboard_items(spark, str(tmp_path / "dashboard"))
+    star.export_dashboard(s, str(tmp_path))
+    back = raw_log.load_dashboard_items(spark, str(tmp_path / "dashboard_cart_items"))
     assert back.exceptAll(export).count() == 0 and back.count() == 809
     assert {r.weekday for r in back.select("weekday").distinct().collect()} >= {"Monday", "Sunday"}
     split = views.view_outcome_split(views.profile_of(back)).collect()
     assert [tuple(r) for r in split] == [tuple(r) for r in views.view_outcome_split(s.item_profile).collect()]
 
-    funnel = views.funnel_export(analysis.funnel_stages(s.dim_session, s.human_items))
-    sinks.write_csv(funnel, str(tmp_path / "funnel"))
     read = raw_log.load_funnel(spark, str(tmp_path / "funnel"))
     assert [r.Events for r in views.view_funnel(read).collect()] == [1832, 809, 203]
+    findings = spark.read.option("header", True).csv(str(tmp_path / "findings")).first()
+    assert findings["items"] == "809"
+    assert spark.read.option("header", True).csv(str(tmp_path / "hypotheses")).count() == 3
 
 
 def test_session_zone_does_not_matter(spark):

@@ -140,17 +140,18 @@ def abandonment_by_hour(items: DataFrame, rules: Rules = Rules()) -> DataFrame:
 
 
 def early_visits(sessions: DataFrame, last: int) -> DataFrame:
-    """The first ``last`` sessions of every user that are not bots, numbered.
+    """Carting sessions among the first ``last`` sessions of every user that are not bots, numbered.
 
     The bound on the row number lets Spark keep only ``last`` rows per user on each map task, so a user
-    with very many sessions does not gather in one task.
+    with very many sessions does not gather in one task.  Sessions without a cart are numbered too, but
+    leave before the table meets the cart items.
     """
     in_time = Window.partitionBy("user_id").orderBy("session_start", "user_session")
     return (
         human_sessions(sessions)
-        .select("user_id", "user_session", "session_start")
+        .select("user_id", "user_session", "session_start", "n_carts")
         .withColumn("session_no", F.row_number().over(in_time))
-        .filter(F.col("session_no") <= last)
+        .filter((F.col("session_no") <= last) & (F.col("n_carts") > 0))
         .select("user_session", "session_no")
     )
 

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trolley.operators import analysis, cleaning, conversion, model
+from trolley.operators import analysis, cleaning, model, views
 from trolley.schema import COLLAPSED, Rules
 from trolley.sources import raw_log, sinks
 
@@ -174,3 +174,15 @@ def load_and_model(
     log = cleaning.cleaning_log(audit, retention, model.bot_audit(star.dim_session))
     sinks.write_csv(log, f"{root}/cleaning_log")
     return star
+
+
+def export_dashboard(star: StarSchema, path: str) -> None:
+    """The flat files of the dashboards and the record of headline figures, as CSV folders."""
+    stages = analysis.funnel_stages(star.dim_session, star.human_items)
+    figures = (star.dim_session, star.human_items, star.item_profile, star.rules)
+    sinks.write_csv(
+        analysis.dashboard_export(star.cart_item_base, star.rules), f"{path}/dashboard_cart_items"
+    )
+    sinks.write_csv(views.funnel_export(stages), f"{path}/funnel")
+    sinks.write_csv(analysis.findings_summary(*figures), f"{path}/findings")
+    sinks.write_csv(analysis.hypothesis_table(*figures), f"{path}/hypotheses")
