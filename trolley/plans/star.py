@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import threading
 from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,7 +33,7 @@ class StarSchema:
         self._root = root
         self.rules = rules
         self._tables: dict[str, DataFrame] = {}
-        self._lock = threading.RLock()
+        self._locks: dict[str, threading.Lock] = {}
 
     STORED = [
         "dim_brand", "dim_category", "dim_product", "dim_session", "dim_user",
@@ -55,7 +56,7 @@ class StarSchema:
         return star
 
     def _table(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-        with self._lock:
+        with self._locks.setdefault(name, threading.Lock()):
             if name not in self._tables:
                 df = make()
                 if self._root:
@@ -123,9 +124,14 @@ class StarSchema:
         return {name: getattr(self, name) for name in names}
 
     def build(self) -> StarSchema:
-        """Write every stored table now."""
-        for name in self.STORED:
-            getattr(self, name)
+        """Write every stored table now.
+
+        Once the events are there the tables need little of each other, so their jobs run side by side
+        and fill the slots that the last tasks of one leave idle.
+        """
+        self.collapsed_events
+        with ThreadPoolExecutor(4) as pool:
+            list(pool.map(lambda name: getattr(self, name), self.STORED))
         return self
 
     def register(self) -> None:
