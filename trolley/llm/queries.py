@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from trolley.llm import byte_bpe
+from trolley.llm import byte_bpe, html_text, language_id, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,8 +20,34 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    remainder = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
+    model = language_id.fit(docs, remainder != 2)
+    found = language_id.predict(docs, model)
+    return found.select("doc_id", (remainder == 2).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    # the url rides along as part of the id, so no join is needed
+    keyed = pages.select(F.struct("page_id", "url").alias("page"), "html")
+    text = html_text.extract(keyed, "page")
+    return text.select("page.page_id", "page.url", "text", F.length("text").cast("long").alias("n_chars"), "n_blocks")
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = quality.fit(docs, _table(spark, sf_dir, "labels"))
+    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return quality.judge(docs, model).select(*columns, "chance")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_language_id": op8_language_id,
+    "op9_html_text": op9_html_text,
+    "op10_quality": op10_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {}
