@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from trolley.llm import byte_bpe, html_text, language_id, quality, secret_scan
+from trolley.llm import byte_bpe, html_text, language_id, quality, secret_scan, url_filter
 from trolley.llm._store import stored
 
 
@@ -19,6 +19,20 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(stored(secret_scan.measure(docs, ["doc_id"]), "secrets"))
 
 
+URL_RULES = [
+    (url_filter.ALLOW, "com/"),
+    (url_filter.BLOCK, "example.com/en/"),
+    (url_filter.ALLOW, "www.example.com/en/"),
+    (url_filter.BLOCK, "net/es/"),
+    (url_filter.BLOCK, "net/fr/"),
+]
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return url_filter.judge(pages, url_filter.fit(pages, URL_RULES), URL_RULES)
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -51,6 +65,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
+    "op4_url_filter": op4_url_filter,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_language_id": op8_language_id,
     "op9_html_text": op9_html_text,
