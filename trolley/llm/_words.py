@@ -15,6 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 CHUNK_BYTES = 1 << 20
+CHUNK_TEXTS = 4096
 
 _BYTES = np.arange(256, dtype=np.uint8)
 IS_SPACE = (_BYTES == 0x20) | ((_BYTES >= 0x09) & (_BYTES <= 0x0D))
@@ -108,14 +109,14 @@ def texts_of(batch: pa.RecordBatch, column: int) -> list[bytes]:
 def chunks(
     batches: Iterator[pa.RecordBatch], text: int, limit: int = CHUNK_BYTES
 ) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Slices of the batches with at most ``limit`` bytes of text, or one longer text."""
+    """Slices of the batches with at most ``limit`` bytes of text and CHUNK_TEXTS texts, or one longer text."""
     for batch in batches:
         if not batch.num_rows:
             continue
         sizes = pc.binary_length(batch.column(text)).fill_null(0).to_numpy(zero_copy_only=False)
         total, start = 0, 0
         for i, size in enumerate(sizes):
-            if i > start and total + size > limit:
+            if i > start and (total + size > limit or i - start >= CHUNK_TEXTS):
                 part = batch.slice(start, i - start)
                 yield part, texts_of(part, text)
                 start, total = i, 0

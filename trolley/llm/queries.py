@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from trolley.llm import byte_bpe, decontam, html_text, language_id, quality, secret_scan, url_filter
+from trolley.llm import byte_bpe, decontam, html_text, language_id, ngram_join, quality, secret_scan, url_filter
 from trolley.llm._store import stored
 
 
@@ -19,6 +19,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(stored(secret_scan.measure(docs, ["doc_id"]), "secrets"))
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(_table(spark, sf_dir, "documents"), n=3, num=90, den=100)
+
+
 URL_RULES = [
     (url_filter.ALLOW, "com/"),
     (url_filter.BLOCK, "example.com/en/"),
@@ -70,6 +74,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
+    "op2_ngram_join": op2_ngram_join,
     "op4_url_filter": op4_url_filter,
     "op6_decontamination": op6_decontamination,
     "op7_byte_bpe": op7_byte_bpe,
