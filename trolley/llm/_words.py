@@ -123,3 +123,22 @@ def chunks(
             total += size + 1
         part = batch.slice(start)
         yield part, texts_of(part, text)
+
+
+_ASCII_MARK = (_BYTES < 128) & ~np.array([chr(b).isalnum() for b in range(256)])
+_PLAIN = np.where(_ASCII_MARK, 32, LOWER).astype(np.uint8).tobytes()
+
+
+def plain_words(texts: list[bytes]) -> tuple[Words, np.ndarray]:
+    """Words as runs of letters, digits and non-ASCII bytes, A-Z read as a-z, and their hashes."""
+    words = Words.of([t.translate(_PLAIN) for t in texts])
+    return words, words.hashes(lower=False)
+
+
+def look_up(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the keys that stand in a sorted table, and where they stand in it."""
+    if not len(table) or not len(keys):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+    hit = np.flatnonzero(table[at] == keys)
+    return hit, at[hit]

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from trolley.llm._words import IS_SPACE, LOWER, Words, chunks, fold
+from trolley.llm._words import chunks, fold, look_up, plain_words
 
 N = 3
 SEED_WINDOW = 3
@@ -36,15 +36,6 @@ LEAST_SHARE = 0.4
 #: Cells of one batch of alignments, which bounds its memory.
 BATCH_CELLS = 1 << 21
 
-_BYTE = np.arange(256)
-_NO_WORD = IS_SPACE | ((_BYTE < 128) & ~np.array([chr(b).isalnum() for b in range(256)]))
-_CLEAN = np.where(_NO_WORD, 32, LOWER).astype(np.uint8).tobytes()
-
-
-def _words(texts: list[bytes]) -> tuple[Words, np.ndarray]:
-    words = Words.of([t.translate(_CLEAN) for t in texts])
-    return words, words.hashes(lower=False)
-
 
 @dataclass
 class Benchmark:
@@ -59,7 +50,7 @@ class Benchmark:
 
     @classmethod
     def of(cls, ids: list, texts: list[bytes]) -> Benchmark:
-        words, hashes = _words(texts)
+        words, hashes = plain_words(texts)
         items = [hashes[a:b] for a, b in zip(words.first, words.first[1:])]
         kept = [i for i, item in enumerate(items) if len(item) >= MIN_WORDS]
         ids, items = [ids[i] for i in kept], [items[i] for i in kept]
@@ -92,15 +83,6 @@ def _table(entries: list[tuple[int, int]], items: list[np.ndarray]):
     return grams, np.append(first, len(order)), item[order], place[order]
 
 
-def _hits(grams: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions in ``found`` that hold a gram, and which."""
-    if not len(grams) or not len(found):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    at = np.minimum(np.searchsorted(grams, found), len(grams) - 1)
-    hit = np.flatnonzero(grams[at] == found)
-    return hit, at[hit]
-
-
 def _align(items: list[np.ndarray], windows: list[np.ndarray]) -> np.ndarray:
     """Best local alignment score of each pair; all pairs advance together, an item's word at a time."""
     rows, width = max(map(len, items)), max(map(len, windows))
@@ -129,11 +111,11 @@ def _align(items: list[np.ndarray], windows: list[np.ndarray]) -> np.ndarray:
 
 def _found(texts: list[bytes], bench: Benchmark) -> list[tuple[int, int, float]]:
     """(text, item, share) of every pair that reaches LEAST_SHARE."""
-    words, hashes = _words(texts)
+    words, hashes = plain_words(texts)
     if len(hashes) < N or not bench.items:
         return []
     windows = fold([hashes[j : len(hashes) - N + 1 + j] for j in range(N)])
-    hit, gram = _hits(bench.grams, windows)
+    hit, gram = look_up(bench.grams, windows)
     inside = words.doc[hit] == words.doc[hit + N - 1]
     hit, gram = hit[inside], gram[inside]
     if not len(hit):
@@ -177,9 +159,9 @@ def _counted(docs: DataFrame, bench: Benchmark, text_column: str) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(bench.grams), np.int64)
         for _, texts in chunks(batches, 0):
-            words, hashes = _words(texts)
+            words, hashes = plain_words(texts)
             grams, _ = words.ngrams(hashes, N)
-            _, which = _hits(bench.grams, grams)
+            _, which = look_up(bench.grams, grams)
             total += np.bincount(which, minlength=len(total))
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["gram", "n"])

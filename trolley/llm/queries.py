@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from trolley.llm import byte_bpe, decontam, html_text, language_id, ngram_join, quality, secret_scan, url_filter
+from trolley.llm import byte_bpe, decontam, html_text, language_id, ngram_join, quality, secret_scan, toxicity, url_filter
 from trolley.llm._store import stored
 
 
@@ -37,6 +37,11 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, url_filter.fit(pages, URL_RULES), URL_RULES)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.predict(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return decontam.contaminated(docs, decontam.index(docs, _table(spark, sf_dir, "benchmark")))
@@ -76,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_ngram_join": op2_ngram_join,
     "op4_url_filter": op4_url_filter,
+    "op5_toxicity": op5_toxicity,
     "op6_decontamination": op6_decontamination,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_language_id": op8_language_id,
