@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from trolley.llm import byte_bpe, decontam, html_text, language_id, ngram_join, quality, secret_scan, toxicity, url_filter
+from trolley.llm import byte_bpe, decontam, html_text, language_id, lm_score, ngram_join, quality, secret_scan, toxicity, url_filter
 from trolley.llm._store import stored
 
 
@@ -23,6 +23,11 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(_table(spark, sf_dir, "documents"), n=3, num=90, den=100)
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0
+    return lm_score.score(_table(spark, sf_dir, "documents"), held_out)
+
+
 URL_RULES = [
     (url_filter.ALLOW, "com/"),
     (url_filter.BLOCK, "example.com/en/"),
@@ -80,6 +85,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_ngram_join": op2_ngram_join,
+    "op3_lm_score": op3_lm_score,
     "op4_url_filter": op4_url_filter,
     "op5_toxicity": op5_toxicity,
     "op6_decontamination": op6_decontamination,
