@@ -189,6 +189,11 @@ def _tool(path: str, pattern: str) -> tuple[list[bytes], str, bytes]:
     return tokens, pattern, model_proto(tokens)
 
 
+def _id_lists(packed: list[bytes]) -> pa.Array:
+    offsets = np.cumsum([0, *(len(p) // 4 for p in packed)])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(packed), "<i4")))
+
+
 def encode(docs: DataFrame, path: str, pattern: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``id_column`` and the ids of each whole text (array of int; empty for null and empty texts).
 
@@ -200,10 +205,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_column: str = "doc_id",
         bpe = _encoder(*parts)
         for rows, texts in chunks(batches, 1):
             packed = bpe.encode([t.decode() for t in texts])
-            offsets = np.cumsum([0, *(len(p) // 4 for p in packed)])
-            values = pa.array(np.frombuffer(b"".join(packed), "<i4"))
-            ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
-            yield pa.RecordBatch.from_arrays([rows.column(0), ids], names=["id", "ids"])
+            yield pa.RecordBatch.from_arrays([rows.column(0), _id_lists(packed)], names=["id", "ids"])
 
     rows = docs.select(docs[id_column].alias("id"), docs[text_column].alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
@@ -225,29 +227,35 @@ def decode(encoded: DataFrame, path: str, pattern: str, id_column: str = "doc_id
     return rows.mapInArrow(run, f"id {kind}, data binary").withColumnRenamed("id", id_column)
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Per row: number of ids, digest of the ids and digest of the bytes they decode to.
+def round_trip(
+    docs: DataFrame, path: str, pattern: str, keep: list[str] | None = None, text_column: str = "text",
+    with_ids: bool = False,
+) -> DataFrame:
+    """Per row: the columns ``keep``, number of ids, digest of the ids and digest of the bytes they decode to.
 
-    One pass over the texts; neither ids nor decoded bytes leave the task.  Columns: ``id_column``,
-    n_tokens, ids_sha256 (of the ids as little-endian unsigned 32-bit integers) and decoded_sha256.
+    One pass over the texts; decoded bytes never leave the task, ids only where ``with_ids`` asks for them.
+    Columns: ``keep`` (doc_id), n_tokens, ids_sha256 (of the ids as little-endian unsigned 32-bit integers),
+    decoded_sha256 and, if asked for, ids.
     """
     parts = _tool(path, pattern)
+    keep = keep or ["doc_id"]
+    rows = docs.select(docs[text_column].alias("_llm_text"), *[docs[c] for c in keep])
+    names = [*keep, "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if with_ids else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _encoder(*parts)
-        for rows, texts in chunks(batches, 1):
+        for part, texts in chunks(batches, 0):
             packed = bpe.encode([t.decode() for t in texts])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    rows.column(0),
-                    pa.array([len(p) // 4 for p in packed], pa.int64()),
-                    pa.array([hashlib.sha256(p).hexdigest() for p in packed], pa.string()),
-                    pa.array([hashlib.sha256(bpe.decode(p)).hexdigest() for p in packed], pa.string()),
-                ],
-                names=["id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
-
-    rows = docs.select(docs[id_column].alias("id"), docs[text_column].alias("text"))
-    kind = rows.schema["id"].dataType.simpleString()
-    shape = f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return rows.mapInArrow(run, shape).withColumnRenamed("id", id_column)
+            columns = [
+                *part.columns[1:],
+                pa.array([len(p) // 4 for p in packed], pa.int64()),
+                pa.array([hashlib.sha256(p).hexdigest() for p in packed], pa.string()),
+                pa.array([hashlib.sha256(bpe.decode(p)).hexdigest() for p in packed], pa.string()),
+            ]
+            if with_ids:
+                columns.append(_id_lists(packed))
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
+    shape = f"{kept}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    return rows.mapInArrow(run, shape)
