@@ -15,7 +15,7 @@ DATA = "/root/testdata"
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     session = (
-        SparkSession.builder.master("local[8]")
+        SparkSession.builder.master("local[4]")
         .appName("trolley-tests")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.shuffle.partitions", "4")
@@ -61,7 +61,7 @@ def events(spark):
             "category_code": None, "brand": None, "price": 5.0, "user_id": 100, "user_session": "s1",
             "month": "2019-10",
         }
-        schema = T.StructType([f for f in COLLAPSED.fields if f.name != "copies"])
+        schema = T.StructType([f for f in COLLAPSED.fields if f.name not in ("copies", "fault")])
         return spark.createDataFrame([tuple({**plain, **r}[f] for f in schema.names) for r in rows], schema)
 
     return make

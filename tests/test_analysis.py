@@ -84,11 +84,12 @@ def test_unknown_event_types_are_counted(events, sessions):
     log = events(
         {"user_session": "a", "event_type": "wish"}, {"user_session": "a", "event_type": "wish"},
         {"user_session": "bot", "event_type": "wish"}, {"user_session": "a"}, {"user_session": "a"},
+        {"user_session": "a", "event_type": None}, {"user_session": "bot", "event_type": None},
     )
     bots = table.filter("is_bot = 1")
     found = {r.event_type: (r.events, r.sessions)
              for r in analysis.event_type_volume(log, table, bots).collect()}
-    assert found == {"view": (2, 1), "wish": (2, 1)}
+    assert found == {"view": (2, 1), "wish": (2, 1), None: (1, 1)}
 
 
 def test_first_and_returning(sessions, items):
@@ -129,7 +130,7 @@ def test_published_thresholds(large):
     from trolley.operators import conversion
 
     brands = conversion.abandonment_by_brand(large.human_items, large.dim_product).collect()
-    assert sorted(r.brand for r in brands) == ["brand_2", "brand_3", "brand_4"]
+    assert len(brands) == 15 and all(r.cart_items >= 200 for r in brands)  # of 25 names
     by_hour = conversion.abandonment_by_hour(large.human_items).collect()
     assert by_hour and all(r.cart_items >= 100 for r in by_hour)
     assert [r.pct_abandoned for r in by_hour] == sorted((r.pct_abandoned for r in by_hour), reverse=True)
@@ -140,7 +141,7 @@ def test_totals_agree(large):
 
     bands = conversion.abandonment_by_price_band(large.human_items).collect()
     split = conversion.outcome_split(large.human_items).collect()
-    assert sum(r.cart_items for r in bands) == sum(r.cart_items for r in split) == 7857
+    assert sum(r.cart_items for r in bands) == sum(r.cart_items for r in split) == 19575
     assert abs(sum(r.pct_of_all for r in split) - 100) < 0.02
     grains = conversion.funnel_both_grains(large.dim_session, large.human_items).first()
     funnel = conversion.session_funnel(large.dim_session).first()

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 import math
 
 from trolley.functions.clicks import parse_event_time
@@ -49,9 +51,23 @@ def test_prices(raw):
     assert [(r.drop_reason, r.dropped) for r in audit] == [("price_not_positive", 4)]
 
 
-def test_a_copy_without_price_drops_the_event(raw):
-    collapsed = cleaning.collapse_copies(raw({"price": None}, {"price": 4.0}))
-    assert cleaning.clean_events(collapsed).count() == 0
+def test_a_copy_with_a_usable_price_stays(raw):
+    """Where the log has no file positions; with them the first copy stays, whatever its price."""
+    inf = float("inf")
+    copies = raw({"price": None}, {"price": inf}, {"price": 4.0}, {"price": 3.0}, {"price": -1.0})
+    collapsed = cleaning.collapse_copies(copies)
+    assert [r.price for r in cleaning.clean_events(collapsed).collect()] == [3.0]
+    placed = copies.withColumn("arrival_row", F.when(F.col("price").isNull(), 0).otherwise(1).cast("long"))
+    assert cleaning.clean_events(cleaning.collapse_copies(placed)).count() == 0
+
+
+def test_bad_numbers_are_audited(raw):
+    inf, nan = float("inf"), float("nan")
+    log = raw({"price": inf}, {"product_id": 2, "price": nan}, {"product_id": 3, "price": -inf}, {"product_id": 4})
+    collapsed = cleaning.collapse_copies(log)
+    assert {r.drop_reason: r.dropped for r in cleaning.cleaning_audit(collapsed).collect()} == {
+        "price_not_finite": 1, "price_not_positive": 2}
+    assert cleaning.clean_events(collapsed).count() == 1
 
 
 def test_steps_add_up(raw):

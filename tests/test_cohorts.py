@@ -1,4 +1,7 @@
+from datetime import timedelta
+
 from trolley.operators import cohorts
+from trolley.schema import Rules
 from tests.conftest import at
 
 
@@ -20,6 +23,21 @@ def test_cells_without_users_are_null(sessions):
     assert [tuple(r) for r in cohorts.cohort_sizes(table).collect()] == [(0, 2), (1, 1)]
 
 
+def test_sixty_buckets(sessions):
+    """A bucket a day over two months: more than a 64-bit word could hold of cohorts and distances together."""
+    rules = Rules(cohort_days=1, last_cohort=59)
+    start = at("2019-10-01 10:00:00")
+    table = sessions(*[
+        {"user_session": f"{u}-{d}", "user_id": u, "session_start": start + timedelta(days=d)}
+        for u, days in {1: (0, 59), 2: (0, 1), 3: (40, 59)}.items() for d in days
+    ])
+    found = {r.cohort: r.asDict() for r in cohorts.cohort_counts(table, rules).collect()}
+    assert {c: {k: v for k, v in r.items() if v and k != "cohort"} for c, r in found.items()} == {
+        0: {"week_0": 2, "week_1": 1, "week_59": 1}, 40: {"week_0": 1, "week_19": 1}}
+    assert cohorts.week1_return(table, rules).first()[0] == 50.0
+    assert len(cohorts.weekly_retention(table, rules).columns) == 62
+
+
 def test_nobody_returns(sessions):
     assert cohorts.week1_return(visits(sessions, (1, 1), (2, 9))).first()[0] is None
 

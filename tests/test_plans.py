@@ -2,9 +2,8 @@
 
 import pytest
 
-from __spark_entry__ import queries
 from trolley.operators import cleaning, cohorts, conversion, model
-from trolley.plans.registry import star_of
+from trolley.plans.registry import all_queries as queries, star_of
 from trolley.sources import events_log
 from tests.conftest import DATA
 
@@ -32,15 +31,31 @@ def test_cart_items_take_one_shuffle(star):
     assert "In(event_type" in plan_of(df)
 
 
-def test_sessions_take_one_shuffle(star):
-    df = model.dim_session(star.fact_events)
+def test_session_users_take_one_shuffle(star):
+    df = model.session_users(star.fact_events)
     assert shuffles(df) == 1 and "SortAggregate" not in plan_of(df)
 
 
+def test_the_star_scans_the_log_three_times(star):
+    """Sessions and users share one scan, products, brands and categories another; cart items take the third."""
+    from_log = [n for n in star.STORED if n in ("session_users", "product_facts", "fact_cart_items")]
+    assert len(from_log) == 3
+    for name in ("dim_brand", "dim_category", "dim_product"):
+        assert "product_facts" in plan_of(getattr(model, {"dim_brand": "brands_of", "dim_category": "categories_of", "dim_product": "products_of"}[name])(star.product_facts))
+    assert "session_users" in plan_of(model.sessions_of(star.session_users))
+    assert "collapsed_events" not in plan_of(model.users_of(star.session_users))
+
+
+def test_scope_needs_no_expand(star):
+    from trolley.operators import analysis
+
+    assert "Expand" not in plan_of(analysis.analysis_scope(star.human_items))
+
+
 def test_copies_meet_before_the_shuffle(spark):
     raw = events_log.raw_from_events(events_log.read_events(spark, SF))
     df = cleaning.collapse_copies(raw)
-    assert shuffles(df) == 1 and "partial_min" in plan_of(df)
+    assert shuffles(df) == 1 and "partial_min" in plan_of(df)  # text in the buffer: Spark sorts, it cannot hash
 
 
 @pytest.mark.parametrize("build", [model.dim_category, model.dim_brand, model.dim_product, model.dim_user])

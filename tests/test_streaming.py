@@ -1,40 +1,57 @@
+"""The stream against the batch, whatever the order and the cut of the files."""
+
+import pytest
 from pyspark.sql import functions as F
 
+from tests.conftest import DATA
+from tests.test_sources import row, write_month
 from trolley.operators import cleaning
-from trolley.sources import events_log
+from trolley.sources import events_log, raw_log
 from trolley.streaming import clean
-from tests.conftest import DATA
 
 
-def test_files_in_order_equal_the_batch(spark, tmp_path):
-    """Three files that arrive one after the other, with copies inside each and across a restart."""
-    raw = events_log.raw_from_events(events_log.read_events(spark, f"{DATA}/sf0.01"))
+def same(a, b):
+    return a.count() == b.count() and a.select(b.columns).exceptAll(b).count() == 0
+
+
+@pytest.mark.parametrize("newest_first", [False, True])
+@pytest.mark.parametrize("max_files", [None, 1])
+def test_files_in_any_order_equal_the_batch(spark, tmp_path, newest_first, max_files):
+    """Files that arrive one after the other, the later ones with copies of earlier rows at another price."""
+    raw = events_log.raw_from_events(events_log.read_events(spark, f"{DATA}/sf0.001"))
+    again = raw.withColumn("price", F.when(F.hash("event_time") % 3 == 0, F.lit(None)).otherwise(F.col("price") / 2))
+    everything = raw.unionByName(again)
     src, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "checkpoint"))
-    parts = [("2024-01-01", "2024-01-11"), ("2024-01-11", "2024-01-21"), ("2024-01-21", "2024-02-01")]
-    for start, end in parts:
-        arrived = raw.filter((F.col("event_time") >= start) & (F.col("event_time") < end))
-        arrived.coalesce(1).write.mode("append").parquet(src)
-        clean.start_clean(clean.read_stream_files(spark, src), out, checkpoint).awaitTermination()
-    batch = cleaning.clean_events(cleaning.collapse_copies(raw))
-    stream = spark.read.schema(batch.schema).parquet(out).select(batch.columns)
-    assert stream.count() == batch.count() == 4840
-    assert stream.exceptAll(batch).count() == 0
+    days = [("2024-01-01", "2024-01-11"), ("2024-01-11", "2024-01-21"), ("2024-01-21", "2024-02-02")]
+    for start, end in reversed(days) if newest_first else days:
+        between = (F.col("event_time") >= start) & (F.col("event_time") < end)
+        for part in (raw, again):
+            part.filter(between).coalesce(1).write.mode("append").parquet(src)
+        clean.start_clean(clean.read_stream_files(spark, src, max_files), out, checkpoint).awaitTermination()
+    batch = cleaning.clean_events(cleaning.collapse_copies(everything))
+    assert same(clean.cleaned(spark, out), batch)
 
 
-def test_copy_in_a_later_file(spark, raw, tmp_path):
+def test_a_copy_in_a_later_file(spark, raw, tmp_path):
     src, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "checkpoint"))
-    for _ in range(2):
-        raw({}, {"user_session": None}, {"price": 0.0, "product_id": 2}).write.mode("append").parquet(src)
+    for price in (None, 4.0, 3.0):
+        raw({"price": price}, {"user_session": None}, {"price": 0.0, "product_id": 2}).write.mode("append").parquet(src)
         clean.start_clean(clean.read_stream_files(spark, src), out, checkpoint).awaitTermination()
-    assert spark.read.parquet(out).count() == 1
+    assert [r.price for r in clean.cleaned(spark, out).collect()] == [3.0]
 
 
-def test_bounded_batches_equal_one(spark, tmp_path):
-    """Files that follow one another in time, read one per micro-batch."""
-    raw = events_log.raw_from_events(events_log.read_events(spark, f"{DATA}/sf0.001"))
-    src, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "checkpoint"))
-    for day in ("2024-01-0", "2024-01-1", "2024-01-2", "2024-01-3"):
-        raw.filter(F.col("event_time").startswith(day)).coalesce(1).write.mode("append").parquet(src)
-    stream = clean.read_stream_files(spark, src, max_files=1)
-    clean.start_clean(stream, out, checkpoint).awaitTermination()
-    assert spark.read.parquet(out).count() == 463
+def test_monthly_csv_files(spark, tmp_path):
+    src = tmp_path / "months"
+    src.mkdir()
+    out, checkpoint = str(tmp_path / "out"), str(tmp_path / "checkpoint")
+    rows = [row(product=p, price=f"{9 - i}.50") for i in range(3) for p in range(20)]
+    for month in ("2019-Nov", "2019-Oct"):
+        write_month(src, month, rows + [row(product="x")])
+        clean.start_clean(clean.read_stream_months(spark, str(src)), out, checkpoint).awaitTermination()
+    batch = cleaning.clean_events(cleaning.collapse_copies(raw_log.load_raw(spark, str(src))))
+    assert same(clean.cleaned(spark, out), batch) and batch.count() == 40
+
+
+def test_no_state(spark):
+    raw = events_log.raw_from_events(clean.read_stream_files(spark, f"{DATA}/sf0.001/event[s].parquet"))
+    assert raw.isStreaming and "StateStore" not in raw._jdf.queryExecution().toString()

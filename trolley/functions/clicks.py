@@ -21,8 +21,8 @@ def parse_event_time(text: Column) -> Column:
 
 
 def positive(price: Column) -> Column:
-    """price > 0; NaN compares as the largest double in Spark and so is excluded by name."""
-    return (price > 0) & ~F.isnan(price)
+    """0 < price < infinity; NaN compares as larger than that in Spark and so is out, too."""
+    return (price > 0) & (price < F.lit(float("inf")))
 
 
 def lost() -> Column:

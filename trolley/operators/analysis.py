@@ -54,7 +54,7 @@ def event_type_volume(events: DataFrame, sessions: DataFrame, bots: DataFrame) -
     """Events and distinct sessions per event type, without bots.
 
     The four known types come from the counters of the session table.  The event table is asked only for
-    other types, a filter that reaches its files and as a rule leaves nothing to shuffle.
+    other types and missing ones, a filter that reaches its files and as a rule leaves little to shuffle.
     """
     counters = {VIEW: "n_views", CART: "n_carts", REMOVE: "n_removes", PURCHASE: "n_purchases"}
     totals = human_sessions(sessions).agg(
@@ -63,7 +63,7 @@ def event_type_volume(events: DataFrame, sessions: DataFrame, bots: DataFrame) -
     )
     known = totals.select(F.inline(F.array(*counters.values()))).filter("events > 0")
     others = (
-        events.filter(~F.col("event_type").isin(*counters))
+        events.filter(F.col("event_type").isNull() | ~F.col("event_type").isin(*counters))
         .groupBy("event_type", "user_session")
         .agg(F.count("*").alias("n"))
         .join(bots.select("user_session"), "user_session", "left_anti")
@@ -74,11 +74,12 @@ def event_type_volume(events: DataFrame, sessions: DataFrame, bots: DataFrame) -
 
 
 def analysis_scope(items: DataFrame) -> DataFrame:
-    return analysed(items).agg(
-        F.count("*").alias("items"),
-        F.count_distinct("user_id").alias("users"),
-        F.count_distinct("user_session").alias("sessions"),
-    )
+    """Items, users and sessions.  Each distinct count is a count over groups that the map side has reduced."""
+    known = analysed(items)
+    per_user = known.groupBy("user_id").agg(F.count("*").alias("n"))
+    sessions = known.groupBy("user_session").agg(F.lit(1)).agg(F.count("*")).scalar()
+    return per_user.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("items"), F.count("*").alias("users")).withColumn(
+        "sessions", sessions)
 
 
 def funnel_stages(sessions: DataFrame, items: DataFrame) -> DataFrame:
@@ -156,7 +157,9 @@ def hour_highlight(profile: DataFrame, rules: Rules = Rules()) -> DataFrame:
     return (
         hour_profile(profile, rules)
         .withColumn("mean_pct", mean_rate("pct_abandoned", "OVER ()"))
-        .withColumn("highlighted", F.col("pct_abandoned") >= F.col("mean_pct") + rules.hour_margin)
+        .withColumn("exact", F.avg("pct_abandoned").over(Window.partitionBy()))
+        .withColumn("highlighted", F.col("pct_abandoned") >= F.col("exact") + rules.hour_margin)
+        .drop("exact")
     )
 
 
@@ -221,28 +224,33 @@ def headline_abandonment(profile: DataFrame) -> DataFrame:
     return counts.select(rate("lost", "n").alias("pct_abandoned"))
 
 
-def _visits_record(sessions: DataFrame, items: DataFrame) -> DataFrame:
+def _visits_record(visits: DataFrame) -> DataFrame:
     """The rates of first and returning visits side by side."""
     is_first = F.col("visit") == "first"
-    return first_vs_returning(sessions, items).agg(
+    return visits.agg(
         F.max(F.when(is_first, F.col("pct_abandoned"))).alias("first_pct"),
         F.max(F.when(~is_first, F.col("pct_abandoned"))).alias("returning_pct"),
     )
 
 
 def findings_summary(
-    sessions: DataFrame, items: DataFrame, profile: DataFrame, rules: Rules = Rules()
+    sessions: DataFrame, items: DataFrame, profile: DataFrame, rules: Rules = Rules(),
+    counts: DataFrame | None = None, visits: DataFrame | None = None,
 ) -> DataFrame:
-    """One row with every headline figure."""
+    """One row with every headline figure.
+
+    ``counts`` (of ``cohort_counts``) and ``visits`` (of ``first_vs_returning``) are computed where not given.
+    """
+    visits = first_vs_returning(sessions, items) if visits is None else visits
     facts = analysis_scope(items).select(
         "items",
         "users",
         _record(headline_abandonment(profile)).alias("headline"),
         _record(value_lost_vs_won(profile)).alias("value"),
         _record(outcome_share(profile)).alias("share"),
-        _record(week1_return(sessions, rules)).alias("cohort"),
+        _record(week1_return(sessions, rules, counts)).alias("cohort"),
         _record(price_band_spread(profile, rules)).alias("band"),
-        _record(_visits_record(sessions, items)).alias("visit"),
+        _record(_visits_record(visits)).alias("visit"),
         _record(hour_extremes(profile, rules)).alias("hour"),
     )
     return facts.select(
@@ -268,12 +276,14 @@ def findings_summary(
 
 
 def hypothesis_table(
-    sessions: DataFrame, items: DataFrame, profile: DataFrame, rules: Rules = Rules()
+    sessions: DataFrame, items: DataFrame, profile: DataFrame, rules: Rules = Rules(),
+    visits: DataFrame | None = None,
 ) -> DataFrame:
     """The three hypotheses with the two figures that judge each and their difference."""
+    visits = first_vs_returning(sessions, items) if visits is None else visits
     rows = [
         ("price", price_band_spread(profile, rules), "min_pct", "max_pct"),
-        ("first visit", _visits_record(sessions, items), "first_pct", "returning_pct"),
+        ("first visit", _visits_record(visits), "first_pct", "returning_pct"),
         ("time of day", hour_extremes(profile, rules), "trough_pct", "peak_pct"),
     ]
     return reduce(DataFrame.unionByName, [

@@ -1,7 +1,7 @@
 """Cleaning of the raw click log and the audit of what it drops.
 
-The order matters: unparsable times first, then double-fired events, then events without a session, then
-events without a positive price.
+The order matters: rows that could not be read first, then unparsable times, double-fired events, events without
+a session, and events without a positive finite price.
 """
 
 from __future__ import annotations
@@ -9,10 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from trolley.functions.clicks import parse_event_time, positive
-from trolley.schema import ARRIVAL, EVENT_COLUMNS, EVENT_KEY
+from trolley.schema import ARRIVAL, EVENT_COLUMNS, EVENT_KEY, RAGGED, UNREADABLE
 
-# Which of several copies stays: the first to arrive where the log tells, else the least in these
-# columns, NULL first.
+# Which of several copies stays: the first to arrive where the log tells; else one with a usable price before one
+# without, then the least in these columns, NULL first.
 _TIE_BREAK = ["price", "category_id", "brand", "category_code"]
 
 
@@ -25,24 +25,30 @@ def collapse_copies(raw: DataFrame) -> DataFrame:
 
     A grouped aggregate combines copies before the shuffle, so a key repeated in a third of all rows
     leaves one row per map task.  The shuffle key is the whole event key: neither a busy session nor the
-    NULL session gathers in one task.  Rows whose time cannot be parsed keep ``event_time`` NULL.
+    NULL session gathers in one task.  Rows whose time cannot be parsed keep ``event_time`` NULL.  Rows that the
+    source marked with a ``fault`` stay apart from the others.
     """
-    keys = [*EVENT_KEY, "month"]
-    order = [c for c in ARRIVAL if c in raw.columns] + _TIE_BREAK
+    if "fault" not in raw.columns:
+        raw = raw.withColumn("fault", F.lit(None).cast("string"))
+    keys = [*EVENT_KEY, "month", "fault"]
+    unusable = ~F.coalesce(positive(F.col("price")), F.lit(False))
+    order = [c for c in ARRIVAL if c in raw.columns] + ["unusable", *_TIE_BREAK]
     return (
         with_event_time(raw)
+        .withColumn("unusable", unusable)
         .groupBy(*keys)
         .agg(F.min(F.struct(*order)).alias("kept"), F.count("*").alias("copies"))
         .select(
             *[F.col(c) if c in EVENT_KEY else F.col(f"kept.{c}") for c in EVENT_COLUMNS],
             "copies",
+            "fault",
             "month",
         )
     )
 
 
 def _timed() -> Column:
-    return F.col("event_time").isNotNull()
+    return F.col("fault").isNull() & F.col("event_time").isNotNull()
 
 
 def _placed() -> Column:
@@ -55,26 +61,29 @@ def _kept() -> Column:
 
 def dedup_events(collapsed: DataFrame) -> DataFrame:
     """Events with a time, without the double-fired copies."""
-    return collapsed.filter(_timed()).drop("copies")
+    return collapsed.filter(_timed()).drop("copies", "fault")
 
 
 def clean_events(collapsed: DataFrame) -> DataFrame:
     """The event fact: parsed, unique, in a session and with a price."""
-    return collapsed.filter(_kept()).drop("copies")
+    return collapsed.filter(_kept()).drop("copies", "fault")
 
 
 def cleaning_audit(collapsed: DataFrame) -> DataFrame:
     """Rows dropped per month and reason; a reason that dropped nothing has no row."""
-    bad_price = _placed() & ~F.coalesce(positive(F.col("price")), F.lit(False))
-    per_month = collapsed.groupBy("month").agg(
-        F.sum(F.when(_timed(), F.col("copies") - 1)).alias("double_fired"),
-        F.count_if(_timed() & F.col("user_session").isNull()).alias("null_session"),
-        F.count_if(bad_price).alias("price_not_positive"),
-    )
+    infinite = F.col("price") == F.lit(float("inf"))
+    bad_price = _placed() & ~F.coalesce(positive(F.col("price")) | infinite, F.lit(False))
+    reasons = {
+        "double_fired": F.sum(F.when(_timed(), F.col("copies") - 1)),
+        "null_session": F.count_if(_timed() & F.col("user_session").isNull()),
+        "price_not_positive": F.count_if(bad_price),
+        "price_not_finite": F.count_if(_placed() & infinite),
+        RAGGED: F.sum(F.when(F.col("fault") == RAGGED, F.col("copies"))),
+        UNREADABLE: F.sum(F.when(F.col("fault") == UNREADABLE, F.col("copies"))),
+    }
+    per_month = collapsed.groupBy("month").agg(*[count.alias(name) for name, count in reasons.items()])
     return (
-        per_month.unpivot(
-            "month", ["double_fired", "null_session", "price_not_positive"], "drop_reason", "dropped"
-        )
+        per_month.unpivot("month", [*reasons], "drop_reason", "dropped")
         .filter("dropped > 0")
         .orderBy("month", "drop_reason")
     )
@@ -95,9 +104,10 @@ def cleaning_log(audit: DataFrame, retention: DataFrame, bots: DataFrame) -> Dat
         F.concat_ws(": ", "month", F.concat(F.lit("dropped "), "drop_reason")).alias("step"),
         F.format_string("%,d rows", "dropped").alias("message"),
     )
+    share = F.coalesce(F.format_string(" (%.1f%%)", 100 * F.col("retention")), F.lit(""))
     kept = retention.select(
         F.lit("row retention").alias("step"),
-        F.format_string("%,d of %,d raw events kept", "total_out", "total_in").alias("message"),
+        F.concat(F.format_string("%,d of %,d raw events kept", "total_out", "total_in"), share).alias("message"),
     )
     flagged = bots.select(
         F.lit("flagged bot sessions").alias("step"),

@@ -53,21 +53,19 @@ def user_cohorts(sessions: DataFrame, rules: Rules = Rules()) -> DataFrame:
 def cohort_counts(sessions: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """Users per cohort and distance as columns week_0, week_1, ...; NULL where there is no user.
 
-    Each user shrinks to one set of bits, a bit per bucket, in a single map-side reduced aggregate.  No
-    distinct count is needed.
+    Each user shrinks to the set of buckets with a session, no larger than their number, in a single map-side
+    reduced aggregate.  No distinct count is needed.
     """
     buckets = range(rules.last_cohort + 1)
     users = (
         session_weeks(sessions, rules)
         .filter(F.col("user_id").isNotNull())
         .groupBy("user_id")
-        .agg(
-            F.min("week").alias("cohort"),
-            F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("week"))).alias("bits"),
-        )
+        .agg(F.collect_set("week").alias("weeks"))
+        .withColumn("cohort", F.array_min("weeks"))
     )
     returned = [
-        F.count_if(F.getbit("bits", F.col("cohort") + k) == 1).alias(f"week_{k}") for k in buckets
+        F.count_if(F.array_contains("weeks", F.col("cohort") + k)).alias(f"week_{k}") for k in buckets
     ]
     counts = users.groupBy("cohort").agg(*returned)
     return counts.select(
@@ -75,8 +73,10 @@ def cohort_counts(sessions: DataFrame, rules: Rules = Rules()) -> DataFrame:
     ).orderBy("cohort")
 
 
-def weekly_retention(sessions: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """Share of each cohort seen again k buckets later, in percent.
+def weekly_retention(
+    sessions: DataFrame, rules: Rules = Rules(), counts: DataFrame | None = None
+) -> DataFrame:
+    """Share of each cohort seen again k buckets later, in percent; ``counts`` are those of ``cohort_counts``.
 
     A cell without a returning user is NULL, whether or not the bucket lies inside the log; the column
     ``observable`` tells how many later buckets the cohort could have shown.
@@ -86,7 +86,8 @@ def weekly_retention(sessions: DataFrame, rules: Rules = Rules()) -> DataFrame:
         rate(f"week_{k}", "week_0").alias(f"week_{k}_pct")
         for k in range(1, rules.last_cohort + 1)
     ]
-    return cohort_counts(sessions, rules).select(
+    counts = cohort_counts(sessions, rules) if counts is None else counts
+    return counts.select(
         "cohort",
         F.date_format(starts, "dd MMM").alias("first_seen"),
         *returns,
@@ -94,10 +95,11 @@ def weekly_retention(sessions: DataFrame, rules: Rules = Rules()) -> DataFrame:
     )
 
 
-def week1_return(sessions: DataFrame, rules: Rules = Rules()) -> DataFrame:
+def week1_return(sessions: DataFrame, rules: Rules = Rules(), counts: DataFrame | None = None) -> DataFrame:
     """Plain mean of the week-1 shares of the cohorts that have one; NULL when none has."""
-    return weekly_retention(sessions, rules).agg(mean_rate("week_1_pct").alias("week1_return_pct"))
+    return weekly_retention(sessions, rules, counts).agg(mean_rate("week_1_pct").alias("week1_return_pct"))
 
 
-def cohort_sizes(sessions: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    return cohort_counts(sessions, rules).select("cohort", F.col("week_0").alias("users"))
+def cohort_sizes(sessions: DataFrame, rules: Rules = Rules(), counts: DataFrame | None = None) -> DataFrame:
+    counts = cohort_counts(sessions, rules) if counts is None else counts
+    return counts.select("cohort", F.col("week_0").alias("users"))

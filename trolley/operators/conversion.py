@@ -194,8 +194,9 @@ def abandonment_by_visit_stage(sessions: DataFrame, items: DataFrame) -> DataFra
 def visit_sequence(sessions: DataFrame) -> DataFrame:
     """Every session that is not a bot with its number among the user's visits and their total.
 
-    Sessions are numbered inside (user, hour) and shifted by the user's visits in earlier hours, so the
-    ordered work of a user with very many sessions is spread over as many tasks as the log has hours.
+    Sessions are numbered inside (user, minute) and shifted by the user's visits in earlier minutes of the hour
+    and in earlier hours, so the ordered work of a user with very many sessions, also within one hour, is spread
+    over as many groups as the log has minutes.
     """
     epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
     who = ["known_id", "anonymous"]  # together a NULL-free stand-in for user_id, so the join needs no <=>
@@ -205,23 +206,26 @@ def visit_sequence(sessions: DataFrame) -> DataFrame:
         "session_start",
         F.coalesce("user_id", F.lit(0)).alias("known_id"),
         F.col("user_id").isNull().alias("anonymous"),
-        F.timestamp_diff("HOUR", epoch, F.col("session_start")).alias("hour"),
+        F.timestamp_diff("MINUTE", epoch, F.col("session_start")).alias("minute"),
     )
-    within_hour = Window.partitionBy(*who, "hour").orderBy("session_start", "user_session")
-    of_user = Window.partitionBy(*who)
-    earlier_hours = of_user.orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
+    hour = F.floor(F.col("minute") / 60).alias("hour")
+    of_user, of_hour = Window.partitionBy(*who), Window.partitionBy(*who, "hour")
+
+    def before(window, order: str) -> Column:
+        earlier = window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum("n").over(earlier), F.lit(0))
+
+    minutes = visits.groupBy(*who, hour, "minute").agg(F.count("*").alias("n"))
+    hours = minutes.groupBy(*who, "hour").agg(F.sum("n").alias("n")).select(
+        *who, "hour", before(of_user, "hour").alias("hour_shift"), F.sum("n").over(of_user).alias("lifetime_sessions"))
     shifts = (
-        visits.groupBy(*who, "hour")
-        .agg(F.count("*").alias("n"))
-        .select(
-            *who,
-            "hour",
-            F.coalesce(F.sum("n").over(earlier_hours), F.lit(0)).alias("shift"),
-            F.sum("n").over(of_user).alias("lifetime_sessions"),
-        )
+        minutes.select(*who, "hour", "minute", before(of_hour, "minute").alias("minute_shift"))
+        .join(hours, [*who, "hour"])
+        .select(*who, "minute", (F.col("hour_shift") + F.col("minute_shift")).alias("shift"), "lifetime_sessions")
     )
-    numbered = visits.withColumn("place", F.row_number().over(within_hour))
-    return numbered.join(shifts, [*who, "hour"]).select(
+    within_minute = Window.partitionBy(*who, "minute").orderBy("session_start", "user_session")
+    numbered = visits.withColumn("place", F.row_number().over(within_minute))
+    return numbered.join(shifts, [*who, "minute"]).select(
         "user_id",
         "user_session",
         "session_start",

@@ -16,10 +16,37 @@ from trolley.functions.exact import cents, mean_money
 from trolley.schema import CART, PURCHASE, PURCHASED, REMOVE, REMOVED, SILENT, UNKNOWN, VIEW, Rules
 
 
+def product_facts(events: DataFrame) -> DataFrame:
+    """Events and prices by product, brand and category: what the three dimensions of products need, in one scan."""
+    return events.groupBy("product_id", "brand", "category_id", "category_code").agg(
+        F.count("*").alias("events"),
+        F.sum(cents("price")).alias("cents"),
+        F.min("price").alias("min_price"),
+        F.max("price").alias("max_price"),
+    )
+
+
+def session_users(events: DataFrame) -> DataFrame:
+    """Events by session and user: what sessions and users need, in one scan."""
+    return events.groupBy("user_session", "user_id").agg(
+        F.min("event_time").alias("first_seen"),
+        F.max("event_time").alias("last_seen"),
+        F.count("*").alias("n_events"),
+        F.count_if(_is_type(VIEW)).alias("n_views"),
+        F.count_if(_is_type(CART)).alias("n_carts"),
+        F.count_if(_is_type(REMOVE)).alias("n_removes"),
+        F.count_if(_is_type(PURCHASE)).alias("n_purchases"),
+    )
+
+
 def dim_category(events: DataFrame) -> DataFrame:
+    return categories_of(product_facts(events))
+
+
+def categories_of(facts: DataFrame) -> DataFrame:
     return (
-        events.groupBy("category_id", "category_code")
-        .agg(F.count("*").alias("events"))
+        facts.groupBy("category_id", "category_code")
+        .agg(F.sum("events").alias("events"))
         .groupBy("category_id")
         .agg(F.max("category_code").alias("category_code"), F.sum("events").alias("events"))
         .select("category_id", "category_code", level_1(F.col("category_code")).alias("level_1"), "events")
@@ -27,10 +54,14 @@ def dim_category(events: DataFrame) -> DataFrame:
 
 
 def dim_brand(events: DataFrame) -> DataFrame:
+    return brands_of(product_facts(events))
+
+
+def brands_of(facts: DataFrame) -> DataFrame:
     per_product = (
-        events.select(F.coalesce("brand", F.lit(UNKNOWN)).alias("brand"), "product_id")
+        facts.select(F.coalesce("brand", F.lit(UNKNOWN)).alias("brand"), "product_id", "events")
         .groupBy("brand", "product_id")
-        .agg(F.count("*").alias("events"))
+        .agg(F.sum("events").alias("events"))
     )
     return per_product.groupBy("brand").agg(
         F.count("product_id").alias("products"), F.sum("events").alias("events")
@@ -38,12 +69,16 @@ def dim_brand(events: DataFrame) -> DataFrame:
 
 
 def dim_product(events: DataFrame) -> DataFrame:
-    per_brand = events.groupBy("product_id", "brand").agg(
+    return products_of(product_facts(events))
+
+
+def products_of(facts: DataFrame) -> DataFrame:
+    per_brand = facts.groupBy("product_id", "brand").agg(
         F.max("category_id").alias("category_id"),
-        F.sum(cents("price")).alias("cents"),
-        F.min("price").alias("min_price"),
-        F.max("price").alias("max_price"),
-        F.count("*").alias("events"),
+        F.sum("cents").alias("cents"),
+        F.min("min_price").alias("min_price"),
+        F.max("max_price").alias("max_price"),
+        F.sum("events").alias("events"),
     )
     return (
         per_brand.groupBy("product_id")
@@ -73,15 +108,16 @@ def _is_type(name: str) -> Column:
 
 def dim_session(events: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """One row per session; fast and long sessions carry ``is_bot`` = 1 and stay in the table."""
-    sessions = events.groupBy("user_session").agg(
+    return sessions_of(session_users(events), rules)
+
+
+def sessions_of(visits: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    counters = ["n_events", "n_views", "n_carts", "n_removes", "n_purchases"]
+    sessions = visits.groupBy("user_session").agg(
         F.max("user_id").alias("user_id"),
-        F.min("event_time").alias("session_start"),
-        F.max("event_time").alias("session_end"),
-        F.count("*").alias("n_events"),
-        F.count_if(_is_type(VIEW)).alias("n_views"),
-        F.count_if(_is_type(CART)).alias("n_carts"),
-        F.count_if(_is_type(REMOVE)).alias("n_removes"),
-        F.count_if(_is_type(PURCHASE)).alias("n_purchases"),
+        F.min("first_seen").alias("session_start"),
+        F.max("last_seen").alias("session_end"),
+        *[F.sum(c).alias(c) for c in counters],
     )
     seconds = F.timestamp_diff("SECOND", F.col("session_start"), F.col("session_end"))
     average_gap = seconds / F.greatest(F.col("n_events") - 1, F.lit(1))
@@ -92,19 +128,18 @@ def dim_session(events: DataFrame, rules: Rules = Rules()) -> DataFrame:
 
 
 def dim_user(events: DataFrame) -> DataFrame:
-    """One row per user.  Sessions are counted from a (user, session) pre-aggregate."""
-    visits = events.groupBy("user_id", "user_session").agg(
-        F.min("event_time").alias("first_seen"),
-        F.max("event_time").alias("last_seen"),
-        F.count_if(_is_type(PURCHASE)).alias("purchases"),
-    )
+    """One row per user."""
+    return users_of(session_users(events))
+
+
+def users_of(visits: DataFrame) -> DataFrame:
     return (
         visits.groupBy("user_id")
         .agg(
             F.min("first_seen").alias("first_seen"),
             F.max("last_seen").alias("last_seen"),
             F.count("user_session").alias("n_sessions"),
-            F.sum("purchases").alias("n_purchase_events"),
+            F.sum("n_purchases").alias("n_purchase_events"),
         )
         .select(
             "user_id",

@@ -10,25 +10,22 @@ from trolley.operators import analysis, cleaning, cohorts, conversion, model, vi
 from trolley.plans.star import StarSchema
 from trolley.schema import Rules
 from trolley.sources import events_log
-from trolley.sources.files import fingerprint
+from trolley.sources.files import listing
 from trolley.sources.staging import staging_dir
 from trolley.streaming import clean as streaming
 
-# The sample has few brands and few items per hour; the published minima would leave nothing.
-SAMPLE_RULES = Rules(brand_min_items=100, hour_min_items=20)
-
 _stars: dict[tuple, StarSchema] = {}
 
 
-def star_of(spark: SparkSession, sf_dir: str) -> StarSchema:
-    """The star schema of a data folder, shared by all queries of the application."""
-    data = fingerprint(spark, f"{sf_dir}/events.parquet")  # changed data gets tables of its own
-    key = (spark.sparkContext.applicationId, sf_dir, data)
+def star_of(spark: SparkSession, sf_dir: str, root: str | None = None) -> StarSchema:
+    """The star schema of a data folder, built once for all queries of the application.
+
+    The tables lie below ``root``, else in the folder of ``spark.checkpoint.dir``.  Changed files get tables anew.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, listing(spark, f"{sf_dir}/events.parquet"))
     if key not in _stars:
         raw = events_log.read_events(spark, sf_dir)
-        _stars[key] = StarSchema(
-            lambda: events_log.raw_from_events(raw), staging_dir(spark), SAMPLE_RULES
-        )
+        _stars[key] = StarSchema(lambda: events_log.raw_from_events(raw), staging_dir(spark, root), Rules())
     return _stars[key]
 
 
@@ -36,13 +33,8 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     # a pattern, since a stream takes a plain path for a folder and the table may be one file
     arriving = streaming.read_stream_files(spark, f"{sf_dir}/event[s].parquet")
     root = staging_dir(spark)
-    if root is None:
-        raise RuntimeError("set spark.checkpoint.dir to a shared folder to run the streaming query")
-    query = streaming.start_clean(
-        events_log.raw_from_events(arriving), f"{root}/stream_events", f"{root}/stream_checkpoint"
-    )
-    query.awaitTermination()
-    return spark.read.parquet(f"{root}/stream_events")
+    streaming.start_clean(events_log.raw_from_events(arriving), f"{root}/stream", f"{root}/checkpoint").awaitTermination()
+    return streaming.cleaned(spark, f"{root}/stream")
 
 
 _RECIPES: dict[str, Callable[[StarSchema], DataFrame]] = {
@@ -85,24 +77,24 @@ _RECIPES: dict[str, Callable[[StarSchema], DataFrame]] = {
     "funnel_stages": lambda s: analysis.funnel_stages(s.dim_session, s.human_items),
     "session_weeks": lambda s: cohorts.session_weeks(s.dim_session, s.rules),
     "user_cohorts": lambda s: cohorts.user_cohorts(s.dim_session, s.rules),
-    "cohort_counts": lambda s: cohorts.cohort_counts(s.dim_session, s.rules),
-    "weekly_retention": lambda s: cohorts.weekly_retention(s.dim_session, s.rules),
-    "week1_return": lambda s: cohorts.week1_return(s.dim_session, s.rules),
-    "cohort_sizes": lambda s: cohorts.cohort_sizes(s.dim_session, s.rules),
+    "cohort_counts": lambda s: s.cohort_counts,
+    "weekly_retention": lambda s: cohorts.weekly_retention(s.dim_session, s.rules, s.cohort_counts),
+    "week1_return": lambda s: cohorts.week1_return(s.dim_session, s.rules, s.cohort_counts),
+    "cohort_sizes": lambda s: cohorts.cohort_sizes(s.dim_session, s.rules, s.cohort_counts),
     "price_band_mix": lambda s: analysis.price_band_mix(s.item_profile, s.rules),
     "hour_profile": lambda s: analysis.hour_profile(s.item_profile, s.rules),
     "hour_profile_local": lambda s: analysis.hour_profile_local(s.human_items, s.rules),
     "hour_highlight": lambda s: analysis.hour_highlight(s.item_profile, s.rules),
     "price_band_spread": lambda s: analysis.price_band_spread(s.item_profile, s.rules),
     "hour_extremes": lambda s: analysis.hour_extremes(s.item_profile, s.rules),
-    "first_vs_returning": lambda s: analysis.first_vs_returning(s.dim_session, s.human_items),
+    "first_vs_returning": lambda s: s.visit_rates,
     "outcome_share": lambda s: analysis.outcome_share(s.item_profile),
     "value_lost_vs_won": lambda s: analysis.value_lost_vs_won(s.item_profile),
     "headline_abandonment": lambda s: analysis.headline_abandonment(s.item_profile),
     "findings_summary": lambda s: analysis.findings_summary(
-        s.dim_session, s.human_items, s.item_profile, s.rules),
+        s.dim_session, s.human_items, s.item_profile, s.rules, s.cohort_counts, s.visit_rates),
     "hypothesis_table": lambda s: analysis.hypothesis_table(
-        s.dim_session, s.human_items, s.item_profile, s.rules),
+        s.dim_session, s.human_items, s.item_profile, s.rules, s.visit_rates),
     "dashboard_export": lambda s: analysis.dashboard_export(s.cart_item_base, s.rules),
     # dashboard
     "funnel_export": lambda s: views.funnel_export(analysis.funnel_stages(s.dim_session, s.human_items)),

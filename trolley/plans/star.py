@@ -2,21 +2,34 @@
 
 from __future__ import annotations
 
+import json
 import threading
 from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import asdict
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trolley.operators import analysis, cleaning, model, views
+from trolley.operators import analysis, cleaning, cohorts, model, views
 from trolley.schema import COLLAPSED, Rules
-from trolley.sources import raw_log, sinks
+from trolley.sources import files, raw_log, sinks
 
 
 def _read_events(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.schema(COLLAPSED).parquet(f"{root}/collapsed_events")
 
 
+def _manifest(rules: Rules) -> str:
+    return json.dumps(asdict(rules), sort_keys=True)
+
+
+def _built_under(spark: SparkSession, root: str) -> str | None:
+    """The rules that the tables at ``root`` were built under; None where a build has not ended."""
+    if not files.matching(spark, f"{root}/manifest"):
+        return None
+    return spark.read.text(f"{root}/manifest").first()[0]
+
+
 class StarSchema:
     """Tables derived from a raw click log.
 
@@ -36,8 +49,8 @@ class StarSchema:
         self._locks: dict[str, threading.Lock] = {}
 
     STORED = [
-        "dim_brand", "dim_category", "dim_product", "dim_session", "dim_user",
-        "fact_cart_items", "bot_sessions", "human_items", "item_profile",
+        "session_users", "product_facts", "dim_brand", "dim_category", "dim_product", "dim_session", "dim_user",
+        "fact_cart_items", "bot_sessions", "human_items", "item_profile", "cohort_counts", "visit_rates",
     ]
 
     @classmethod
@@ -49,7 +62,12 @@ class StarSchema:
 
     @classmethod
     def open(cls, spark: SparkSession, root: str, rules: Rules = Rules()) -> StarSchema:
-        """A schema over the tables that an earlier run wrote with ``build``."""
+        """A schema over the tables that an earlier run wrote with ``build``, under the same rules."""
+        built = _built_under(spark, root)
+        if built is None:
+            raise ValueError(f"the tables at {root} are not completely built")
+        if built != _manifest(rules):
+            raise ValueError(f"the tables at {root} were built under other rules: {built}")
         star = cls.over(spark, root, rules)
         for name in cls.STORED:
             star._tables[name] = spark.read.parquet(f"{root}/{name}")
@@ -75,25 +93,33 @@ class StarSchema:
     def fact_events(self) -> DataFrame:
         return cleaning.clean_events(self.collapsed_events)
 
+    @property
+    def session_users(self) -> DataFrame:
+        return self._table("session_users", lambda: model.session_users(self.fact_events))
+
+    @property
+    def product_facts(self) -> DataFrame:
+        return self._table("product_facts", lambda: model.product_facts(self.fact_events))
+
     @property
     def dim_category(self) -> DataFrame:
-        return self._table("dim_category", lambda: model.dim_category(self.fact_events))
+        return self._table("dim_category", lambda: model.categories_of(self.product_facts))
 
     @property
     def dim_brand(self) -> DataFrame:
-        return self._table("dim_brand", lambda: model.dim_brand(self.fact_events))
+        return self._table("dim_brand", lambda: model.brands_of(self.product_facts))
 
     @property
     def dim_product(self) -> DataFrame:
-        return self._table("dim_product", lambda: model.dim_product(self.fact_events))
+        return self._table("dim_product", lambda: model.products_of(self.product_facts))
 
     @property
     def dim_session(self) -> DataFrame:
-        return self._table("dim_session", lambda: model.dim_session(self.fact_events, self.rules))
+        return self._table("dim_session", lambda: model.sessions_of(self.session_users, self.rules))
 
     @property
     def dim_user(self) -> DataFrame:
-        return self._table("dim_user", lambda: model.dim_user(self.fact_events))
+        return self._table("dim_user", lambda: model.users_of(self.session_users))
 
     @property
     def fact_cart_items(self) -> DataFrame:
@@ -111,6 +137,14 @@ class StarSchema:
     def item_profile(self) -> DataFrame:
         return self._table("item_profile", lambda: analysis.item_profile(self.human_items, self.rules))
 
+    @property
+    def cohort_counts(self) -> DataFrame:
+        return self._table("cohort_counts", lambda: cohorts.cohort_counts(self.dim_session, self.rules))
+
+    @property
+    def visit_rates(self) -> DataFrame:
+        return self._table("visit_rates", lambda: analysis.first_vs_returning(self.dim_session, self.human_items))
+
     @property
     def cart_item_base(self) -> DataFrame:
         return analysis.cart_item_base(self.human_items, self.dim_product, self.dim_user)
@@ -132,6 +166,10 @@ class StarSchema:
         self.collapsed_events
         with ThreadPoolExecutor(4) as pool:
             list(pool.map(lambda name: getattr(self, name), self.STORED))
+        if self._root:
+            spark = self.collapsed_events.sparkSession
+            spark.createDataFrame([(_manifest(self.rules),)], "rules string").coalesce(1).write.mode("overwrite").text(
+                f"{self._root}/manifest")
         return self
 
     def register(self) -> None:
@@ -159,9 +197,15 @@ def load_months(
         mode = "append"
 
 
-def reload_month(spark: SparkSession, src: str, root: str, month: str) -> None:
+def reload_month(spark: SparkSession, src: str, root: str, month: str, rules: Rules = Rules()) -> StarSchema:
+    """Read one month again, whether it has rows or none now, and build the tables anew.
+
+    While that lasts the tables count as not built, so ``StarSchema.open`` refuses them.
+    """
+    files.remove(spark, f"{root}/manifest")
     events = cleaning.collapse_copies(raw_log.load_raw(spark, src, [month]))
-    sinks.replace_months(events, f"{root}/collapsed_events")
+    sinks.replace_month(events, f"{root}/collapsed_events", month)
+    return StarSchema.over(spark, root, rules).build()
 
 
 def load_and_model(
@@ -170,8 +214,14 @@ def load_and_model(
     root: str,
     months: Iterable[str] | None = None,
     rules: Rules = Rules(),
+    source: str | None = None,
 ) -> StarSchema:
-    """From a folder of monthly CSV files to the written star schema, its audit and its log."""
+    """From a folder of monthly CSV files to the written star schema, its audit and its log.
+
+    With ``source`` ("sample" or "raw") the files lie in that folder below ``src``.
+    """
+    src = raw_log.source_path(src, source) if source else src
+    files.remove(spark, f"{root}/manifest")
     load_months(spark, src, root, months)
     star = StarSchema.over(spark, root, rules).build()
     audit = cleaning.cleaning_audit(star.collapsed_events)

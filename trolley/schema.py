@@ -16,6 +16,10 @@ REMOVED = "removed"
 SILENT = "abandoned_silent"
 UNKNOWN = "unknown"
 
+# Reasons for which a row of a file cannot be used.
+RAGGED = "ragged_row"
+UNREADABLE = "unreadable_number"
+
 # Funnel stages, in order.
 STAGES = ("Viewed", "Added to cart", "Purchased")
 
@@ -43,10 +47,11 @@ EVENT_COLUMNS = RAW.fieldNames()
 # Where a row stood in the files of its month, in this order; a log may lack any of them.
 ARRIVAL = ["arrival_file", "arrival_block", "arrival_row"]
 
-# The stored event table: unique events, the number of raw rows behind each, and the month as partition.
+# The stored event table: unique events, the number of raw rows behind each, what is wrong with rows that could not
+# be read, and the month as partition.
 COLLAPSED = T.StructType(
     [T.StructField("event_time", T.TimestampNTZType()), *RAW.fields[1:]]
-    + [T.StructField("copies", T.LongType()), T.StructField("month", T.StringType())]
+    + [T.StructField("copies", T.LongType()), T.StructField("fault", T.StringType()), T.StructField("month", T.StringType())]
 )
 
 DASHBOARD = T.StructType([

@@ -11,11 +11,19 @@ def file_system(spark: SparkSession, path: str):
     return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def fingerprint(spark: SparkSession, path: str) -> tuple[int, int, int]:
-    """Bytes, files and age of what lies at a path: changes when the data does."""
+def listing(spark: SparkSession, path: str) -> tuple[tuple[str, int, int], ...]:
+    """Name, length and time of every file at a path: changes when the data does."""
     where, files = file_system(spark, path)
-    summary = files.getContentSummary(where)
-    return summary.getLength(), summary.getFileCount(), files.getFileStatus(where).getModificationTime()
+    found, each = [], files.listFiles(where, True)
+    while each.hasNext():
+        file = each.next()
+        found.append((file.getPath().toString(), file.getLen(), file.getModificationTime()))
+    return tuple(sorted(found))
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    where, files = file_system(spark, path)
+    files.delete(where, True)
 
 
 def matching(spark: SparkSession, pattern: str) -> dict[str, bool]:

@@ -6,9 +6,9 @@ import os
 from collections.abc import Iterable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from trolley.schema import DASHBOARD, FUNNEL, MISSING_TEXT, RAW
+from trolley.schema import DASHBOARD, EVENT_COLUMNS, FUNNEL, MISSING_TEXT, RAGGED, RAW, UNREADABLE
 from trolley.sources.files import matching
 
 _TEXT_COLUMNS = ["event_type", "category_code", "brand", "user_session"]
@@ -39,24 +39,58 @@ def months_of(spark: SparkSession, path: str) -> list[str]:
     return sorted(_month_files(spark, path))
 
 
+_BROKEN = "_broken_line"
+_NUMBERS = {f.name: f.dataType for f in RAW.fields if not isinstance(f.dataType, T.StringType)}
+
+
+def _number(name: str, kind: T.DataType) -> Column:
+    """A number from its text; a whole number may be written with zero decimals."""
+    text = F.trim(_present(name))
+    if isinstance(kind, T.LongType):
+        text = F.regexp_replace(text, r"\.0*$", "")
+    return text.try_cast(kind)
+
+
+def read_events(reader, header: list[str], path: str) -> DataFrame:
+    """The event columns of CSV files whose header is ``header``, in any order, from a (stream) reader.
+
+    Lines with too few or too many fields, and numbers that cannot be read, are marked in ``fault``.
+    """
+    absent = [c for c in EVENT_COLUMNS if c not in header]
+    if absent:
+        raise ValueError(f"{path} lacks the columns {absent}")
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*header, _BROKEN]])
+    options = {"header": True, "enforceSchema": False, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BROKEN}
+    log = reader.schema(schema).options(**options).csv(path)
+    unreadable = reduce(
+        lambda a, b: a | b, [_present(c).isNotNull() & _number(c, kind).isNull() for c, kind in _NUMBERS.items()])
+    fault = F.when(F.col(_BROKEN).isNotNull(), RAGGED).when(unreadable, UNREADABLE)
+    return log.select(
+        *[_number(c, _NUMBERS[c]).alias(c) if c in _NUMBERS else _present(c).alias(c) if c in _TEXT_COLUMNS else c
+          for c in EVENT_COLUMNS],
+        fault.alias("fault"), "_metadata")
+
+
+def header_of(spark: SparkSession, path: str) -> list[str]:
+    return spark.read.option("header", True).csv(path).columns
+
+
 def _load_month(spark: SparkSession, path: str, month: str, folder: bool) -> DataFrame:
-    log = spark.read.schema(RAW).option("header", True).option("enforceSchema", False).csv(path)
+    log = read_events(spark.read, header_of(spark, path), path)
     arrival = {
         "arrival_block": F.col("_metadata.file_block_start"),
         "arrival_row": F.monotonically_increasing_id(),
     }
     if folder:
         arrival["arrival_file"] = F.col("_metadata.file_name")
-    return log.withColumns(
-        {c: _present(c) for c in _TEXT_COLUMNS} | {"month": F.lit(month)} | arrival
-    )
+    return log.withColumns({"month": F.lit(month)} | arrival).drop("_metadata")
 
 
 def load_raw(spark: SparkSession, path: str, months: Iterable[str] | None = None) -> DataFrame:
     """The raw log of the given months (all of the folder if none are given).
 
-    The schema is declared and the header is checked against it.  A month whose file is absent raises
-    PATH_NOT_FOUND.  Each month is a scan of its own with a constant ``month``, so a filter on it drops
+    Columns are taken by name, whatever their order; a file that lacks one is refused.  Rows that cannot be read
+    carry a ``fault``.  A month whose file is absent raises PATH_NOT_FOUND.  Each month is a scan of its own with a constant ``month``, so a filter on it drops
     the other scans from the plan.  The ``arrival`` columns order rows as they stand in the month's files:
     rows of one split are numbered in reading order, whichever task reads it.
     """

@@ -12,9 +12,9 @@ def write_table(df: DataFrame, path: str, partition_by: str | None = None, mode:
     writer.parquet(path)
 
 
-def replace_months(df: DataFrame, path: str) -> None:
-    """Write the months in ``df`` and leave the other months of the table alone."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)
+def replace_month(df: DataFrame, path: str, month: str) -> None:
+    """Put the rows of ``df``, of one month, in place of that month; a month without rows is emptied."""
+    df.drop("month").write.mode("overwrite").parquet(f"{path}/month={month}")
 
 
 def write_csv(df: DataFrame, path: str) -> None:

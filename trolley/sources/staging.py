@@ -5,7 +5,6 @@ from __future__ import annotations
 import atexit
 import contextlib
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -13,19 +12,29 @@ from pyspark.sql import SparkSession
 from trolley.sources.files import file_system
 
 
-def staging_dir(spark: SparkSession) -> str | None:
-    """A fresh folder for derived tables, removed when the application ends.
+_roots: dict[str, str] = {}
 
-    It lies in the shared folder that ``spark.checkpoint.dir`` names, so the tables outlive any executor.
-    Where the setting is absent a local session takes a temporary folder; a cluster session gets None,
-    and its tables stay lazy.
+
+def use_root(spark: SparkSession, root: str) -> None:
+    """Name the shared folder for an application whose session has no ``spark.checkpoint.dir``."""
+    _roots[spark.sparkContext.applicationId] = root
+
+
+def root_of(spark: SparkSession) -> str | None:
+    """The shared folder of the application, if it has one."""
+    return spark.conf.get("spark.checkpoint.dir", None) or _roots.get(spark.sparkContext.applicationId)
+
+
+def staging_dir(spark: SparkSession, root: str | None = None) -> str:
+    """A fresh folder for derived tables below ``root``, removed when the application ends.
+
+    Without ``root`` it lies in the application's shared folder (``root_of``).  It must be shared by all
+    executors, so that the tables outlive any of them.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and spark.sparkContext.master.startswith("local"):
-        shared = tempfile.gettempdir()
-    if not shared:
-        return None
-    path = f"{shared.rstrip('/')}/trolley-{uuid.uuid4().hex}"
+    root = root or root_of(spark)
+    if not root:
+        raise ValueError("derived tables need a shared folder: give a root or set spark.checkpoint.dir")
+    path = f"{root.rstrip('/')}/trolley-{uuid.uuid4().hex}"
     _remove_at_exit(spark, path)
     return path
 

@@ -1,54 +1,73 @@
-"""Incremental cleaning: the batch rules as a Structured Streaming query over arriving files."""
+"""Incremental cleaning: the batch rules over arriving files, as a Structured Streaming query.
+
+The stream keeps no state.  Each micro-batch is written to the table of what has arrived, by month, and the months
+that it touches are cleaned anew from there by the batch functions.  So the result is that of the batch whatever
+the order and the cut of the files, an event may come at any time, and a copy is judged by the same rule.  A batch
+that is repeated after a failure replaces its own rows.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from trolley.functions.clicks import parse_event_time, positive
-from trolley.schema import EVENT_COLUMNS, EVENT_KEY
+from trolley.operators import cleaning
+from trolley.sources import raw_log, sinks
 
+_MONTH_OF_FILE = r"([^/]+?)\.csv"
 
-def stream_clean(raw: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Cleaned events of a streaming raw log.
 
-    The first copy of an event to arrive stays.  Copies share their event time, so state is needed only
-    for ``delay``; an event that arrives later than that behind the newest one is dropped as late.  The
-    watermark needs a TIMESTAMP, which stands beside the zone-free event time.
-    """
-    parsed = raw.withColumn("event_time", parse_event_time(F.col("event_time")))
-    placed = parsed.filter(F.col("event_time").isNotNull() & F.col("user_session").isNotNull())
-    seconds = F.timestamp_diff(
-        "SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("event_time")
-    )
-    return (
-        placed.withColumn("arrival_clock", F.timestamp_seconds(seconds))
-        .withWatermark("arrival_clock", delay)
-        .dropDuplicatesWithinWatermark([*EVENT_KEY, "month"])
-        .filter(positive(F.col("price")))
-        .select(*EVENT_COLUMNS, "month")
-    )
+def start_clean(raw: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Take in everything that has arrived in the streaming raw log and stop; the tables lie at ``path``."""
+    arrived = f"{path}/arrived"
 
+    def take_in(batch: DataFrame, number: int) -> None:
+        if "arrival_block" in batch.columns:  # a log with file positions
+            batch = batch.withColumn("arrival_row", F.monotonically_increasing_id())
+        spark = batch.sparkSession
+        (
+            batch.withColumn("micro_batch", F.lit(number))
+            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            .partitionBy("month", "micro_batch").parquet(arrived)
+        )
+        months = [r["month"] for r in batch.select("month").distinct().collect()]
+        for month in months:
+            own = spark.read.schema(batch.schema).parquet(arrived).filter(F.col("month") == month)
+            events = cleaning.clean_events(cleaning.collapse_copies(own))
+            sinks.replace_month(events, f"{path}/events", month)
 
-def start_clean(raw: DataFrame, path: str, checkpoint: str, delay: str = "1 hour") -> StreamingQuery:
-    """Append everything that has arrived to the table at ``path`` and stop."""
     return (
-        stream_clean(raw, delay)
-        .writeStream.format("parquet")
+        raw.writeStream.foreachBatch(take_in)
         .option("checkpointLocation", checkpoint)
-        .partitionBy("month")
         .trigger(availableNow=True)
-        .start(path)
+        .start()
     )
 
 
+def cleaned(spark: SparkSession, path: str) -> DataFrame:
+    """The cleaned events of all months that have arrived."""
+    return spark.read.parquet(f"{path}/events").withColumn("month", F.col("month").cast("string"))
+
+
 def read_stream_files(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
     """A stream over the Parquet files at a path, with the schema of the files there now.
 
-    All new files form one micro-batch unless ``max_files`` bounds it.  Set the bound where files arrive
-    in the order of their events; otherwise a later batch may hold events that the watermark calls late.
+    ``max_files`` bounds a micro-batch; else all new files form one.
     """
-    reader = spark.readStream.schema(spark.read.parquet(path).schema)
-    if max_files:
-        reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.parquet(path)
+    return _bounded(spark, max_files).schema(spark.read.parquet(path).schema).parquet(path)
+
+
+def read_stream_months(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
+    """A stream over the monthly CSV files of a folder that has one at least; a file's name is its month."""
+    log = raw_log.read_events(_bounded(spark, max_files), raw_log.header_of(spark, path), path)
+    name = F.col("_metadata.file_name")
+    return log.withColumns({
+        "month": F.regexp_extract(name, _MONTH_OF_FILE, 1),
+        "arrival_file": name,
+        "arrival_block": F.col("_metadata.file_block_start"),
+    }).drop("_metadata")
+
+
+def _bounded(spark: SparkSession, max_files: int | None):
+    reader = spark.readStream
+    return reader.option("maxFilesPerTrigger", max_files) if max_files else reader
