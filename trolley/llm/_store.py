@@ -7,17 +7,19 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from trolley.sources.staging import root_of, use_root
+
 #: A list of ids is broadcast up to this many rows (16 bytes each or less); beyond it rows are shuffled.
 BROADCAST_IDS = 2_000_000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; only a session without the setting (tests) gets its own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="llm-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    """The folder named by ``spark.checkpoint.dir``; only a local session without the setting gets its own."""
+    if not root_of(spark):
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("intermediate tables need a shared folder: set spark.checkpoint.dir")
+        use_root(spark, tempfile.mkdtemp(prefix="llm-"))
+    return root_of(spark).rstrip("/")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -65,7 +65,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     remainder = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
     model = language_id.fit(docs, remainder != 2)
     found = language_id.predict(docs, model)
-    return found.select("doc_id", (remainder == 2).alias("held_out"), "lang_pred", "score", "rejected")
+    return found.select("doc_id", F.coalesce(remainder == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,4 +97,30 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLE_SQL: dict[str, str] = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_ngram_join": """
+        WITH RECURSIVE tokens AS (
+            SELECT doc_id, regexp_extract_all(
+                       translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                       '[^\\x20\\x09-\\x0D]+') AS w
+            FROM documents),
+        sets AS (
+            SELECT doc_id,
+                   CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                        ELSE list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)])
+                   END AS s
+            FROM tokens),
+        grams AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+        links AS (
+            SELECT a.doc_id AS a, b.doc_id AS b
+            FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id
+            GROUP BY a.doc_id, b.doc_id, a.n, b.n
+            HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+        reach AS (
+            SELECT doc_id AS a, doc_id AS b FROM documents
+            UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b)
+        SELECT s.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, m.component_id
+        FROM sets s JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) m ON m.a = s.doc_id""",
+}
+if corpus_pipeline.ORACLE_SQL:
+    ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
