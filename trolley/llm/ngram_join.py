@@ -16,8 +16,10 @@ them (see ``_crowded``) enters its empty segments after all.
 
 Equal sets are one class from the start.  Within a segment's group the members are tied to the smallest one,
 first in the task that reads them and then among tasks, so no group is gathered whole.  The tie with most shared
-segments is verified first, on the whole texts; groups whose members then stand in one component are done, and
-in the others every pair that stands across components is verified, unless parity bits prove it unlike.
+segments is verified first, on the whole texts; groups whose members then stand in one component are done.  While
+the others hold many pairs across components, their members are tied to further centres, one a turn, and verified;
+so a large group of near copies grows together without its pairs being formed.  At last every pair that still stands
+across components is verified, unless size or parity bits prove it unlike.
 
 Documents are known by id.  Rows that repeat an id are versions of one document, which has the links of each of
 them.  Rows with a null id come back with their set size and a null component.  Null texts, empty ones and those
@@ -41,8 +43,11 @@ BAND_RATIO = 1.3
 BLOCK = 128
 #: Words of 64 parity bits kept for each document.
 PARITY = 8
+#: Groups are tied to new centres as long as they hold more open pairs for each member than this, and each turn
+#: leaves no more than half of them open.
+MANY_PAIRS = 4
 #: A task ties its own entries once this many have come together (16 bytes each).
-TASK_ENTRIES = 4_000_000
+TASK_ENTRIES = 2_000_000
 
 _U = np.uint64
 
@@ -334,26 +339,60 @@ def _labelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs
 
 
-def _across(ties: DataFrame, pairs: DataFrame, labels: DataFrame, facts: DataFrame, rule: Threshold) -> DataFrame:
-    """Pairs that share a segment, stand in different components and may be alike by size and parity."""
+_BITS = [f"p{k}" for k in range(PARITY)]
+
+
+def _members(ties: DataFrame, pairs: DataFrame, labels: DataFrame, facts: DataFrame) -> DataFrame:
+    """Members (key, a, label, size, parity) of the segments' groups that span several components."""
     open_pairs = _labelled(pairs.select("a", "b"), labels).filter("la <> lb").select("a", "b")
     keys = ties.join(open_pairs, ["a", "b"], "left_semi").select("key").distinct()
     members = ties.join(keys, "key", "left_semi")
     members = members.select("key", F.explode(F.array("a", "b")).alias("a")).distinct().withColumn("b", F.col("a"))
-    members = stored(_labelled(members, labels).select("key", "a", F.col("la").alias("label")), "members")
-    bits = [f"p{k}" for k in range(PARITY)]
-    known = members.join(facts, F.col("a") == F.col("id")).select("key", "a", "label", "n_shingles", *bits)
-    left = known.select("key", *[F.col(c).alias(f"x_{c}") for c in known.columns if c != "key"])
-    right = known.select("key", *[F.col(c).alias(f"y_{c}") for c in known.columns if c != "key"])
+    members = _labelled(members, labels).select("key", "a", F.col("la").alias("label"))
+    return stored(members.join(facts, F.col("a") == F.col("id")).select("key", "a", "label", "n_shingles", *_BITS), "members")
+
+
+def _sides(members: DataFrame) -> list[DataFrame]:
+    return [members.select("key", *[F.col(c).alias(f"{side}_{c}") for c in members.columns if c != "key"]) for side in "xy"]
+
+
+def _may_link(rule: Threshold):
+    """Whether members x and y stand in different components and may be alike by size and parity."""
     total = F.col("x_n_shingles") + F.col("y_n_shingles")
-    most = F.floor(total * (rule.den - rule.num) / (rule.den + rule.num) + 1e-9)
-    apart = sum((F.bit_count(F.col(f"x_{p}").bitwiseXOR(F.col(f"y_{p}"))) for p in bits), F.lit(0))
+    most = F.floor(total * (rule.den - rule.num) / (rule.den + rule.num))
+    apart = sum((F.bit_count(F.col(f"x_{p}").bitwiseXOR(F.col(f"y_{p}"))) for p in _BITS), F.lit(0))
     near = F.greatest("x_n_shingles", "y_n_shingles") * rule.num <= F.least("x_n_shingles", "y_n_shingles") * rule.den
-    condition = (F.col("x_a") < F.col("y_a")) & (F.col("x_label") != F.col("y_label")) & near & (apart <= most)
-    met = left.join(right, (left["key"] == right["key"]) & condition)
+    return (F.col("x_label") != F.col("y_label")) & near & (apart <= most)
+
+
+def _across(members: DataFrame, rule: Threshold) -> DataFrame:
+    """All pairs of one group that may link two components."""
+    left, right = _sides(members)
+    met = left.join(right, (left["key"] == right["key"]) & (F.col("x_a") < F.col("y_a")) & _may_link(rule))
     return met.select(F.col("x_a").alias("a"), F.col("y_a").alias("b")).distinct()
 
 
+def _to_new_centres(members: DataFrame, rule: Threshold, turn: int) -> DataFrame:
+    """For each member the one of its groups' centres, another in each turn, with which it shares most groups."""
+    draw = F.struct(F.xxhash64("a", F.lit(turn)).alias("draw"), F.struct(*[c for c in members.columns if c != "key"]).alias("m"))
+    centres = members.groupBy("key").agg(F.min(draw).alias("c"))
+    centres = centres.select(F.col("key").alias("_key"), *[F.col(f"c.m.{c}").alias(f"y_{c}") for c in members.columns if c != "key"])
+    left, _ = _sides(members)
+    met = left.join(centres, (F.col("key") == F.col("_key")) & _may_link(rule))
+    shared = met.groupBy("x_a", "y_a").agg(F.count("*").alias("shared"))
+    closest = Window.partitionBy("x_a").orderBy(F.desc("shared"), "y_a")
+    one = shared.withColumn("nth", F.row_number().over(closest)).filter("nth = 1")
+    return one.select(F.least("x_a", "y_a").alias("a"), F.greatest("x_a", "y_a").alias("b")).distinct()
+
+
+def _open_pairs(members: DataFrame) -> tuple[int, int]:
+    """Number of members, and of pairs across components, in all groups."""
+    by_label = members.groupBy("key", "label").agg(F.count("*").cast("double").alias("n"))
+    by_key = by_label.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
+    row = by_key.agg(F.sum("n").alias("n"), F.sum((F.col("n") * F.col("n") - F.col("own")) / 2).alias("pairs")).first()
+    return int(row["n"] or 0), int(row["pairs"] or 0)
+
+
 def join(
     docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
@@ -386,8 +425,19 @@ def join(
     same_id = named.join(several, "id").select(F.col("first").alias("a"), F.col("rep").alias("b")).filter("a <> b")
     links = alike.unionAll(same_id)
     labels = components(links)
-    left = stored(_across(ties, pairs, labels, facts, rule).join(best, ["a", "b"], "left_anti"), "across")
-    labels = components(links.unionAll(_verified(known, left, rule)))
+    members, turn, before = _members(ties, pairs, labels, facts), 0, float("inf")
+    while True:
+        size, open_ = _open_pairs(members)
+        if open_ <= MANY_PAIRS * size or open_ > before / 2:
+            break
+        turn, before = turn + 1, open_
+        tried = stored(_to_new_centres(members, rule, turn), "tried")
+        links = links.unionAll(stored(_verified(known, tried, rule), "more"))
+        labels = components(links)
+        members = _members(ties, pairs, labels, facts)
+    left = stored(_across(members, rule).join(best, ["a", "b"], "left_anti"), "across")
+    if not left.isEmpty():
+        labels = components(links.unionAll(_verified(known, left, rule)))
     found = measured.join(classes, ["n_shingles", "d1", "d2"], "left")
     found = found.join(labels.withColumnRenamed("id", "_id"), F.col("rep") == F.col("_id"), "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("root", "rep", "id"))
