@@ -1,4 +1,5 @@
 import random
+from datetime import timedelta
 
 from pyspark.sql import Window, functions as F
 
@@ -106,3 +107,18 @@ def test_outcome_split_figures(items):
     bought, removed = conversion.outcome_split(table).collect()
     assert tuple(bought) == ("purchased", 2, 66.67, 1.01, -0.0, 2.0)
     assert tuple(removed) == ("removed", 1, 33.33, 2.5, None, 3.0)
+
+
+def test_a_user_with_a_third_of_an_hour(sessions):
+    """The visits of one user are numbered minute by minute; those without a user, too."""
+    rows = [
+        {"user_session": f"{u}-{k:04d}", "user_id": u, "session_start": at("09:00:00") + timedelta(seconds=k * 37 % 5000)}
+        for u, n in ((1, 300), (2, 150), (None, 150)) for k in range(n)
+    ]
+    found = {r.user_session: (r.session_no, r.lifetime_sessions) for r in conversion.visit_sequence(sessions(*rows)).collect()}
+    for u in (1, 2, None):
+        own = sorted((r["session_start"], r["user_session"]) for r in rows if r["user_id"] == u)
+        assert [found[name] for _, name in own] == [(k, len(own)) for k in range(1, len(own) + 1)]
+    plan = conversion.visit_sequence(sessions(*rows))._jdf.queryExecution().analyzed().toString()
+    numbering = plan.split("row_number()", 1)[1].split("windowspecdefinition(", 1)[1]
+    assert "minute" in numbering.split("session_start", 1)[0]
