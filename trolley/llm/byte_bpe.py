@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from trolley.llm._words import chunks
 
 #: Distinct pre-tokens, and pieces, that a task remembers between chunks; beyond it they are met anew.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 #: Longer pre-tokens are not remembered.
 LONGEST_REMEMBERED = 64
 
@@ -171,18 +171,6 @@ class ByteBpe:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-_ENCODERS: dict[tuple[str, str], ByteBpe] = {}
-
-
-def _encoder(tokens: list[bytes], pattern: str, proto: bytes) -> ByteBpe:
-    """The worker's encoder for a vocabulary, shared by the tasks that follow each other in it."""
-    key = (hashlib.sha256(proto).hexdigest(), pattern)
-    if key not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key] = ByteBpe(tokens, pattern, proto)
-    return _ENCODERS[key]
-
-
 def _tool(path: str, pattern: str) -> tuple[list[bytes], str, bytes]:
     """What a task needs to build its encoder: small, of fixed size."""
     tokens = read_ranks(path)
@@ -202,7 +190,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_column: str = "doc_id",
     parts = _tool(path, pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = _encoder(*parts)
+        bpe = ByteBpe(*parts)
         for rows, texts in chunks(batches, 1):
             packed = bpe.encode([t.decode() for t in texts])
             yield pa.RecordBatch.from_arrays([rows.column(0), _id_lists(packed)], names=["id", "ids"])
@@ -243,7 +231,7 @@ def round_trip(
     names = [*keep, "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if with_ids else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = _encoder(*parts)
+        bpe = ByteBpe(*parts)
         for part, texts in chunks(batches, 0):
             packed = bpe.encode([t.decode() for t in texts])
             columns = [

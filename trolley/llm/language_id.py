@@ -176,9 +176,9 @@ def fit(
     text_column: str = "text",
     label_column: str = "lang",
     key_column: str = "doc_id",
-    per_language: int = 1000,
+    per_language: int = 600,
     max_languages: int = 200,
-    max_bytes: int = 48_000_000,
+    max_bytes: int = 24_000_000,
 ) -> LanguageModel:
     """Fit on a bounded sample of the labelled rows that satisfy ``learn_from``.
 
