@@ -22,11 +22,23 @@ def shared_folder(spark: SparkSession) -> str:
     return root_of(spark).rstrip("/")
 
 
+#: Spark's setting that removes a query's shuffle files when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once and read it back: later steps neither repeat it nor depend on lost executors."""
+    """Write ``df`` once and read it back: later steps neither repeat it nor depend on lost executors.
+
+    The shuffle files behind it go as soon as it is written, so only one step's shuffles lie on the disks.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/llm-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -29,6 +29,7 @@ without words have no n-grams and no links; empty tables give empty results; oth
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -299,6 +300,18 @@ def _verified(docs: DataFrame, pairs: DataFrame, rule: Threshold) -> DataFrame:
     return ordered.mapInArrow(run, "a long, b long")
 
 
+def _verified_in_portions(docs: DataFrame, pairs: DataFrame, rule: Threshold, facts: DataFrame) -> DataFrame:
+    """The alike ones of all stored ``pairs``, in portions that each move about twice as much text as there is."""
+    sizes = facts.groupBy("id").agg(F.max("n_shingles").alias("n"))
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("id"))
+    moved = ends.join(sizes, "id").agg(F.sum("n")).first()[0] or 0
+    whole = sizes.agg(F.sum("n")).first()[0] or 1
+    portions = max(1, -(-moved // (2 * whole)))
+    portion = F.pmod(F.xxhash64("a", "b"), F.lit(portions))
+    alike = [stored(_verified(docs, pairs.filter(portion == k), rule), "alike") for k in range(portions)]
+    return reduce(DataFrame.unionAll, alike)
+
+
 def _alike(x: np.ndarray, y: np.ndarray, rule: Threshold) -> bool:
     if not len(x) or not len(y) or rule.den * min(len(x), len(y)) < rule.num * max(len(x), len(y)):
         return False
@@ -437,7 +450,7 @@ def join(
         members = _members(ties, pairs, labels, facts)
     left = stored(_across(members, rule).join(best, ["a", "b"], "left_anti"), "across")
     if not left.isEmpty():
-        labels = components(links.unionAll(_verified(known, left, rule)))
+        labels = components(links.unionAll(_verified_in_portions(known, left, rule, facts)))
     found = measured.join(classes, ["n_shingles", "d1", "d2"], "left")
     found = found.join(labels.withColumnRenamed("id", "_id"), F.col("rep") == F.col("_id"), "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("root", "rep", "id"))
