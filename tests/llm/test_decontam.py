@@ -56,6 +56,27 @@ def test_copies_and_edited_copies_are_found_and_others_not(spark):
     assert sorted(found, key=str) == sorted(want, key=str)
 
 
+def test_equals_aligning_all_pairs(spark):
+    rng = random.Random(66)
+    common = [f"w{k}" for k in range(40)]  # few words, so that pairs of them stand in many documents
+    items = [(k, " ".join(rng.choices(common if k % 2 else VOCABULARY, k=rng.choice([8, 9, 20, 25])))) for k in range(16)]
+    out = []
+    for _, text in items:
+        for every in (2, 3, 4, 5):
+            for shift in range(2):
+                words = text.split()
+                for at in range(every - 1 - shift, len(words), every):
+                    words[at] = rng.choice(common) if shift else f"other{at}"
+                out.append(words)
+            out.append([x for at, w in enumerate(text.split()) for x in ([w, f"more{at}"] if at % every == every - 1 else [w])])
+    rows = [(k, " ".join(rng.choices(common, k=rng.randint(0, 30)) + words + rng.choices(common, k=9))) for k, words in enumerate(out)]
+    docs, bench = docs_of(spark, *rows), spark.createDataFrame(items, "item_id long, text string")
+    found = {(r.doc_id, r.item_id): r.share for r in decontam.contaminated(docs, decontam.index(docs, bench)).collect()}
+    shares = {(d, k): local(item.split(), text.split()) / (decontam.MATCH * len(item.split())) for d, text in rows for k, item in items}
+    want = {pair: share for pair, share in shares.items() if share >= decontam.LEAST_SHARE}
+    assert found == want and {d // 3 % 4 for d, _ in want} == {0, 1, 2, 3}
+
+
 def test_clean_rows_keep_their_columns(spark):
     docs = docs_of(spark, *rows())
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")

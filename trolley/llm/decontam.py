@@ -1,11 +1,12 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds that no alignment avoids, then Smith-Waterman alignment.
 
-Words are runs of letters, digits and non-ASCII bytes, A-Z read as a-z.  How often each n-gram of the
-benchmark occurs in all documents is counted first.  In every stretch of SEED_WINDOW consecutive n-grams of an
-item the rarest one becomes a seed, so any unedited run of ``n + SEED_WINDOW - 1`` words of an item holds one,
-and common phrases bring no candidates while rarer ones stand beside them.  Where a document holds a seed, the
-words around it are aligned with the whole item; the best local alignment, as a share of the item's perfect
-score, decides.
+Words are runs of letters, digits and non-ASCII bytes, A-Z read as a-z.  An alignment that reaches LEAST_SHARE
+keeps at least ``least_grams`` of the item's word pairs whole, so that many less one places of an item can be left
+out and each such alignment still holds one of the others: these are the seeds.  Left out are the places that would
+bring the most candidates; how often each n-gram of the benchmark occurs in all documents is counted first.  Where a
+document holds a seed, the words around it, as far as such an alignment can reach, are a candidate.  Those that hold
+``least_grams`` of the item's n-grams are aligned with the whole item; the best local alignment, as a share of the
+item's perfect score, decides.  So the result is that of aligning all pairs.
 
 Documents are not shuffled: the benchmark goes to the tasks in blocks of at most BLOCK_ITEMS items, one pass for
 each block.  Null and empty texts hold nothing; items with fewer than MIN_WORDS words, null ones included, are
@@ -16,7 +17,7 @@ columns are passed on or not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +25,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from trolley.llm._words import chunks, fold, look_up, plain_words
 
-N = 3
-SEED_WINDOW = 3
+#: With longer n-grams an item whose every third word is replaced (share 0.5) would hold none.
+N = 2
 MIN_WORDS = 8
 #: Items in one block, and bytes of their texts beyond which a block is cut smaller.
 BLOCK_ITEMS = 20_000
@@ -35,52 +36,76 @@ MATCH, MISMATCH, GAP = 2, -1, -2
 LEAST_SHARE = 0.4
 #: Cells of one batch of alignments, which bounds its memory.
 BATCH_CELLS = 1 << 21
+#: Seed hits and words of candidates that are looked at together, which bounds their memory.
+BATCH_HITS = 1 << 20
+
+
+def least_grams(length: np.ndarray) -> np.ndarray:
+    """N-grams (word pairs) of an item of so many words that any alignment reaching LEAST_SHARE keeps whole.
+
+    Each edit breaks one pair of neighbouring matches at most.  Fewest pairs are left by replaced words, which cost
+    least: ``kept`` words match, the others are replaced.  At least 1 for MIN_WORDS words.
+    """
+    kept = length * (MATCH * LEAST_SHARE - MISMATCH) / (MATCH - MISMATCH)
+    return np.maximum(np.ceil(2 * kept - length - 1 - 1e-9).astype(np.int64), 1)
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers from each start on, as many as its size says, and the range each belongs to."""
+    which = np.repeat(np.arange(len(sizes)), sizes)
+    return np.arange(len(which)) + (starts - np.cumsum(sizes) + sizes)[which], which
+
+
+def _portions(sizes: np.ndarray, limit: int) -> Iterator[slice]:
+    """Consecutive slices whose sizes sum up to ``limit`` at most, or hold one larger entry."""
+    ends = np.cumsum(sizes)
+    start = 0
+    while start < len(sizes):
+        stop = max(int(np.searchsorted(ends, (ends[start - 1] if start else 0) + limit, "right")), start + 1)
+        yield slice(start, stop)
+        start = stop
 
 
 @dataclass
 class Benchmark:
-    """A block of items as word hashes, and its n-grams as a sorted table."""
+    """A block of items as word hashes, its n-grams as a sorted table, and where they are seeds."""
 
     ids: list
     items: list[np.ndarray]
+    lengths: np.ndarray
     grams: np.ndarray  # sorted distinct n-gram hashes
-    first: np.ndarray  # grams[i] stands at entries first[i]:first[i + 1]
+    codes: np.ndarray  # the n-grams of all items, one item after the other, as positions in grams
+    begins: np.ndarray  # those of item k are codes[begins[k]:begins[k + 1]]
+    first: np.ndarray  # grams[i] is a seed at entries first[i]:first[i + 1]
     item: np.ndarray
     place: np.ndarray
 
     @classmethod
     def of(cls, ids: list, texts: list[bytes]) -> Benchmark:
         words, hashes = plain_words(texts)
-        items = [hashes[a:b] for a, b in zip(words.first, words.first[1:])]
-        kept = [i for i, item in enumerate(items) if len(item) >= MIN_WORDS]
-        ids, items = [ids[i] for i in kept], [items[i] for i in kept]
-        return cls(ids, items, *_table([(k, p) for k, item in enumerate(items) for p in range(len(item) - N + 1)], items))
+        counts = words.counts()
+        kept = np.flatnonzero(counts >= MIN_WORDS)
+        at, which = _ranges(words.first[kept], counts[kept] - N + 1)
+        grams, codes = np.unique(fold([hashes[at + j] for j in range(N)]), return_inverse=True)
+        begins = np.concatenate(([0], np.cumsum(counts[kept] - N + 1)))
+        items = [hashes[words.first[i] : words.first[i + 1]] for i in kept]
+        whole = cls([ids[i] for i in kept], items, counts[kept], grams, codes, begins, *[np.zeros(0, np.int64)] * 3)
+        return whole._with(np.arange(len(codes)), which)
+
+    def _with(self, entries: np.ndarray, which: np.ndarray) -> Benchmark:
+        """The same with seeds at these entries of ``codes``; ``which`` has the item of every entry."""
+        entries = entries[np.argsort(self.codes[entries], kind="stable")]
+        first = np.searchsorted(self.codes[entries], np.arange(len(self.grams) + 1))
+        item = which[entries]
+        return replace(self, first=first, item=item, place=entries - self.begins[item])
 
     def seeds(self, counts: np.ndarray) -> Benchmark:
-        """The same items with their rare n-grams alone; ``counts`` are those of ``grams`` in the documents."""
-        spread = np.diff(self.first)
-        rarity = counts + spread  # a phrase of many items is no better than one of many documents
-        chosen = []
-        for k, item in enumerate(self.items):
-            size = len(item) - N + 1
-            own = rarity[np.searchsorted(self.grams, fold([item[j : j + size] for j in range(N)]))]
-            last = -1
-            for begin in range(max(1, size - SEED_WINDOW + 1)):
-                at = begin + int(own[begin : begin + SEED_WINDOW].argmin())
-                if at != last:
-                    chosen.append((k, at))
-                    last = at
-        return Benchmark(self.ids, self.items, *_table(sorted(set(chosen)), self.items))
-
-
-def _table(entries: list[tuple[int, int]], items: list[np.ndarray]):
-    if not entries:
-        return np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    item, place = np.array(entries).T
-    hashes = fold([np.array([items[k][p + j] for k, p in entries], np.uint64) for j in range(N)])
-    order = np.argsort(hashes, kind="stable")
-    grams, first = np.unique(hashes[order], return_index=True)
-    return grams, np.append(first, len(order)), item[order], place[order]
+        """Without the costliest n-grams as seeds; ``counts`` are those of ``grams`` in the documents."""
+        cost = (counts * np.bincount(self.codes, minlength=len(self.grams)))[self.codes]
+        which = np.repeat(np.arange(len(self.items)), np.diff(self.begins))
+        order = np.lexsort((-cost, which))
+        rank = np.arange(len(order)) - self.begins[which]
+        return self._with(order[rank >= least_grams(self.lengths)[which] - 1], which)
 
 
 def _align(items: list[np.ndarray], windows: list[np.ndarray]) -> np.ndarray:
@@ -109,6 +134,23 @@ def _align(items: list[np.ndarray], windows: list[np.ndarray]) -> np.ndarray:
     return best
 
 
+def _enough(
+    bench: Benchmark, code: np.ndarray, item: np.ndarray, low: np.ndarray, high: np.ndarray
+) -> np.ndarray:
+    """Which candidates hold ``least_grams`` of their item's n-grams; ``code`` has the n-gram at each word, or -1."""
+    need = least_grams(bench.lengths)[item]
+    inside, own = np.maximum(high - low - N + 1, 0), np.diff(bench.begins)[item]
+    out = np.zeros(len(item), bool)
+    for part in _portions(inside + own, BATCH_HITS):
+        at, which = _ranges(low[part], inside[part])
+        here = np.flatnonzero(code[at] >= 0)
+        there = np.unique(which[here] * len(bench.grams) + code[at[here]])
+        entry, which = _ranges(bench.begins[item[part]], own[part])
+        hit, _ = look_up(there, which * len(bench.grams) + bench.codes[entry])
+        out[part] = np.bincount(which[hit], minlength=len(own[part])) >= need[part]
+    return out
+
+
 def _found(texts: list[bytes], bench: Benchmark) -> list[tuple[int, int, float]]:
     """(text, item, share) of every pair that reaches LEAST_SHARE."""
     words, hashes = plain_words(texts)
@@ -118,22 +160,27 @@ def _found(texts: list[bytes], bench: Benchmark) -> list[tuple[int, int, float]]
     hit, gram = look_up(bench.grams, windows)
     inside = words.doc[hit] == words.doc[hit + N - 1]
     hit, gram = hit[inside], gram[inside]
-    if not len(hit):
-        return []
+    code = np.full(len(windows), -1, np.int64)
+    code[hit] = gram
     many = np.diff(bench.first)[gram]
-    entry = np.repeat(bench.first[gram], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-    at = np.repeat(hit, many)
-    item = bench.item[entry]
-    length = np.fromiter(map(len, bench.items), np.int64, len(bench.items))[item]
-    doc = words.doc[at]
-    begin = at - bench.place[entry]
-    # hits of one pair whose items would begin within half an item of each other share a window
-    cell = np.floor_divide(begin, np.maximum(length // 2, 1))
-    key = np.unique(np.stack([doc, item, cell]), axis=1)
-    doc, item, cell = key
-    half = np.maximum(np.fromiter(map(len, bench.items), np.int64, len(bench.items))[item] // 2, 1)
-    low = np.maximum(cell * half - half, words.first[doc])
-    high = np.minimum(cell * half + 4 * half + 2, words.first[doc + 1])
+    keys = [np.zeros(0, np.int64)]
+    cells = 4 * len(hashes) + 4  # from -2 per word on
+    for part in _portions(many, BATCH_HITS):
+        entry, which = _ranges(bench.first[gram[part]], many[part])
+        at, item = hit[part][which], bench.item[entry]
+        # hits of one pair whose items would begin within half an item of each other share a window
+        cell = np.floor_divide(at - bench.place[entry] - words.first[words.doc[at]], bench.lengths[item] // 2)
+        keys.append(np.unique((words.doc[at] * len(bench.items) + item) * cells + cell + cells // 2))
+    pair, cell = np.divmod(np.unique(np.concatenate(keys)), cells)
+    doc, item = np.divmod(pair, len(bench.items))
+    length, half = bench.lengths[item], bench.lengths[item] // 2
+    reach = ((1 - LEAST_SHARE) * length + 1e-9).astype(np.int64)  # more words inserted cost too much
+    begin = (cell - cells // 2) * half + words.first[doc]
+    low = np.maximum(begin - reach, words.first[doc])
+    high = np.minimum(begin + half + length + reach, words.first[doc + 1])
+    kept = _enough(bench, code, item, low, high)
+    doc, item, low, high = doc[kept], item[kept], low[kept], high[kept]
+    half = bench.lengths[item] // 2
     order = np.argsort(half, kind="stable")
     scores = np.zeros(len(order))
     start = 0
