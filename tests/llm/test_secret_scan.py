@@ -54,6 +54,24 @@ def test_random_strings_are_added_and_names_are_not(spark, odd):
     assert {text[int(s) : int(e)] for _, s, e in (x.split(":") for x in found[4].spans.split(","))} <= set(text.split())
 
 
+def test_random_strings_after_an_equals_sign(spark):
+    rng = random.Random(31)
+    keys = [base64.b64encode(rng.randbytes(30)).decode() for _ in range(40)]
+    shapes = ["client_key={}", "AWS_SESSION={};", "https://example.org/a?sig={}&x=1", "auth={}==", "a=={}", "key = {}"]
+    rows = [(k, "see " + shapes[k % 6].format(key) + " there") for k, key in enumerate(keys)] + [(99, "mode=some_variable_name_2024_final")]
+    docs = docs_of(spark, *rows)
+    text = dict(rows)
+    found = {r.doc_id: [text[r.doc_id][c.start : c.end] for c in r.c] for r in docs.select("doc_id", secret_scan.candidates(docs["text"]).alias("c")).collect()}
+    assert found == {**{k: [key] for k, key in enumerate(keys)}, 99: ["some_variable_name_2024_final"]}
+    spans = {r.doc_id: r.spans for r in run(docs).collect()}
+    assert spans[99] == ""
+    for k in range(5):
+        own = [k2 for k2 in range(40) if k2 % 6 == k and spans[k2]]
+        assert own and all(text[k2][int(s) : int(e)] == keys[k2] for k2 in own for _, s, e in [spans[k2].split(":")])
+    out = secret_scan.redact(docs, secret_scan.limits(docs.select(secret_scan.candidates(docs["text"]).alias("tested"))))
+    assert all((keys[r.doc_id] in r.text) == (spans[r.doc_id] == "") for r in out.collect() if r.doc_id < 40)
+
+
 def test_battery_on_known_strings(spark):
     random.seed(5)
     token = "".join(random.choice("0123456789abcdef") for _ in range(23))

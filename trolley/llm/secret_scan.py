@@ -28,7 +28,7 @@ ACCESS = "AKIA[A-Z0-9]{16,}"
 HEX = "[0-9a-f]{24,}"
 KINDS = ["assign", "access", "hex", "random"]
 
-CANDIDATE = "(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{20,}"
+CANDIDATE = "(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{20,}"
 #: Least lengths of the bands within which false discoveries are controlled.
 BANDS = [20, 24, 32, 48, 64, 128]
 #: Share of false discoveries accepted among the candidates taken for text-unlike.
