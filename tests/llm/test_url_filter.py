@@ -73,3 +73,25 @@ def test_model_is_bounded(spark, monkeypatch):
     pages = spark.createDataFrame([(k, f"http://name{chr(97 + k)}x.org/p") for k in range(20)], "page_id long, url string")
     model = fit(pages, URL_RULES)
     assert len(model.segmenter.cost) <= 3 + len(url_filter.BLOCK_WORDS) + len(url_filter.ALLOW_WORDS)
+
+
+def test_weights_do_not_depend_on_the_amount_of_evidence():
+    once = {"allow": {"garden": 3, "river": 1, "free": 2, "common": 94}, "block": {}}
+    weights = [url_filter._weights({k: {w: n * times for w, n in t.items()} for k, t in once.items()}) for times in (1, 10**6)]
+    assert weights[0].keys() == weights[1].keys() and all(math.isclose(weights[0][w], weights[1][w]) for w in weights[0])
+    assert all(weights[1][w] < 0 for w in ("garden", "river", "common", "library")) and weights[1]["free"] > 0
+
+
+def test_verdicts_stay_when_the_table_grows_by_new_hosts(spark):
+    ask = ["http://rareword.example.org/p", "http://gardenriver.example.org/p", "http://cheappills.example.org/1",
+           "http://gardenlibrary.example.org/p", "http://cheapgarden.example.org/p"]
+    asked = spark.createDataFrame(list(enumerate(ask)), "page_id long, url string")
+
+    def verdicts(times):
+        hosts = [f"{w}.n{chr(97 + k % 26)}{k}.com" for k in range(times) for w in ("garden", "river", "stone", "water")]
+        rows = list(enumerate(f"http://{h}/garden" for h in [*hosts, "rareword.com"]))
+        pages = spark.createDataFrame(rows, "page_id long, url string")
+        return {r.page_id: r.verdict for r in judge(asked, fit(pages.unionByName(asked), URL_RULES), URL_RULES).collect()}
+
+    few = verdicts(4)
+    assert few == verdicts(4000) == {0: "allow", 1: "allow", 2: "block", 3: "allow", 4: few[4]}
