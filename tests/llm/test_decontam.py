@@ -77,6 +77,21 @@ def test_equals_aligning_all_pairs(spark):
     assert found == want and {d // 3 % 4 for d, _ in want} == {0, 1, 2, 3}
 
 
+def test_short_items_and_items_without_spaces(spark):
+    chinese = "床前明月光，疑是地上霜。举头望明月，低头思故乡。白日依山尽，黄河入海流。"
+    thai = "ภาษาไทยเป็นภาษาที่มีระดับเสียงของคำแน่นอน"
+    items = [(1, "What is two plus two?"), (2, "solitary"), (3, "明月几时有"), (4, chinese), (5, thai), (6, "What is two plus two?"), (7, "...")]
+    noise = " ".join(some(30))
+    rows = [(1, noise + " what IS two, plus two " + noise), (2, "what is two plus three"), (3, "solitary"), (4, "solitaryness"),
+            (5, "把酒问青天明月几时有不知"), (6, "明月几时没有"), (7, noise + "他说：「" + chinese.replace("，", "").replace("地上", "天下") + "」"),
+            (8, chinese[:5] + "，不知天上宫阙，今夕是何年"), (9, noise + thai[2:] + "ครับ"), (10, None), (11, "")]
+    docs, bench = docs_of(spark, *rows), spark.createDataFrame(items, "item_id long, text string")
+    found = [(r.doc_id, r.item_id) for r in decontam.contaminated(docs, decontam.index(docs, bench)).collect()]
+    assert sorted(found) == [(1, 1), (1, 6), (3, 2), (5, 3), (7, 4), (9, 5)]
+    brief = spark.createDataFrame(items[:3], "item_id long, text string")
+    assert sorted(r.doc_id for r in decontam.clean(docs, decontam.index(docs, brief)).collect()) == [2, 4, 6, 7, 8, 9, 10, 11]
+
+
 def test_clean_rows_keep_their_columns(spark):
     docs = docs_of(spark, *rows())
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")

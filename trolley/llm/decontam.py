@@ -1,6 +1,7 @@
 """Benchmark decontamination: n-gram seeds that no alignment avoids, then Smith-Waterman alignment.
 
-Words are runs of letters, digits and non-ASCII bytes, A-Z read as a-z.  An alignment that reaches LEAST_SHARE
+Words are runs of letters, digits and non-ASCII bytes, A-Z read as a-z; in scripts written without spaces (Chinese,
+Japanese, Thai, Lao, Burmese, Khmer) every character is a word, and ideographic punctuation none.  An alignment that reaches LEAST_SHARE
 keeps at least ``least_grams`` of the item's word pairs whole, so that many less one places of an item can be left
 out and each such alignment still holds one of the others: these are the seeds.  Left out are the places that would
 bring the most candidates; how often each n-gram of the benchmark occurs in all documents is counted first.  Where a
@@ -9,13 +10,15 @@ document holds a seed, the words around it, as far as such an alignment can reac
 item's perfect score, decides.  So the result is that of aligning all pairs.
 
 Documents are not shuffled: the benchmark goes to the tasks in blocks of at most BLOCK_ITEMS items, one pass for
-each block.  Null and empty texts hold nothing; items with fewer than MIN_WORDS words, null ones included, are
-not searched.  Repeated documents and repeated items each give their own rows; empty tables give none; other
+each block.  Items with fewer than MIN_WORDS words, two characters of the scripts above counted as one, are too
+short for a share to tell: only their whole word sequence is searched, with share 1.  Null and empty texts hold
+nothing, and items without a word stand nowhere.  Repeated documents and repeated items each give their own rows; empty tables give none; other
 columns are passed on or not read.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
@@ -23,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from trolley.llm._words import chunks, fold, look_up, plain_words
+from trolley.llm._words import Words, chunks, fold, look_up, plain_words
 
 #: With longer n-grams an item whose every third word is replaced (share 0.5) would hold none.
 N = 2
@@ -40,6 +43,21 @@ BATCH_CELLS = 1 << 21
 BATCH_HITS = 1 << 20
 
 
+#: UTF-8 bytes of the scripts without spaces: Thai, Lao; Burmese, Khmer; kana, ideographs in three places.
+_LONE = re.compile(
+    rb"(?:\xe0[\xb8-\xbb]|\xe1[\x80-\x82\x9e\x9f]|\xe3[\x81-\xbf]|[\xe4-\xe9][\x80-\xbf]|\xef[\xa4-\xab]"
+    rb"|\xf0[\xa0-\xb3][\x80-\xbf])[\x80-\xbf]")
+#: Ideographic punctuation (U+3000 to U+3020 without the marks 3005 to 3007), and the wide forms of ASCII marks.
+_WIDE_MARK = re.compile(
+    rb"\xe3\x80[\x80-\x84\x88-\xa0]|\xef\xbc[\x81-\x8f\x9a-\xa0\xbb-\xbf]|\xef\xbd[\x80\x9b-\xa5]")
+_HIGH = re.compile(rb"[\xe0-\xf0]")
+
+
+def _words(texts: list[bytes]) -> tuple[Words, np.ndarray]:
+    """The words of the texts and their hashes."""
+    return plain_words([_LONE.sub(rb" \g<0> ", _WIDE_MARK.sub(b" ", t)) if _HIGH.search(t) else t for t in texts])
+
+
 def least_grams(length: np.ndarray) -> np.ndarray:
     """N-grams (word pairs) of an item of so many words that any alignment reaching LEAST_SHARE keeps whole.
 
@@ -70,8 +88,9 @@ def _portions(sizes: np.ndarray, limit: int) -> Iterator[slice]:
 class Benchmark:
     """A block of items as word hashes, its n-grams as a sorted table, and where they are seeds."""
 
-    ids: list
+    ids: list  # those of the items, then those of the short ones
     items: list[np.ndarray]
+    short: dict[int, tuple[np.ndarray, np.ndarray]]  # by words: sorted hashes of short items and their places in ids
     lengths: np.ndarray
     grams: np.ndarray  # sorted distinct n-gram hashes
     codes: np.ndarray  # the n-grams of all items, one item after the other, as positions in grams
@@ -82,14 +101,23 @@ class Benchmark:
 
     @classmethod
     def of(cls, ids: list, texts: list[bytes]) -> Benchmark:
-        words, hashes = plain_words(texts)
+        words, hashes = _words(texts)
         counts = words.counts()
-        kept = np.flatnonzero(counts >= MIN_WORDS)
+        worth = counts - np.array([len(_LONE.findall(t)) for t in texts], np.int64) // 2
+        long = (worth >= MIN_WORDS) & (counts >= MIN_WORDS)
+        kept = np.flatnonzero(long)
+        few = np.flatnonzero(~long & (counts > 0))
+        short = {}
+        for n in np.unique(counts[few]).tolist():
+            own = np.flatnonzero(counts[few] == n)
+            whole = fold([hashes[words.first[few[own]] + j] for j in range(n)])
+            order = np.argsort(whole, kind="stable")
+            short[n] = whole[order], len(kept) + own[order]
         at, which = _ranges(words.first[kept], counts[kept] - N + 1)
         grams, codes = np.unique(fold([hashes[at + j] for j in range(N)]), return_inverse=True)
         begins = np.concatenate(([0], np.cumsum(counts[kept] - N + 1)))
         items = [hashes[words.first[i] : words.first[i + 1]] for i in kept]
-        whole = cls([ids[i] for i in kept], items, counts[kept], grams, codes, begins, *[np.zeros(0, np.int64)] * 3)
+        whole = cls([ids[i] for i in [*kept, *few]], items, short, counts[kept], grams, codes, begins, *[np.zeros(0, np.int64)] * 3)
         return whole._with(np.arange(len(codes)), which)
 
     def _with(self, entries: np.ndarray, which: np.ndarray) -> Benchmark:
@@ -151,11 +179,23 @@ def _enough(
     return out
 
 
+def _found_short(words: Words, hashes: np.ndarray, bench: Benchmark) -> list[tuple[int, int, float]]:
+    """(text, item, 1) of every pair of a text and a short item whose words stand in it one after the other."""
+    pairs = set()
+    for n, (table, item) in bench.short.items():
+        sequences, doc = words.ngrams(hashes, n)
+        left, right = (np.searchsorted(table, sequences, side) for side in ("left", "right"))
+        entry, which = _ranges(left, right - left)
+        pairs.update(zip(doc[which].tolist(), item[entry].tolist()))
+    return [(d, k, 1.0) for d, k in sorted(pairs)]
+
+
 def _found(texts: list[bytes], bench: Benchmark) -> list[tuple[int, int, float]]:
     """(text, item, share) of every pair that reaches LEAST_SHARE."""
-    words, hashes = plain_words(texts)
+    words, hashes = _words(texts)
+    out = _found_short(words, hashes, bench)
     if len(hashes) < N or not bench.items:
-        return []
+        return out
     windows = fold([hashes[j : len(hashes) - N + 1 + j] for j in range(N)])
     hit, gram = look_up(bench.grams, windows)
     inside = words.doc[hit] == words.doc[hit + N - 1]
@@ -197,7 +237,7 @@ def _found(texts: list[bytes], bench: Benchmark) -> list[tuple[int, int, float]]
     for d, k, s in zip(doc.tolist(), item.tolist(), scores.tolist()):
         if s >= LEAST_SHARE:
             best[d, k] = max(s, best.get((d, k), 0.0))
-    return [(d, k, s) for (d, k), s in sorted(best.items())]
+    return out + [(d, k, s) for (d, k), s in sorted(best.items())]
 
 
 def _counted(docs: DataFrame, bench: Benchmark, text_column: str) -> np.ndarray:
@@ -206,7 +246,7 @@ def _counted(docs: DataFrame, bench: Benchmark, text_column: str) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(bench.grams), np.int64)
         for _, texts in chunks(batches, 0):
-            words, hashes = plain_words(texts)
+            words, hashes = _words(texts)
             grams, _ = words.ngrams(hashes, N)
             _, which = look_up(bench.grams, grams)
             total += np.bincount(which, minlength=len(total))
