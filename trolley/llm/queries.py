@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from trolley.llm import byte_bpe, decontam, html_text, language_id, lm_score, ngram_join, quality, secret_scan, toxicity, url_filter
+from trolley.llm import (
+    byte_bpe, decontam, html_text, language_id, lm_score, ngram_join, quality, ranked_search, secret_scan, spelling, toxicity,
+    url_filter,
+)
 from trolley.llm._store import stored
 
 
@@ -83,6 +86,14 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, model).select(*columns, "chance")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_ngram_join": op2_ngram_join,
@@ -94,6 +105,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_html_text": op9_html_text,
     "op10_quality": op10_quality,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op13_ranked_search": op13_ranked_search,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -121,6 +134,78 @@ ORACLE_SQL: dict[str, str] = {
             UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b)
         SELECT s.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, m.component_id
         FROM sets s JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) m ON m.a = s.doc_id""",
+    "op11_spelling_variants": """
+        WITH RECURSIVE crc_table AS (
+            SELECT list_transform(range(256), lambda v: list_reduce(range(8),
+                       lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, v)) AS t),
+        runs AS (
+            SELECT doc_id, run, count(*) AS n
+            FROM (SELECT doc_id, unnest(regexp_extract_all(
+                             translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                             '[A-Za-z\u00C0-\u00FF]+')) AS run
+                  FROM documents)
+            WHERE length(run) >= 7 GROUP BY doc_id, run),
+        coded AS (
+            SELECT run, n, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS bytes FROM runs),
+        summed AS (
+            SELECT run, n, xor(4294967295, list_reduce(
+                       list_transform(range(length(bytes) // 2), lambda i: CAST('0x' || substr(bytes, 2 * i + 1, 2) AS BIGINT)),
+                       lambda c, b: xor(t[xor(c, b) % 256 + 1], c // 256), 4294967295)) AS h
+            FROM coded, crc_table),
+        spoiled AS (
+            SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2)
+                        ELSE run END AS word, n
+            FROM summed),
+        words AS (
+            SELECT word, CAST(sum(n) AS BIGINT) AS n FROM spoiled WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+        holes AS (
+            SELECT word, n, i, substr(word, 1, i - 1) AS head, substr(word, i + 1) AS tail
+            FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+        near AS (
+            SELECT a.word, b.word AS other, b.n AS other_n
+            FROM holes a JOIN holes b ON a.i = b.i AND a.head = b.head AND a.tail = b.tail AND a.word <> b.word
+            UNION SELECT a.word, b.word, b.n FROM holes a JOIN words b ON b.word = a.head || a.tail
+            UNION SELECT b.word, a.word, a.n FROM holes a JOIN words b ON b.word = a.head || a.tail),
+        best AS (
+            SELECT word, count(*) AS n_near, max(other_n) AS form_n, min(other) FILTER (WHERE other_n = m) AS form
+            FROM (SELECT *, max(other_n) OVER (PARTITION BY word) AS m FROM near) GROUP BY word),
+        formed AS (
+            SELECT w.word, w.n, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near,
+                   CASE WHEN form_n >= 10 * w.n THEN form END AS form, CASE WHEN form_n >= 10 * w.n THEN form_n END AS form_n
+            FROM words w LEFT JOIN best b ON b.word = w.word),
+        steps AS (
+            SELECT word, word AS root, form AS next FROM formed
+            UNION ALL SELECT s.word, f.word, f.form FROM steps s JOIN formed f ON f.word = s.next)
+        SELECT f.word, f.form, s.root, f.n, f.n_near, f.form_n
+        FROM formed f JOIN steps s ON s.word = f.word AND s.next IS NULL""",
+    "op13_ranked_search": """
+        WITH words AS (
+            SELECT doc_id, regexp_extract_all(
+                       translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                       '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w
+            FROM documents),
+        held AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n, w FROM words WHERE len(w) > 0),
+        size AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS total FROM held),
+        asked AS (
+            SELECT DISTINCT item_id, unnest(regexp_extract_all(
+                       translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                       '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS t
+            FROM benchmark),
+        counted AS (
+            SELECT doc_id, n, t, count(*) AS tf
+            FROM (SELECT doc_id, n, unnest(w) AS t FROM held)
+            WHERE t IN (SELECT t FROM asked) GROUP BY doc_id, n, t),
+        weights AS (
+            SELECT t, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w
+            FROM counted, size GROUP BY t, docs),
+        scored AS (
+            SELECT item_id, doc_id,
+                   CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // total)))) AS BIGINT) AS score
+            FROM asked JOIN counted USING (t) JOIN weights USING (t), size GROUP BY item_id, doc_id),
+        ranked AS (
+            SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank
+            FROM scored WHERE score > 0)
+        SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10""",
 }
 if corpus_pipeline.ORACLE_SQL:
     ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
