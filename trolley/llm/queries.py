@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
 from trolley.llm import (
-    byte_bpe, decontam, html_text, language_id, lm_score, ngram_join, quality, ranked_search, secret_scan, spelling, toxicity,
+    byte_bpe, decontam, html_text, language_id, lm_score, ngram_join, quality, ranked_search, secret_scan, spelling, suffix_dedup, toxicity,
     url_filter,
 )
 from trolley.llm._store import stored
@@ -90,6 +90,10 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(_table(spark, sf_dir, "documents"))
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(_table(spark, sf_dir, "documents"))
+
+
 def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -106,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_html_text": op9_html_text,
     "op10_quality": op10_quality,
     "op11_spelling_variants": op11_spelling_variants,
+    "op12_suffix_dedup": op12_suffix_dedup,
     "op13_ranked_search": op13_ranked_search,
     "pipeline": corpus_pipeline.run,
 }
@@ -178,6 +183,33 @@ ORACLE_SQL: dict[str, str] = {
             UNION ALL SELECT s.word, f.word, f.form FROM steps s JOIN formed f ON f.word = s.next)
         SELECT f.word, f.form, s.root, f.n, f.n_near, f.form_n
         FROM formed f JOIN steps s ON s.word = f.word AND s.next IS NULL""",
+    "op12_suffix_dedup": """
+        WITH texts AS (
+            SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS digits FROM documents),
+        windows AS (
+            SELECT r, start + pos AS pos, md5_number(substr(piece, 2 * pos + 1, 800)) AS w
+            FROM (SELECT r, start, piece, unnest(range(length(piece) // 2 - 399)) AS pos
+                  FROM (SELECT r, start, substr(digits, 2 * start + 1, 1798) AS piece
+                        FROM (SELECT r, digits, unnest(range(0, length(digits) // 2 - 399, 500)) AS start FROM texts)))),
+        repeated AS (
+            SELECT r, pos FROM windows WHERE w IN (SELECT w FROM windows GROUP BY w HAVING count(*) > 1)),
+        islands AS (
+            SELECT r, pos, sum(new) OVER (PARTITION BY r ORDER BY pos) AS island
+            FROM (SELECT r, pos, CASE WHEN pos <= lag(pos) OVER (PARTITION BY r ORDER BY pos) + 400 THEN 0 ELSE 1 END AS new
+                  FROM repeated)),
+        spans AS (
+            SELECT r, min(pos) AS first, max(pos) + 400 AS past FROM islands GROUP BY r, island),
+        gaps AS (
+            SELECT r, past AS first, lead(first) OVER (PARTITION BY r ORDER BY first) AS past FROM spans
+            UNION ALL SELECT r, 0, min(first) FROM spans GROUP BY r
+            UNION ALL SELECT r, 0, NULL FROM texts WHERE r NOT IN (SELECT r FROM spans)),
+        kept AS (
+            SELECT t.r, string_agg(substr(digits, 2 * first + 1, 2 * (coalesce(past, length(digits) // 2) - first)), '' ORDER BY first) AS digits
+            FROM texts t JOIN gaps g ON g.r = t.r GROUP BY t.r)
+        SELECT t.doc_id, CAST(length(t.digits) // 2 AS BIGINT) AS n_bytes,
+               CAST((length(t.digits) - length(k.digits)) // 2 AS BIGINT) AS n_removed,
+               CAST(coalesce(s.n, 0) AS BIGINT) AS n_spans, sha256(unhex(k.digits)) AS kept_sha256
+        FROM texts t JOIN kept k ON k.r = t.r LEFT JOIN (SELECT r, count(*) AS n FROM spans GROUP BY r) s ON s.r = t.r""",
     "op13_ranked_search": """
         WITH words AS (
             SELECT doc_id, regexp_extract_all(
