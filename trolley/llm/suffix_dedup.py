@@ -16,7 +16,10 @@ A window is DEPTH bytes of a text.  Windows that are equal must meet in one task
 Size.  Anchors are about one in 185 bytes, each a row of fixed width.  Texts are shuffled twice, to where their segments
 are cut out and to where bytes are removed.  A task takes whole anchors until they have BATCH bytes, in shards of SHARD bytes.
 An anchor with more than ``CLASSES`` classes (a passage that many texts share, at its two ends) does not go to
-one task: its windows are spread by their 128-bit hashes and counted there, the exact way for the rest.  Nothing is collected.
+one task.  Its segments are cut by the distance of their windows to the anchor, NARROW distances to a piece; all
+windows of a piece share DEPTH - NARROW + 1 bytes, whose hash is the piece's anchor, and pieces go the same way as segments: equal ones
+are a class, others meet by that anchor.  Where even that one has more than CLASSES classes, which differ in a few bytes at their
+ends, the windows are spread by their own 128-bit hashes and counted.  Nothing is collected.
 
 Rows.  Null is empty; rows that repeat an id, or a whole text, are texts of their own.  Texts of any length are taken whole.
 """
@@ -32,14 +35,15 @@ from pyspark.sql import DataFrame, functions as F
 
 from trolley.llm._bwt import Hashes, Transform, merge
 from trolley.llm._store import stored
-from trolley.llm._words import chunks, mix, texts_of
+from trolley.llm._words import chunks, mix
 
 DEPTH = 400
 KMER = 32
-#: Segments of an anchor beyond which its windows are spread over the tasks.
+#: Classes of an anchor beyond which its segments are cut into pieces, and the windows of such a piece.
 CLASSES = 1000
+NARROW = 32
 #: Bytes of segments whose transforms are merged at once, and of one transform.
-BATCH = 1 << 20
+BATCH = 1 << 19
 SHARD = 1 << 17
 
 _CLASS = ["anchor", "digest_a", "digest_b"]
@@ -133,7 +137,7 @@ def _bytes_of(wanted: DataFrame, texts: DataFrame) -> DataFrame:
 
 def repeated_windows(strings: list[bytes], windows: np.ndarray, copies: np.ndarray) -> np.ndarray:
     """For the windows that each string counts for, string after string: does the window occur more than once?"""
-    shards, first, size = [], [0], 0
+    first, size = [0], 0
     for k, s in enumerate(strings):
         if size and size + len(s) > SHARD:
             first.append(k)
@@ -205,22 +209,61 @@ def _merged(segments: DataFrame) -> DataFrame:
     return together.mapInArrow(search, _RUNS)
 
 
+def _starts(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of some segments behind one another; the segment, number and place of each of their windows."""
+    windows = batch.column("windows").to_numpy().astype(np.int64)
+    sizes = windows - 1 + DEPTH
+    segment = np.repeat(np.arange(len(windows)), windows)
+    nth = np.arange(len(segment)) - np.repeat(np.cumsum(windows) - windows, windows)
+    buffer = np.frombuffer(b"".join(batch.column("bytes").to_pylist()), np.uint8)
+    return buffer, segment, nth, (np.cumsum(sizes) - sizes)[segment] + nth
+
+
+def _pieces(segments: DataFrame) -> DataFrame:
+    """Segments cut by the distance of their windows to the anchor, each piece with the class of its segment."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 500):
+                some = batch.slice(k, 500)
+                buffer, segment, nth, start = _starts(some)
+                place = np.arange(max(len(buffer) - KMER + 1, 0), dtype=np.uint64)
+                least = _sliding_least((Hashes(buffer).every(KMER) & ~_PLACE) | place, DEPTH - KMER + 1)
+                distance = (least[start] & _PLACE).astype(np.int64) - start
+                part = distance // NARROW
+                new = np.ones(len(start), bool)
+                new[1:] = (segment[1:] != segment[:-1]) | (part[1:] != part[:-1])
+                first = np.flatnonzero(new)
+                windows = np.diff(np.append(first, len(start)))
+                begin = start[first]
+                end = begin + windows - 1 + DEPTH
+                core = begin + distance[first] - part[first] * NARROW  # the last window that such a piece can have
+                key = mix(Hashes(buffer).of(core, core - NARROW + 1 + DEPTH) + part[first].astype(np.uint64))
+                digests = [pa.array(Hashes(buffer, w).of(begin, end).view(np.int64)) for w in (0, 1)]
+                own = [some.column(c).take(pa.array(segment[first])) for c in (*_CLASS, "copies")]
+                pieces = [buffer[x:y].tobytes() for x, y in zip(begin.tolist(), end.tolist())]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(key.view(np.int64)), *digests, *own, pa.array(nth[first].astype(np.int32)),
+                     pa.array(windows.astype(np.int32)), pa.array(pieces, pa.binary())],
+                    [*_CLASS, *_OWN, "copies", "offset", "windows", "bytes"])
+
+    kind = ", ".join(f"{c} long" for c in (*_CLASS, *_OWN, "copies")) + ", offset int, windows int, bytes binary"
+    return segments.mapInArrow(cut, kind)
+
+
+_OWN = ["own_anchor", "own_a", "own_b"]
+
+
 def _counted(segments: DataFrame) -> DataFrame:
-    """The same for the segments of very frequent anchors, whose windows are spread by their hashes."""
+    """The repeated windows of each class, from counts of single windows that are spread by their hashes."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                some = batch.slice(at, 500)
-                windows = some.column("windows").to_numpy().astype(np.int64)
-                strings = some.column("bytes").to_pylist()
-                sizes = windows - 1 + DEPTH
-                buffer = np.frombuffer(b"".join(strings), np.uint8)
-                string = np.repeat(np.arange(len(windows)), windows)
-                nth = np.arange(len(string)) - np.repeat(np.cumsum(windows) - windows, windows)
-                start = (np.cumsum(sizes) - sizes)[string] + nth
-                hashes = [pa.array(Hashes(buffer, k).of(start, start + DEPTH).view(np.int64)) for k in (0, 1)]
-                own = [some.column(c).take(pa.array(string)) for c in (*_CLASS, "copies")]
+            for k in range(0, batch.num_rows, 500):
+                some = batch.slice(k, 500)
+                buffer, segment, nth, start = _starts(some)
+                hashes = [pa.array(Hashes(buffer, w).of(start, start + DEPTH).view(np.int64)) for w in (0, 1)]
+                own = [some.column(c).take(pa.array(segment)) for c in (*_CLASS, "copies")]
                 yield pa.RecordBatch.from_arrays(
                     [*hashes, *own, pa.array(nth.astype(np.int32))], ["window_a", "window_b", *_CLASS, "copies", "first"])
 
@@ -231,30 +274,51 @@ def _counted(segments: DataFrame) -> DataFrame:
     return found.select(*_CLASS, "first", F.lit(1).alias("number"))
 
 
+def _whole(classes: DataFrame) -> DataFrame:
+    """The windows of classes of two or more, which are all repeated."""
+    return classes.filter("copies > 1").select(*_CLASS, F.lit(0).alias("first"), F.col("windows").alias("number"))
+
+
+def _several(classes: DataFrame) -> DataFrame:
+    """The classes whose anchor has others, with their number."""
+    number = classes.groupBy("anchor").agg(F.count("*").alias("classes")).filter("classes > 1")
+    return classes.join(number, "anchor")
+
+
+def _by_pieces(segments: DataFrame) -> DataFrame:
+    """Runs of repeated windows of the segments of very frequent anchors."""
+    pieces = stored(_pieces(segments), "pieces")
+    first = [F.first("windows").alias("windows"), F.first("bytes").alias("bytes")]
+    classes = stored(pieces.groupBy(*_CLASS).agg(F.sum("copies").alias("copies"), *first), "pieces")
+    several = stored(_several(classes), "pieces")
+    runs = _whole(classes)
+    runs = runs.unionByName(_merged(several.filter(F.col("classes") <= CLASSES)).join(_whole(classes), _CLASS, "left_anti"))
+    runs = runs.unionByName(_counted(several.filter(F.col("classes") > CLASSES)).join(_whole(classes), _CLASS, "left_anti"))
+    found = pieces.drop("bytes").join(stored(runs, "runs"), _CLASS)
+    named = [F.col(own).alias(c) for own, c in zip(_OWN, _CLASS)]
+    return found.select(*named, (F.col("offset") + F.col("first")).alias("first"), "number")
+
+
 def _repeated(texts: DataFrame, segments: DataFrame) -> DataFrame:
     """Runs of repeated windows of every class that has any."""
     one = [F.min_by("at", "row").alias("at"), F.min("row").alias("row"), F.max("windows").alias("windows")]
     classes = stored(segments.groupBy(*_CLASS).agg(F.sum("times").alias("copies"), *one), "classes")
-    # the windows of a class of two or more are all repeated
-    whole = classes.filter("copies > 1").select(*_CLASS, F.lit(0).alias("first"), F.col("windows").alias("number"))
-    several = classes.groupBy("anchor").agg(F.count("*").alias("classes")).filter("classes > 1")
-    wanted = stored(classes.join(several, "anchor"), "wanted")
-    narrow = stored(_bytes_of(wanted.filter(F.col("classes") <= CLASSES), texts), "pieces")
-    runs = whole.unionByName(_merged(narrow).join(whole, _CLASS, "left_anti"))
-    broad = wanted.filter(F.col("classes") > CLASSES)
-    if not broad.isEmpty():
-        runs = runs.unionByName(_counted(_bytes_of(broad, texts)).join(whole, _CLASS, "left_anti"))
+    wanted = stored(_several(classes), "wanted")
+    narrow = stored(_bytes_of(wanted.filter(F.col("classes") <= CLASSES), texts), "bytes")
+    runs = _whole(classes).unionByName(_merged(narrow).join(_whole(classes), _CLASS, "left_anti"))
+    frequent = wanted.filter(F.col("classes") > CLASSES)
+    if not frequent.isEmpty():
+        runs = runs.unionByName(_by_pieces(_bytes_of(frequent, texts)).join(_whole(classes), _CLASS, "left_anti"))
     each = stored(runs, "runs").groupBy(*_CLASS)
     return stored(each.agg(F.collect_list(F.struct("first", "number")).alias("runs")), "runs")
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts without the bytes that their repeated windows cover."""
-    for batch in batches:
-        ids, runs = batch.column(0), batch.column(2)
-        texts, rows = texts_of(batch, 1), []
+    for part, texts in chunks(batches, 1):
+        runs, rows = part.column(2), []
         for k, text in enumerate(texts):
-            edge = np.zeros(len(text) + 1, np.int64)
+            edge = np.zeros(len(text) + 1, np.int32)
             for segment in runs[k].as_py() or ():
                 # a run of equal segments repeats its windows; each covers DEPTH bytes from its start
                 for run in segment["runs"]:
@@ -262,13 +326,12 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     np.add.at(edge, start, 1)
                     np.add.at(edge, start + run["number"] - 1 + DEPTH, -1)
             covered = np.cumsum(edge[:-1]) > 0
-            kept = np.frombuffer(text, np.uint8)[~covered]
+            kept = np.frombuffer(text, np.uint8)[~covered].tobytes()
             spans = int(np.count_nonzero(covered[1:] & ~covered[:-1])) + int(covered[:1].sum())
-            rows.append((len(text), int(covered.sum()), spans, kept.tobytes()))
-        n_bytes, n_removed, n_spans, kept = zip(*rows) if rows else ((), (), (), ())
+            rows.append((len(text), int(covered.sum()), spans, hashlib.sha256(kept).hexdigest(), kept))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
         yield pa.RecordBatch.from_arrays(
-            [ids, pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()),
-             pa.array([hashlib.sha256(t).hexdigest() for t in kept], pa.string()), pa.array(kept, pa.binary())],
+            [part.column(0), *(pa.array(column, kind) for column, kind in zip(zip(*rows), kinds))],
             ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
