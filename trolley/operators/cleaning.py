@@ -20,33 +20,47 @@ def with_event_time(raw: DataFrame) -> DataFrame:
     return raw.withColumn("event_time", parse_event_time(F.col("event_time")))
 
 
-def collapse_copies(raw: DataFrame) -> DataFrame:
-    """One row per event key and month, with the number of raw rows behind it in ``copies``.
+_FOLDED = [*EVENT_KEY, "month", "fault"]
+
+
+def fold(raw: DataFrame) -> DataFrame:
+    """One row per event key, month and fault: the copy that stays (``kept``) and how many there are (``copies``).
 
     A grouped aggregate combines copies before the shuffle, so a key repeated in a third of all rows
     leaves one row per map task.  The shuffle key is the whole event key: neither a busy session nor the
     NULL session gathers in one task.  Rows whose time cannot be parsed keep ``event_time`` NULL.  Rows that the
     source marked with a ``fault`` stay apart from the others.
+
+    The result is a partial one: folds of any parts of a log, in any order, give the whole log's by ``merge_folds``.
     """
     if "fault" not in raw.columns:
         raw = raw.withColumn("fault", F.lit(None).cast("string"))
-    keys = [*EVENT_KEY, "month", "fault"]
     unusable = ~F.coalesce(positive(F.col("price")), F.lit(False))
     order = [c for c in ARRIVAL if c in raw.columns] + ["unusable", *_TIE_BREAK]
     return (
         with_event_time(raw)
         .withColumn("unusable", unusable)
-        .groupBy(*keys)
+        .groupBy(*_FOLDED)
         .agg(F.min(F.struct(*order)).alias("kept"), F.count("*").alias("copies"))
-        .select(
-            *[F.col(c) if c in EVENT_KEY else F.col(f"kept.{c}") for c in EVENT_COLUMNS],
-            "copies",
-            "fault",
-            "month",
-        )
     )
 
 
+def merge_folds(folds: DataFrame) -> DataFrame:
+    """The fold of all parts from the folds of each."""
+    return folds.groupBy(*_FOLDED).agg(F.min("kept").alias("kept"), F.sum("copies").alias("copies"))
+
+
+def events_of(fold: DataFrame) -> DataFrame:
+    """The events of a fold, each with its number of copies."""
+    columns = [F.col(c) if c in EVENT_KEY else F.col(f"kept.{c}") for c in EVENT_COLUMNS]
+    return fold.select(*columns, "copies", "fault", "month")
+
+
+def collapse_copies(raw: DataFrame) -> DataFrame:
+    """One row per event key and month, with the number of raw rows behind it in ``copies``."""
+    return events_of(fold(raw))
+
+
 def _timed() -> Column:
     return F.col("fault").isNull() & F.col("event_time").isNotNull()
 

@@ -39,6 +39,26 @@ def session_users(events: DataFrame) -> DataFrame:
     )
 
 
+def merge_product_facts(parts: DataFrame) -> DataFrame:
+    """The product facts of a whole log from those of its parts."""
+    return parts.groupBy("product_id", "brand", "category_id", "category_code").agg(
+        F.sum("events").alias("events"),
+        F.sum("cents").alias("cents"),
+        F.min("min_price").alias("min_price"),
+        F.max("max_price").alias("max_price"),
+    )
+
+
+def merge_session_users(parts: DataFrame) -> DataFrame:
+    """The session users of a whole log from those of its parts."""
+    counters = ["n_events", "n_views", "n_carts", "n_removes", "n_purchases"]
+    return parts.groupBy("user_session", "user_id").agg(
+        F.min("first_seen").alias("first_seen"),
+        F.max("last_seen").alias("last_seen"),
+        *[F.sum(c).alias(c) for c in counters],
+    )
+
+
 def dim_category(events: DataFrame) -> DataFrame:
     return categories_of(product_facts(events))
 
@@ -206,16 +226,15 @@ def first_purchases(events: DataFrame) -> DataFrame:
     )
 
 
-def fact_cart_items(events: DataFrame) -> DataFrame:
-    """One row per (session, product) ever put in a cart, with what became of it.
+def item_facts(events: DataFrame) -> DataFrame:
+    """Cart events, first removal and first purchase by (session, product), also of products never put in the cart.
 
     One conditional aggregate replaces three aggregates and two joins: one scan and one shuffle, reduced
-    on the map side.  A purchase or removal counts whether it came before or after the cart event.  An
-    item without a product id matches no purchase and no removal.
+    on the map side.  An item without a product id matches no purchase and no removal.
     """
     cart = _is_type(CART)
     known = F.col("product_id").isNotNull()
-    items = (
+    return (
         events.filter(F.col("event_type").isin(CART, REMOVE, PURCHASE))
         .groupBy("user_session", "product_id")
         .agg(
@@ -226,8 +245,31 @@ def fact_cart_items(events: DataFrame) -> DataFrame:
             F.min(F.when(_is_type(REMOVE) & known, F.col("event_time"))).alias("removed_at"),
             F.min(F.when(_is_type(PURCHASE) & known, F.col("event_time"))).alias("purchased_at"),
         )
-        .filter("n > 0")
     )
+
+
+def merge_item_facts(parts: DataFrame) -> DataFrame:
+    """The item facts of a whole log from those of its parts."""
+    return parts.groupBy("user_session", "product_id").agg(
+        F.max("user_id").alias("user_id"),
+        F.min("carted_at").alias("carted_at"),
+        F.sum("cents").alias("cents"),
+        F.sum("n").alias("n"),
+        F.min("removed_at").alias("removed_at"),
+        F.min("purchased_at").alias("purchased_at"),
+    )
+
+
+def fact_cart_items(events: DataFrame) -> DataFrame:
+    return items_of(item_facts(events))
+
+
+def items_of(facts: DataFrame) -> DataFrame:
+    """One row per (session, product) ever put in a cart, with what became of it.
+
+    A purchase or removal counts whether it came before or after the cart event.
+    """
+    items = facts.filter("n > 0")
     outcome = (
         F.when(F.col("purchased_at").isNotNull(), PURCHASED)
         .when(F.col("removed_at").isNotNull(), REMOVED)

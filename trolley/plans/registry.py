@@ -37,6 +37,16 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streaming.cleaned(spark, f"{root}/stream")
 
 
+def _fresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The early view with its side table of late events."""
+    root = staging_dir(spark)
+    for start, name in ((streaming.start_fresh, "fresh"), (streaming.start_clean, "stream")):
+        arriving = streaming.read_stream_files(spark, f"{sf_dir}/event[s].parquet")
+        start(events_log.raw_from_events(arriving), f"{root}/{name}", f"{root}/{name}-checkpoint").awaitTermination()
+    late = streaming.late_events(spark, f"{root}/fresh", f"{root}/stream")
+    return streaming.first_seen(spark, f"{root}/fresh").unionByName(late)
+
+
 _RECIPES: dict[str, Callable[[StarSchema], DataFrame]] = {
     # cleaning
     "dedup_events": lambda s: cleaning.dedup_events(s.collapsed_events),
@@ -110,4 +120,5 @@ def _query(recipe: Callable[[StarSchema], DataFrame]) -> Callable[[SparkSession,
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _query(r) for name, r in _RECIPES.items()} | {"stream_clean_events": _stream}
+    return {name: _query(r) for name, r in _RECIPES.items()} | {
+        "stream_clean_events": _stream, "stream_first_seen": _fresh}

@@ -7,29 +7,35 @@ import threading
 from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
 
 from trolley.operators import analysis, cleaning, cohorts, model, views
 from trolley.schema import COLLAPSED, Rules
-from trolley.sources import files, raw_log, sinks
+from trolley.sources import raw_log, sinks
+from trolley.sources.versions import Versions, fresh
 
+#: What is kept for each month: its unique events and the partial results from which all tables are merged.
+_PARTS = {
+    "session_users": (model.session_users, model.merge_session_users),
+    "product_facts": (model.product_facts, model.merge_product_facts),
+    "item_facts": (model.item_facts, model.merge_item_facts),
+}
 
-def _read_events(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.schema(COLLAPSED).parquet(f"{root}/collapsed_events")
+
+def _read_events(spark: SparkSession, root: str, months: dict[str, str]) -> DataFrame:
+    """The event table of the given months, each from its folder; a filter on ``month`` drops the others."""
+    if not months:
+        raise ValueError(f"there are no events at {root}")
+    reader = spark.read.schema(COLLAPSED).option("basePath", f"{root}/collapsed_events")
+    return reader.parquet(*[f"{root}/{folder}" for _, folder in sorted(months.items())])
 
 
 def _manifest(rules: Rules) -> str:
     return json.dumps(asdict(rules), sort_keys=True)
 
 
-def _built_under(spark: SparkSession, root: str) -> str | None:
-    """The rules that the tables at ``root`` were built under; None where a build has not ended."""
-    if not files.matching(spark, f"{root}/manifest"):
-        return None
-    return spark.read.text(f"{root}/manifest").first()[0]
-
-
 class StarSchema:
     """Tables derived from a raw click log.
 
@@ -46,6 +52,7 @@ class StarSchema:
         self._root = root
         self.rules = rules
         self._tables: dict[str, DataFrame] = {}
+        self._parts: dict[str, DataFrame] = {}
         self._locks: dict[str, threading.Lock] = {}
 
     STORED = [
@@ -54,23 +61,27 @@ class StarSchema:
     ]
 
     @classmethod
-    def over(cls, spark: SparkSession, root: str, rules: Rules = Rules()) -> StarSchema:
-        """A schema over the event table at ``root``; what else lies there is replaced at first use."""
-        star = cls(lambda: None, root, rules)
-        star._tables["collapsed_events"] = _read_events(spark, root)
+    def over(cls, spark: SparkSession, root: str, rules: Rules = Rules(), state: dict | None = None) -> StarSchema:
+        """A schema over the months loaded at ``root``; its tables go to a folder of their own, unseen by others."""
+        state = Versions(spark, root).current()[1] if state is None else state
+        star = cls(lambda: None, f"{root}/{fresh('tables')}", rules)
+        star._tables["collapsed_events"] = _read_events(spark, root, state.get("events", {}))
+        for name, months in state.get("parts", {}).items():
+            star._parts[name] = spark.read.parquet(*[f"{root}/{folder}" for _, folder in sorted(months.items())])
         return star
 
     @classmethod
     def open(cls, spark: SparkSession, root: str, rules: Rules = Rules()) -> StarSchema:
-        """A schema over the tables that an earlier run wrote with ``build``, under the same rules."""
-        built = _built_under(spark, root)
-        if built is None:
+        """A schema over the tables that the last finished load wrote, under the same rules."""
+        state = Versions(spark, root).current()[1]
+        if "tables" not in state:
             raise ValueError(f"the tables at {root} are not completely built")
-        if built != _manifest(rules):
-            raise ValueError(f"the tables at {root} were built under other rules: {built}")
-        star = cls.over(spark, root, rules)
+        if state["rules"] != _manifest(rules):
+            raise ValueError(f"the tables at {root} were built under other rules: {state['rules']}")
+        star = cls(lambda: None, f"{root}/{state['tables']}", rules)
+        star._tables["collapsed_events"] = _read_events(spark, root, state["events"])
         for name in cls.STORED:
-            star._tables[name] = spark.read.parquet(f"{root}/{name}")
+            star._tables[name] = spark.read.parquet(f"{root}/{state['tables']}/{name}")
         return star
 
     def _table(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
@@ -84,6 +95,11 @@ class StarSchema:
                 self._tables[name] = df
             return self._tables[name]
 
+    def _merged(self, name: str) -> DataFrame:
+        """Partial results merged from the months' where these are stored, else taken from the events."""
+        make, merge = _PARTS[name]
+        return merge(self._parts[name]) if name in self._parts else make(self.fact_events)
+
     @property
     def collapsed_events(self) -> DataFrame:
         """All raw events without their copies, still with the rows that cleaning drops."""
@@ -95,11 +111,11 @@ class StarSchema:
 
     @property
     def session_users(self) -> DataFrame:
-        return self._table("session_users", lambda: model.session_users(self.fact_events))
+        return self._table("session_users", lambda: self._merged("session_users"))
 
     @property
     def product_facts(self) -> DataFrame:
-        return self._table("product_facts", lambda: model.product_facts(self.fact_events))
+        return self._table("product_facts", lambda: self._merged("product_facts"))
 
     @property
     def dim_category(self) -> DataFrame:
@@ -123,7 +139,7 @@ class StarSchema:
 
     @property
     def fact_cart_items(self) -> DataFrame:
-        return self._table("fact_cart_items", lambda: model.fact_cart_items(self.fact_events))
+        return self._table("fact_cart_items", lambda: model.items_of(self._merged("item_facts")))
 
     @property
     def bot_sessions(self) -> DataFrame:
@@ -166,10 +182,6 @@ class StarSchema:
         self.collapsed_events
         with ThreadPoolExecutor(4) as pool:
             list(pool.map(lambda name: getattr(self, name), self.STORED))
-        if self._root:
-            spark = self.collapsed_events.sparkSession
-            spark.createDataFrame([(_manifest(self.rules),)], "rules string").coalesce(1).write.mode("overwrite").text(
-                f"{self._root}/manifest")
         return self
 
     def register(self) -> None:
@@ -178,34 +190,56 @@ class StarSchema:
             df.createOrReplaceTempView(name)
 
 
-def load_months(
-    spark: SparkSession, src: str, root: str, months: Iterable[str] | None = None
-) -> None:
-    """Clean a folder of monthly files into ``collapsed_events``, replacing the whole table.
+def _load_month(spark: SparkSession, src: str, root: str, month: str, state: dict) -> None:
+    """Clean one month into folders of its own and name them in ``state``."""
+    events = fresh(f"collapsed_events/month={quote(month, safe='')}")
+    sinks.write_table(cleaning.collapse_copies(raw_log.load_raw(spark, src, [month])).drop("month"), f"{root}/{events}")
+    state.setdefault("events", {})[month] = events
+    kept = cleaning.clean_events(_read_events(spark, root, {month: events}))
+    for name, (make, _) in _PARTS.items():
+        part = fresh(f"parts/{name}/{quote(month, safe='')}")
+        sinks.write_table(make(kept), f"{root}/{part}")
+        state.setdefault("parts", {}).setdefault(name, {})[month] = part
 
-    Copies are found within a month, so months are loaded one after the other: each writes only its own
-    partition, and a month can be loaded again later with ``reload_month``.
-    """
-    path = f"{root}/collapsed_events"
-    mode = "overwrite"
+
+def _load_months(spark: SparkSession, src: str, root: str, months: Iterable[str] | None) -> dict:
     months = list(months) if months is not None else raw_log.months_of(spark, src)
     if not months:
         raise ValueError(f"no monthly files in {src}")
+    state: dict = {}
     for month in sorted(months):
-        events = cleaning.collapse_copies(raw_log.load_raw(spark, src, [month]))
-        sinks.write_table(events, path, "month", mode)
-        mode = "append"
+        _load_month(spark, src, root, month, state)
+    return state
+
+
+def load_months(spark: SparkSession, src: str, root: str, months: Iterable[str] | None = None) -> None:
+    """Clean a folder of monthly files into the event table at ``root``, in place of the whole table.
+
+    Copies are found within a month, so months are loaded one after the other, each into folders of its own.  The new
+    table takes the place of the old one when all months are there; until then readers see the old one.
+    """
+    state = _load_months(spark, src, root, months)
+    Versions(spark, root).update(lambda _: state)
+
+
+def _build(spark: SparkSession, root: str, rules: Rules, state: dict, after: int) -> StarSchema:
+    """Build the tables of ``state`` and publish both at once, unless another writer came first."""
+    star = StarSchema.over(spark, root, rules, state).build()
+    versions = Versions(spark, root)
+    versions.publish(state | {"tables": star._root.removeprefix(f"{root}/"), "rules": _manifest(rules)}, after)
+    versions.tidy()
+    return star
 
 
 def reload_month(spark: SparkSession, src: str, root: str, month: str, rules: Rules = Rules()) -> StarSchema:
-    """Read one month again, whether it has rows or none now, and build the tables anew.
+    """Read one month again, whether it has rows or none now, and put new tables in place of the old ones.
 
-    While that lasts the tables count as not built, so ``StarSchema.open`` refuses them.
+    Of the events only that month's are read: sessions, users, products and items are merged from the stored partial
+    results of all months.  Until the new tables are complete, and if that fails, the old month and tables stay.
     """
-    files.remove(spark, f"{root}/manifest")
-    events = cleaning.collapse_copies(raw_log.load_raw(spark, src, [month]))
-    sinks.replace_month(events, f"{root}/collapsed_events", month)
-    return StarSchema.over(spark, root, rules).build()
+    after, state = Versions(spark, root).current()
+    _load_month(spark, src, root, month, state)
+    return _build(spark, root, rules, state, after)
 
 
 def load_and_model(
@@ -218,12 +252,12 @@ def load_and_model(
 ) -> StarSchema:
     """From a folder of monthly CSV files to the written star schema, its audit and its log.
 
-    With ``source`` ("sample" or "raw") the files lie in that folder below ``src``.
+    With ``source`` ("sample" or "raw") the files lie in that folder below ``src``.  What stood at ``root`` before is
+    read by others until all of the new tables are there.
     """
     src = raw_log.source_path(src, source) if source else src
-    files.remove(spark, f"{root}/manifest")
-    load_months(spark, src, root, months)
-    star = StarSchema.over(spark, root, rules).build()
+    after, _ = Versions(spark, root).current()
+    star = _build(spark, root, rules, _load_months(spark, src, root, months), after)
     audit = cleaning.cleaning_audit(star.collapsed_events)
     retention = cleaning.row_retention(star.collapsed_events)
     sinks.write_table(audit, f"{root}/cleaning_audit")

@@ -12,11 +12,6 @@ def write_table(df: DataFrame, path: str, partition_by: str | None = None, mode:
     writer.parquet(path)
 
 
-def replace_month(df: DataFrame, path: str, month: str) -> None:
-    """Put the rows of ``df``, of one month, in place of that month; a month without rows is emptied."""
-    df.drop("month").write.mode("overwrite").parquet(f"{path}/month={month}")
-
-
 def write_csv(df: DataFrame, path: str) -> None:
     """A folder of CSV files with header, written by all tasks."""
     df.write.mode("overwrite").option("header", True).csv(path)
