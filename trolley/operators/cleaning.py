@@ -103,6 +103,15 @@ def cleaning_audit(collapsed: DataFrame) -> DataFrame:
     )
 
 
+def time_audit(collapsed: DataFrame) -> DataFrame:
+    """Rows per month whose time cannot be parsed; months without any have no row.
+
+    They are dropped before the audit of ``cleaning_audit``, which does not list them.
+    """
+    unreadable = collapsed.filter(F.col("event_time").isNull() & F.col("fault").isNull())
+    return unreadable.groupBy("month").agg(F.sum("copies").alias("dropped")).orderBy("month")
+
+
 def row_retention(collapsed: DataFrame) -> DataFrame:
     """Rows out, rows in and their ratio (NULL for an empty log)."""
     counts = collapsed.agg(

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from trolley.operators import analysis, cleaning, cohorts, conversion, model, views
+from trolley.plans import round_trip
 from trolley.plans.star import StarSchema
 from trolley.schema import Rules
 from trolley.sources import events_log
@@ -53,6 +54,7 @@ _RECIPES: dict[str, Callable[[StarSchema], DataFrame]] = {
     "clean_events": lambda s: s.fact_events,
     "cleaning_audit": lambda s: cleaning.cleaning_audit(s.collapsed_events),
     "row_retention": lambda s: cleaning.row_retention(s.collapsed_events),
+    "time_audit": lambda s: cleaning.time_audit(s.collapsed_events),
     # model
     "dim_category": lambda s: s.dim_category,
     "dim_brand": lambda s: s.dim_brand,
@@ -121,4 +123,4 @@ def _query(recipe: Callable[[StarSchema], DataFrame]) -> Callable[[SparkSession,
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: _query(r) for name, r in _RECIPES.items()} | {
-        "stream_clean_events": _stream, "stream_first_seen": _fresh}
+        "stream_clean_events": _stream, "stream_first_seen": _fresh} | round_trip.QUERIES

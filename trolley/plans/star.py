@@ -195,7 +195,13 @@ def _load_month(spark: SparkSession, src: str, root: str, month: str, state: dic
     events = fresh(f"collapsed_events/month={quote(month, safe='')}")
     sinks.write_table(cleaning.collapse_copies(raw_log.load_raw(spark, src, [month])).drop("month"), f"{root}/{events}")
     state.setdefault("events", {})[month] = events
-    kept = cleaning.clean_events(_read_events(spark, root, {month: events}))
+    stored = _read_events(spark, root, {month: events})
+    rejected = state.setdefault("rejected", {})
+    rejected.pop(month, None)
+    if not stored.filter("fault IS NOT NULL OR event_time IS NULL").isEmpty():
+        rejected[month] = fresh(f"rejected/{quote(month, safe='')}")
+        sinks.write_table(raw_log.rejected_lines(spark, src, month), f"{root}/{rejected[month]}")
+    kept = cleaning.clean_events(stored)
     for name, (make, _) in _PARTS.items():
         part = fresh(f"parts/{name}/{quote(month, safe='')}")
         sinks.write_table(make(kept), f"{root}/{part}")
@@ -222,6 +228,13 @@ def load_months(spark: SparkSession, src: str, root: str, months: Iterable[str]
     Versions(spark, root).update(lambda _: state)
 
 
+def rejected_lines(spark: SparkSession, root: str) -> DataFrame:
+    """The lines of all loaded months that gave no event, with their files and reasons."""
+    folders = Versions(spark, root).current()[1].get("rejected", {})
+    schema = "month string, file string, line string, reason string"
+    return spark.read.schema(schema).parquet(*[f"{root}/{f}" for f in folders.values()]) if folders else spark.createDataFrame([], schema)
+
+
 def _build(spark: SparkSession, root: str, rules: Rules, state: dict, after: int) -> StarSchema:
     """Build the tables of ``state`` and publish both at once, unless another writer came first."""
     star = StarSchema.over(spark, root, rules, state).build()

@@ -19,6 +19,7 @@ UNKNOWN = "unknown"
 # Reasons for which a row of a file cannot be used.
 RAGGED = "ragged_row"
 UNREADABLE = "unreadable_number"
+BAD_TIME = "unreadable_time"
 
 # Funnel stages, in order.
 STAGES = ("Viewed", "Added to cart", "Purchased")

@@ -1,8 +1,8 @@
 """A raw click log derived from the generic ``events`` table, dirt included: a fixture for the queries.
 
 Every event of the table gives a row.  Fixed values of the derivation: the event type map, the id offsets, the
-product, category and brand numbers, and the moduli that place duplicates, missing sessions and types, zero prices
-and bot sessions.
+product, category and brand numbers, and the moduli that place duplicates, missing sessions and types, zero prices,
+times that cannot be read and bot sessions.
 """
 
 from __future__ import annotations
@@ -46,6 +46,7 @@ def raw_from_events(events: DataFrame) -> DataFrame:
 
     at_text = F.col("at").cast("string")  # yyyy-MM-dd HH:mm:ss.SSSSSS
     bot = F.col("i") > 0
+    unreadable = F.when(event_id % 1900 == 0, F.lit("at ")).otherwise(F.lit(""))
     seconds = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("i") * 2)
     known = F.coalesce(*[F.when(F.col("event_type") == a, F.lit(b)) for a, b in _TYPES.items()])
     kind = F.when(event_id % 1700 != 0, known)
@@ -60,7 +61,7 @@ def raw_from_events(events: DataFrame) -> DataFrame:
         .withColumn("i", F.explode(F.concat(itself, copy, bot_views)))
         .withColumn("at", F.col("ts") + seconds)
         .select(
-            F.concat(F.substring(at_text, 1, 19), F.lit(" UTC")).alias("event_time"),
+            F.concat(unreadable, F.substring(at_text, 1, 19), F.lit(" UTC")).alias("event_time"),
             F.when(bot, VIEW).otherwise(kind).alias("event_type"),
             (F.col("p") + 5_000_000).alias("product_id"),
             (category + 1_487_580_000_000_000_000).alias("category_id"),

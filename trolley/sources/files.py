@@ -26,6 +26,28 @@ def remove(spark: SparkSession, path: str) -> None:
     files.delete(where, True)
 
 
+def first_line(spark: SparkSession, path: str) -> str:
+    """The first line of a text file, compressed or not, without reading more of it."""
+    where, files = file_system(spark, path)
+    jvm = spark.sparkContext._jvm
+    codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(
+        spark.sparkContext._jsc.hadoopConfiguration()).getCodec(where)
+    stream = files.open(where)
+    try:
+        if codec is not None:
+            stream = codec.createInputStream(stream)
+        return jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8")).readLine() or ""
+    finally:
+        stream.close()
+
+
+def parts_of(spark: SparkSession, path: str) -> list[str]:
+    """The data files of a folder, or the file itself; names that begin with a dot or an underscore are not data."""
+    where, files = file_system(spark, path)
+    found = [s for s in files.listStatus(where) if s.isFile() and s.getPath().getName()[0] not in "._"]
+    return sorted(s.getPath().toString() for s in found)
+
+
 def matching(spark: SparkSession, pattern: str) -> dict[str, bool]:
     """Names that match a path pattern, and whether each is a folder."""
     where, files = file_system(spark, pattern)

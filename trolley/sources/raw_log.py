@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import csv
 import os
 from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from trolley.schema import DASHBOARD, EVENT_COLUMNS, FUNNEL, MISSING_TEXT, RAGGED, RAW, UNREADABLE
-from trolley.sources.files import matching
+from trolley.functions.clicks import parse_event_time
+from trolley.schema import BAD_TIME, DASHBOARD, EVENT_COLUMNS, FUNNEL, MISSING_TEXT, RAGGED, RAW, UNREADABLE
+from trolley.sources.files import first_line, matching, parts_of
 
 _TEXT_COLUMNS = ["event_type", "category_code", "brand", "user_session"]
 _LONGEST_MISSING = max(map(len, MISSING_TEXT))
@@ -51,47 +54,98 @@ def _number(name: str, kind: T.DataType) -> Column:
     return text.try_cast(kind)
 
 
-def read_events(reader, header: list[str], path: str) -> DataFrame:
-    """The event columns of CSV files whose header is ``header``, in any order, from a (stream) reader.
-
-    Lines with too few or too many fields, and numbers that cannot be read, are marked in ``fault``.
-    """
+def _fields(header: list[str], path: str) -> T.StructType:
     absent = [c for c in EVENT_COLUMNS if c not in header]
     if absent:
         raise ValueError(f"{path} lacks the columns {absent}")
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*header, _BROKEN]])
-    options = {"header": True, "enforceSchema": False, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BROKEN}
-    log = reader.schema(schema).options(**options).csv(path)
+    return T.StructType([T.StructField(c, T.StringType()) for c in [*header, _BROKEN]])
+
+
+_READ = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BROKEN}
+
+
+def _fault() -> Column:
+    """Why a line of text fields cannot be used, if it cannot."""
     unreadable = reduce(
         lambda a, b: a | b, [_present(c).isNotNull() & _number(c, kind).isNull() for c, kind in _NUMBERS.items()])
-    fault = F.when(F.col(_BROKEN).isNotNull(), RAGGED).when(unreadable, UNREADABLE)
+    return F.when(F.col(_BROKEN).isNotNull(), RAGGED).when(unreadable, UNREADABLE)
+
+
+def read_events(reader, header: list[str], *paths: str) -> DataFrame:
+    """The event columns of CSV files whose header is ``header``, in any order, from a (stream) reader.
+
+    Lines with too few or too many fields, and numbers that cannot be read, are marked in ``fault``.
+    """
+    options = {"header": True, "enforceSchema": False, **_READ}
+    log = reader.schema(_fields(header, paths[0])).options(**options).csv(paths[0] if len(paths) == 1 else list(paths))
     return log.select(
         *[_number(c, _NUMBERS[c]).alias(c) if c in _NUMBERS else _present(c).alias(c) if c in _TEXT_COLUMNS else c
           for c in EVENT_COLUMNS],
-        fault.alias("fault"), "_metadata")
+        _fault().alias("fault"), "_metadata")
 
 
 def header_of(spark: SparkSession, path: str) -> list[str]:
     return spark.read.option("header", True).csv(path).columns
 
 
+def _by_header(spark: SparkSession, path: str, folder: bool) -> dict[str, list[str]]:
+    """The files of a month by their first lines: each part of a folder has a header of its own."""
+    if not folder:
+        return {first_line(spark, path): [path]}
+    parts = parts_of(spark, path)
+    with ThreadPoolExecutor(16) as pool:
+        headers = list(pool.map(lambda part: first_line(spark, part), parts))
+    found: dict[str, list[str]] = {}
+    for header, part in zip(headers, parts):
+        if header:  # a part without a line has no rows
+            found.setdefault(header, []).append(part)
+    return found
+
+
+def _names(header: str) -> list[str]:
+    return next(csv.reader([header.removeprefix("\ufeff")]), [])
+
+
 def _load_month(spark: SparkSession, path: str, month: str, folder: bool) -> DataFrame:
-    log = read_events(spark.read, header_of(spark, path), path)
+    if not matching(spark, path):
+        spark.read.text(path)  # raises PATH_NOT_FOUND
+    logs = [read_events(spark.read, _names(h), *parts) for h, parts in sorted(_by_header(spark, path, folder).items())]
+    if not logs:
+        raise ValueError(f"{path} has no header")
     arrival = {
         "arrival_block": F.col("_metadata.file_block_start"),
         "arrival_row": F.monotonically_increasing_id(),
     }
     if folder:
         arrival["arrival_file"] = F.col("_metadata.file_name")
-    return log.withColumns({"month": F.lit(month)} | arrival).drop("_metadata")
+    return reduce(DataFrame.unionByName, [
+        log.withColumns({"month": F.lit(month)} | arrival).drop("_metadata") for log in logs])
+
+
+def rejected_lines(spark: SparkSession, path: str, month: str) -> DataFrame:
+    """Lines of a month that give no event, as they stand in its files: month, file, line and reason.
+
+    Reasons are fields too few or too many, numbers and times that cannot be read.  A line like the file's header counts as
+    one.  This reads the month's files once more, so it is for months in which such lines have been found.
+    """
+    name, folder = _month_files(spark, path).get(month, (f"{month}.csv", False))
+    parts = []
+    for header, files in sorted(_by_header(spark, f"{path}/{name}", folder).items()):
+        text = spark.read.text(files).filter((F.trim("value") != "") & (F.col("value") != F.lit(header)))
+        fields = F.from_csv("value", F.lit(_fields(_names(header), files[0]).simpleString().removeprefix("struct<").removesuffix(">").replace(":", " ")), _READ)
+        read = text.select("value", F.col("_metadata.file_name").alias("file"), fields.alias("read")).select("value", "file", "read.*")
+        timed = F.when(parse_event_time(F.col("event_time")).isNull(), BAD_TIME)
+        parts.append(read.select(
+            F.lit(month).alias("month"), "file", F.col("value").alias("line"), F.coalesce(_fault(), timed).alias("reason")))
+    return reduce(DataFrame.unionByName, parts).filter("reason IS NOT NULL")
 
 
 def load_raw(spark: SparkSession, path: str, months: Iterable[str] | None = None) -> DataFrame:
     """The raw log of the given months (all of the folder if none are given).
 
-    Columns are taken by name, whatever their order; a file that lacks one is refused.  Rows that cannot be read
-    carry a ``fault``.  A month whose file is absent raises PATH_NOT_FOUND.  Each month is a scan of its own with a constant ``month``, so a filter on it drops
-    the other scans from the plan.  The ``arrival`` columns order rows as they stand in the month's files:
+    Columns are taken by name, whatever their order in the file or in each part of a month's folder; a file that lacks
+    one is refused.  Rows that cannot be read carry a ``fault``.  A month whose file is absent raises PATH_NOT_FOUND.
+    Each month has scans of its own with a constant ``month``, so a filter on it drops the other scans from the plan.  The ``arrival`` columns order rows as they stand in the month's files:
     rows of one split are numbered in reading order, whichever task reads it.
     """
     files = _month_files(spark, path)

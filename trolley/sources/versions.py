@@ -110,13 +110,13 @@ class Versions:
 
 def fresh(name: str) -> str:
     """A folder name that nothing has yet."""
-    return f"{name}/version={uuid.uuid4().hex}"
+    return f"{name}/version-{uuid.uuid4().hex}"
 
 
 def _folders(state: object) -> Iterator[str]:
     """All folder names in a state: the texts made by ``fresh``."""
     if isinstance(state, str):
-        if "/version=" in state:
+        if "/version-" in state:
             yield state
     elif isinstance(state, dict):
         for value in state.values():
