@@ -355,12 +355,26 @@ def _labelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 _BITS = [f"p{k}" for k in range(PARITY)]
 
 
+def _once(members: DataFrame) -> DataFrame:
+    """The members (key, a) of one of all groups that have the same ones.
+
+    Alike documents share most of their segments, so most groups say the same as others.  A set of members is known
+    by their number, the least and the greatest, and 128 bits of their hashes.
+    """
+    sets = members.groupBy("key").agg(
+        F.count("*").alias("n"), F.min("a").alias("least"), F.max("a").alias("most"),
+        F.bit_xor(F.xxhash64("a")).alias("d1"), F.bit_xor(F.xxhash64("a", F.lit(1))).alias("d2"))
+    one = sets.groupBy("n", "least", "most", "d1", "d2").agg(F.min("key").alias("key")).select("key")
+    return members.join(one, "key", "left_semi")
+
+
 def _members(ties: DataFrame, pairs: DataFrame, labels: DataFrame, facts: DataFrame) -> DataFrame:
-    """Members (key, a, label, size, parity) of the segments' groups that span several components."""
+    """Members (key, a, label, size, parity) of the segments' groups that span several components, of equal groups one."""
     open_pairs = _labelled(pairs.select("a", "b"), labels).filter("la <> lb").select("a", "b")
     keys = ties.join(open_pairs, ["a", "b"], "left_semi").select("key").distinct()
     members = ties.join(keys, "key", "left_semi")
-    members = members.select("key", F.explode(F.array("a", "b")).alias("a")).distinct().withColumn("b", F.col("a"))
+    members = stored(members.select("key", F.explode(F.array("a", "b")).alias("a")).distinct(), "open")
+    members = _once(members).withColumn("b", F.col("a"))
     members = _labelled(members, labels).select("key", "a", F.col("la").alias("label"))
     return stored(members.join(facts, F.col("a") == F.col("id")).select("key", "a", "label", "n_shingles", *_BITS), "members")
 
