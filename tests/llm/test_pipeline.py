@@ -58,5 +58,5 @@ def test_empty_documents(spark):
 
 def test_every_operator_has_one_query():
     assert sorted(n for n in queries.QUERIES if n.startswith("op")) == sorted(
-        n for n in queries.QUERIES if n[2:].split("_")[0] in {str(k) for k in range(1, 11)})
-    assert len(queries.QUERIES) == 11 and queries.QUERIES["pipeline"] is corpus_pipeline.run
+        n for n in queries.QUERIES if n[2:].split("_")[0] in {str(k) for k in range(1, 14)})
+    assert len(queries.QUERIES) == 14 and queries.QUERIES["pipeline"] is corpus_pipeline.run
