@@ -141,7 +141,7 @@ def test_totals_agree(large):
 
     bands = conversion.abandonment_by_price_band(large.human_items).collect()
     split = conversion.outcome_split(large.human_items).collect()
-    assert sum(r.cart_items for r in bands) == sum(r.cart_items for r in split) == 19575
+    assert sum(r.cart_items for r in bands) == sum(r.cart_items for r in split) == 19566  # 9 fewer than without the times that cannot be read
     assert abs(sum(r.pct_of_all for r in split) - 100) < 0.02
     grains = conversion.funnel_both_grains(large.dim_session, large.human_items).first()
     funnel = conversion.session_funnel(large.dim_session).first()
