@@ -229,6 +229,39 @@ def test_probabilities_sum_to_one():
         assert abs(p.sum() + unknown - 1) < 1e-4
 
 
+def test_tree_is_huffmans():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 8, 9, 700):
+        mass = np.sort(rng.pareto(1, n) + 0.1)[::-1]
+        tree = lm_score.Tree.of(mass)
+        depth, node, child = tree.path(np.arange(n))
+        own = np.repeat(np.arange(n), depth)
+        share = np.exp(np.bincount(own, tree.bias[node, child], n))
+        assert np.allclose(share, mass / mass.sum(), rtol=1e-4)  # the untrained model is the unigram model
+        heap = [*mass.tolist(), *[0.0] * (-(n - 1) % (lm_score.WIDTH - 1))]
+        cost = 0.0
+        while len(heap) > 1:
+            heap.sort()
+            least, heap = sum(heap[: lm_score.WIDTH]), heap[lm_score.WIDTH :]
+            heap.append(least)
+            cost += least
+        assert math.isclose((mass * depth).sum(), cost, rel_tol=1e-9)
+
+
+def test_order_of_words_is_learnt(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "HEAD", 1 << 19)
+    random.seed(5)
+    names = [f"w{k}" for k in range(2500)]  # more words than a table of a fixed thousand would hold
+    texts = []
+    for _ in range(1500):
+        at = random.randrange(2500)
+        texts.append(" ".join(names[(at + k * 7) % 2500] for k in range(40)))
+    docs = docs_of(spark, *enumerate(texts))
+    out = lm_score.score(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0).filter("held_out").collect()
+    gain = sum(r.score - r.base_score for r in out) / sum(r.n_tokens for r in out)
+    assert gain > 0.5
+
+
 def test_no_training_and_no_rows(spark):
     docs = docs_of(spark, (1, "a b"), (2, None))
     out = lm_score.score(docs, F.lit(True)).collect()

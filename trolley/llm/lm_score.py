@@ -4,14 +4,18 @@ Tokens are words (A-Z read as a-z) and one end for each text.  Words are known b
 cover all training texts.  The most frequent ones (at most HEAD) go to every task, whose size is so bounded;
 the others are looked up by a join, over the few tokens that they make up.
 
-The maximum-entropy model predicts a token from hashed features of the words before it: the last word, the last
-two, and, skipping, the second and the third last.  The MODELLED most frequent words fall into classes of CLASS_SIZE; a
-token's probability is that of its class times its own within the class, two short softmaxes.  All other words
-form one more class, within which they have their smoothed unigram probabilities, unknown words that of one
-more word.  So the probabilities of all words and one unknown sum up to one, as in the unigram model.
-
-Training is distributed: in each round every task makes gradient updates on its own texts, and the updates are
-averaged by tokens into the next round's model.  Each round takes its own share of the training texts.
+The maximum-entropy model predicts a token from hashed features of the words before it: the last word, and, skipping
+that, the second last.  All words of the head are modelled; all others together, and unknown ones, are one more
+outcome, within which they have their smoothed unigram probabilities.  The softmax is factored by classes within classes:
+the outcomes are the leaves of a tree (Huffman's, with WIDTH children, so that frequent words take few steps), and a token's
+probability is the product of those of the children on its path, each a softmax of WIDTH.  Such a softmax starts at the
+unigram shares of the children and adds one row of weights for each feature, found in a table by the hash of context and
+class.  So the probabilities of all words and one unknown sum up to one, as in the unigram model.
+
+Training is distributed: in each round every task makes gradient updates on its own texts.  The next round's model takes
+each row's average over the tasks, by the squared gradients that the row met in each, so a context that one task alone has
+seen keeps what was learnt.  Each round takes its own share of the training texts.  The table grows with the number of
+words, up to 2 ** MOST_BITS rows, the bound of what goes to every task.
 
 Null and empty texts are a lone end.  Without training texts all probabilities are those of one unknown word.
 Repeated rows count each time; empty tables give empty results; other columns are not read.
@@ -32,24 +36,31 @@ from trolley.llm._words import Words, chunks, look_up, mix
 SMOOTH = 0.1
 #: Words that every task holds with their counts.
 HEAD = 1 << 19
-MODELLED = 1024
-CLASS_SIZE = 32
-CLASSES = MODELLED // CLASS_SIZE
-#: Rows of the weight tables for classes and for words within classes.
-CLASS_ROWS = 1 << 13
-WORD_ROWS = 1 << 14
+#: Children of a class.
+WIDTH_BITS = 3
+WIDTH = 1 << WIDTH_BITS
+#: The table of weights has 2 ** bits rows, one or two for each modelled word within these bounds.
+LEAST_BITS, MOST_BITS = 12, 19
 ROUNDS = 2
 #: Tokens of one gradient update, and of one batch of scores.
-BATCH = 8192
-RATE = 0.25
-#: Partial sums of a round's updates: the driver adds up this many for each part of the model.
+BATCH = 1024
+RATE = 0.4
+#: Squared gradients that a row starts with.
+SEEN = 2.0
+#: An update is dealt in PARTS, each added up in PARTIAL_SUMS tasks, then in one.
 PARTIAL_SUMS = 8
 PARTS = 16
+#: Tokens that a task learns from at least, if there are more tasks than cores: its update is as large whatever it learns.
+TASK_TOKENS = 4_000_000
 
 _U = np.uint64
 END = _U(0x5D5E0F4B3C2A1907)
+_CHILDREN = np.arange(WIDTH)
+_ONES = np.ones(WIDTH, np.float32)
 _START = _U(0x1B56C4E9A7D3F281)
-_FEATURES = 4
+_FEATURES = 2
+_NODE = _U(0x9E3779B97F4A7C15)
+_SLOT = _U(0xD6E8FEB86659FD93)
 
 
 @dataclass
@@ -58,7 +69,7 @@ class Vocabulary:
 
     words: np.ndarray
     counts: np.ndarray
-    place: np.ndarray  # class * CLASS_SIZE + position of the modelled ones, else -1
+    place: np.ndarray  # rank by count of the modelled ones, else -1
     tokens: int
     types: int
     rest: float  # smoothed mass of all words that are not modelled, and of one unknown word
@@ -68,25 +79,118 @@ class Vocabulary:
         return self.tokens + SMOOTH * (self.types + 1)
 
 
+def _depths(mass: np.ndarray) -> np.ndarray:
+    """Depths of the leaves of Huffman's tree of WIDTH children over ``mass``, which falls and fills up the last class."""
+    n, inner_nodes = len(mass), (len(mass) - 1) // (WIDTH - 1)
+    weight = np.concatenate((mass[::-1], np.full(inner_nodes, np.inf))).tolist()  # leaves from the lightest on, then classes
+    parent = [0] * len(weight)
+    leaf, inner = 0, n
+    for new in range(n, len(weight)):
+        total = 0.0
+        for _ in range(WIDTH):
+            if leaf < n and (inner >= new or weight[leaf] <= weight[inner]):
+                at, leaf = leaf, leaf + 1
+            else:
+                at, inner = inner, inner + 1
+            parent[at] = new
+            total += weight[at]
+        weight[new] = total
+    depth = [0] * len(weight)
+    for at in range(len(weight) - 2, -1, -1):
+        depth[at] = depth[parent[at]] + 1
+    return np.array(depth[:n][::-1], np.int64)
+
+
+@dataclass
+class Tree:
+    """Classes within classes.  A leaf's code names the children that lead to it, from the root on.
+
+    At every depth the leaves have the lowest codes, so a class is numbered by its depth and the code that leads to it.
+    """
+
+    depth: np.ndarray
+    code: np.ndarray
+    shift: np.ndarray  # what a class's code at each depth lacks to its number
+    bias: np.ndarray  # [class, child]: log share of each child
+
+    @classmethod
+    def of(cls, mass: np.ndarray) -> Tree:
+        """The tree over leaves of falling ``mass``."""
+        mass = np.append(mass, np.zeros(-(len(mass) - 1) % (WIDTH - 1)))
+        depth = _depths(mass)
+        order = np.argsort(depth, kind="stable")
+        deepest = int(depth.max())
+        leaves = np.bincount(depth, minlength=deepest + 1)
+        code, shift = np.zeros(len(mass), np.int64), np.zeros(deepest + 1, np.int64)
+        classes, low, at, number = [], 0, 0, 0
+        for d in range(deepest + 1):
+            own = order[at : at + leaves[d]]
+            code[own] = low + np.arange(len(own))
+            at, low = at + len(own), low + len(own)
+            classes.append((1 << d * WIDTH_BITS) - low)
+            shift[d] = number - low
+            number, low = number + classes[-1], low << WIDTH_BITS
+        bias, inner = np.zeros((number, WIDTH)), np.zeros(0)
+        for d in range(deepest, 0, -1):
+            at -= leaves[d]
+            children = np.concatenate((mass[order[at : at + leaves[d]]], inner)).reshape(-1, WIDTH)
+            inner = children.sum(axis=1)
+            number -= classes[d]
+            bias[number - classes[d - 1] : number] = np.log(np.maximum(children / inner[:, None], 1e-300))
+        return cls(depth, code, shift, bias.astype(np.float32))
+
+    def path(self, leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Depth of each leaf; then, for all steps to all leaves, the class and which child it goes on in."""
+        depth = self.depth[leaf]
+        rest = np.repeat(np.cumsum(depth), depth) - np.arange(int(depth.sum()))
+        code = np.repeat(self.code[leaf], depth) >> (rest - 1) * WIDTH_BITS
+        step = np.repeat(depth, depth) - rest
+        return depth, (code >> WIDTH_BITS) + self.shift[step], code & (WIDTH - 1)
+
+
 @dataclass
 class Model:
-    class_weights: np.ndarray  # [CLASS_ROWS, CLASSES + 1]; the last class holds all words not modelled
-    word_weights: np.ndarray  # [WORD_ROWS, CLASS_SIZE]
-    class_bias: np.ndarray
-    word_bias: np.ndarray  # [CLASSES, CLASS_SIZE]
+    tree: Tree  # its leaves: the modelled words by falling count, and all others where they fall among them
+    leaf: np.ndarray  # leaf of each place; the last one is that of all other words
+    weights: np.ndarray  # [row, child]
+    seen: np.ndarray  # squared gradients that each row has met
 
     @classmethod
     def of(cls, v: Vocabulary) -> Model:
         """The model without context: unigram probabilities."""
-        mass = np.zeros(MODELLED)
         known = v.place >= 0
+        mass = np.zeros(int(known.sum()) + 1)
         mass[v.place[known]] = v.counts[known] + SMOOTH
-        of_class = np.append(mass.reshape(CLASSES, CLASS_SIZE).sum(axis=1), v.rest)
-        with np.errstate(divide="ignore"):
-            return cls(
-                np.zeros((CLASS_ROWS, CLASSES + 1), np.float32), np.zeros((WORD_ROWS, CLASS_SIZE), np.float32),
-                np.maximum(np.log(of_class), -1e4).astype(np.float32),
-                np.maximum(np.log(mass.reshape(CLASSES, CLASS_SIZE)), -1e4).astype(np.float32))
+        mass[-1] = v.rest
+        order = np.argsort(-mass, kind="stable")
+        leaf = np.empty(len(mass), np.int64)
+        leaf[order] = np.arange(len(mass))
+        rows = 1 << min(max(len(mass).bit_length(), LEAST_BITS), MOST_BITS)
+        return cls(Tree.of(mass[order]), leaf, np.zeros((rows, WIDTH), np.float32), np.full(rows, SEEN, np.float32))
+
+    def rows(self, contexts: np.ndarray, depth: np.ndarray, node: np.ndarray) -> np.ndarray:
+        """Rows of the table of weights, [feature, step]."""
+        shift = _U(65 - len(self.weights).bit_length())
+        key = node.astype(np.uint64) * _NODE
+        out = np.empty((_FEATURES, len(node)), np.int64)
+        for k in range(_FEATURES):
+            mixed = np.repeat(contexts[k], depth)
+            mixed ^= key
+            mixed *= _SLOT
+            mixed >>= shift
+            out[k] = mixed
+        return out
+
+    def odds(self, node: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Logits of the children, [step, child], their exponentials and the sums of these.
+
+        Logits stay small, since they start at log shares, whose exponentials add up to one.
+        """
+        logits = np.take(self.tree.bias, node, axis=0, mode="clip")
+        for own in rows:
+            logits += np.take(self.weights, own, axis=0, mode="clip")
+        powers = np.exp(logits)
+        return logits, powers, powers @ _ONES
 
 
 def _tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -103,50 +207,24 @@ def _tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _contexts(tokens: np.ndarray, position: np.ndarray) -> np.ndarray:
     """Hashes of the features of each token, [feature, token]."""
     back = []
-    for k in (1, 2, 3):
+    for k in (1, 2):
         before = np.full(len(tokens), _START + _U(k), np.uint64)
         before[k:] = np.where(position[k:] >= k, tokens[:-k], before[k:])
         back.append(before)
-    one, two, three = back
-    return np.stack([mix(one), mix(one * _U(3) + mix(two)), mix(two + _U(0x2F)), mix(three + _U(0x71))])
-
-
-def _class_rows(contexts: np.ndarray) -> np.ndarray:
-    return (contexts >> _U(20)) % _U(CLASS_ROWS)
-
-
-def _word_rows(contexts: np.ndarray, kind: np.ndarray) -> np.ndarray:
-    return (mix(contexts + kind.astype(np.uint64)) >> _U(20)) % _U(WORD_ROWS)
-
-
-def _logits(table: np.ndarray, rows: np.ndarray, bias: np.ndarray) -> np.ndarray:
-    out = table[rows[0]]
-    for k in range(1, _FEATURES):
-        out += table[rows[k]]
-    out += bias
-    return out
-
-
-def _log_softmax(logits: np.ndarray) -> np.ndarray:
-    logits -= logits.max(axis=1, keepdims=True)
-    logits -= np.log(np.exp(logits).sum(axis=1, keepdims=True))
-    return logits
+    one, two = back
+    return np.stack([mix(one), mix(two + _U(0x2F))])
 
 
 def log_chances(model: Model, place: np.ndarray, contexts: np.ndarray) -> np.ndarray:
-    """Natural log probability of each token; of its class alone where it is not modelled (place -1)."""
+    """Natural log probability of each token; of all other words together where it is not modelled (place -1)."""
     out = np.zeros(len(place))
     for start in range(0, len(place), BATCH):
         here, ctx = place[start : start + BATCH], contexts[:, start : start + BATCH]
-        kind = np.where(here >= 0, here // CLASS_SIZE, CLASSES)
-        chance = _log_softmax(_logits(model.class_weights, _class_rows(ctx), model.class_bias))
-        own = chance[np.arange(len(here)), kind].astype(np.float64)
-        at = np.flatnonzero(here >= 0)
-        if len(at):
-            rows = _word_rows(ctx[:, at], kind[at])
-            within = _log_softmax(_logits(model.word_weights, rows, model.word_bias[kind[at]]))
-            own[at] += within[np.arange(len(at)), here[at] % CLASS_SIZE]
-        out[start : start + BATCH] = own
+        depth, node, child = model.tree.path(model.leaf[here])
+        logits, _, total = model.odds(node, model.rows(ctx, depth, node))
+        chance = logits[np.arange(len(child)), child] - np.log(total)
+        own = np.repeat(np.arange(len(here)), depth)
+        out[start : start + BATCH] = np.bincount(own, chance, len(here))
     return out
 
 
@@ -154,44 +232,31 @@ class _Learner:
     """A task's copy of the model, updated batch by batch with steps that shrink row by row."""
 
     def __init__(self, model: Model) -> None:
-        self.model = Model(model.class_weights.copy(), model.word_weights.copy(), model.class_bias, model.word_bias)
+        self.model = Model(model.tree, model.leaf, model.weights.copy(), model.seen.copy())
         self._start = model
-        self._class_seen = np.full(CLASS_ROWS, 1.0, np.float32)
-        self._word_seen = np.full(WORD_ROWS, 1.0, np.float32)
         self.tokens = 0
 
-    @staticmethod
-    def _step(table: np.ndarray, seen: np.ndarray, rows: np.ndarray, error: np.ndarray) -> None:
-        flat = rows.ravel().astype(np.uint16)  # row numbers fit, and short numbers sort fastest
-        order = np.argsort(flat, kind="stable")
-        ranked = flat[order].astype(np.int64)
-        first = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
-        sums = np.add.reduceat(np.take(error, order % len(error), axis=0), first, axis=0)
-        own = ranked[first]
-        seen[own] += (sums * sums).sum(axis=1)
-        table[own] -= RATE * sums / np.sqrt(seen[own])[:, None]
-
     def learn(self, place: np.ndarray, contexts: np.ndarray) -> None:
         m = self.model
+        flat = m.weights.reshape(-1)
         for start in range(0, len(place), BATCH):
             here, ctx = place[start : start + BATCH], contexts[:, start : start + BATCH]
-            kind = np.where(here >= 0, here // CLASS_SIZE, CLASSES)
-            rows = _class_rows(ctx)
-            error = np.exp(_log_softmax(_logits(m.class_weights, rows, m.class_bias)))
-            error[np.arange(len(here)), kind] -= 1
-            self._step(m.class_weights, self._class_seen, rows, error)
-            at = np.flatnonzero(here >= 0)
-            if len(at):
-                rows = _word_rows(ctx[:, at], kind[at])
-                error = np.exp(_log_softmax(_logits(m.word_weights, rows, m.word_bias[kind[at]])))
-                error[np.arange(len(at)), here[at] % CLASS_SIZE] -= 1
-                self._step(m.word_weights, self._word_seen, rows, error)
+            depth, node, child = m.tree.path(m.leaf[here])
+            rows = m.rows(ctx, depth, node)
+            _, error, total = m.odds(node, rows)
+            error /= total[:, None]
+            error[np.arange(len(child)), child] -= 1
+            squares = (error * error) @ _ONES
+            for own in rows:
+                np.add.at(m.seen, own, squares)
+                step = error * (np.float32(-RATE) / np.sqrt(m.seen[own]))[:, None]
+                np.add.at(flat, ((own * WIDTH)[:, None] + _CHILDREN).ravel(), step.ravel())
             self.tokens += len(here)
 
-    def update(self) -> np.ndarray:
-        """What was learnt, weighted by tokens, as one row."""
-        parts = [self.model.class_weights - self._start.class_weights, self.model.word_weights - self._start.word_weights]
-        return np.concatenate([p.ravel() for p in parts]) * np.float32(self.tokens)
+    def update(self, own: slice) -> np.ndarray:
+        """Squared gradients that each row of a part met, and what was learnt times these: [row, 1 + child]."""
+        met = (self.model.seen[own] - self._start.seen[own])[:, None]
+        return np.hstack([met, (self.model.weights[own] - self._start.weights[own]) * met])
 
 
 def _places(v: Vocabulary, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -243,7 +308,7 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     order = np.argsort(words)
     words, n = words[order], n[order]
     place = np.full(len(words), -1, np.int64)
-    top = np.lexsort((words, -n))[:MODELLED]
+    top = np.lexsort((words, -n))
     place[top] = np.arange(len(top))
     rest = tokens - int(n[top].sum()) + SMOOTH * (types - len(top) + 1)
     return Vocabulary(words, n, place, tokens, types, rest)
@@ -252,7 +317,8 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
 def train(rows: DataFrame, v: Vocabulary) -> Model:
     """Averaged gradient updates over all texts of ``rows`` (columns key, text)."""
     model = Model.of(v)
-    sizes = [model.class_weights.size, model.word_weights.size]
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, v.tokens // (ROUNDS * TASK_TOKENS))
+    shape = "part long, met binary"
     for turn in range(ROUNDS):
         start = model
 
@@ -262,40 +328,43 @@ def train(rows: DataFrame, v: Vocabulary) -> Model:
                 tokens, _, position = _tokens(texts)
                 learner.learn(_places(v, tokens)[0], _contexts(tokens, position))
             if learner.tokens:
-                for k, piece in enumerate(np.array_split(learner.update(), PARTS)):
-                    columns = [pa.array([k]), pa.array([learner.tokens]), pa.array([piece.tobytes()], pa.binary())]
-                    yield pa.RecordBatch.from_arrays(columns, names=["part", "tokens", "piece"])
+                for k, own in enumerate(_parts(start)):
+                    yield _piece(k, learner.update(own))
 
         def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sums: dict[int, list] = {}
+            sums: dict[int, np.ndarray] = {}
             for batch in batches:
-                for k, n, piece in zip(*(c.to_pylist() for c in batch.columns[:3])):
-                    own = sums.setdefault(k, [0, 0])
-                    own[0] += n
-                    own[1] = own[1] + np.frombuffer(piece, np.float32)
-            for k, (n, piece) in sums.items():
-                columns = [pa.array([k]), pa.array([n]), pa.array([piece.tobytes()], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["part", "tokens", "piece"])
+                for k, piece in zip(*(c.to_pylist() for c in batch.columns[:2])):
+                    sums[k] = sums.get(k, 0) + np.frombuffer(piece, np.float32)
+            for k, piece in sums.items():
+                yield _piece(k, piece)
 
         own = rows.filter(F.pmod(F.xxhash64("key", F.lit(2)), F.lit(ROUNDS)) == turn).select("key", "text")
-        shape = "part long, tokens long, piece binary"
-        pieces = own.mapInArrow(learn, shape).withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(PARTIAL_SUMS)))
-        sums = pieces.repartition(PARTS * PARTIAL_SUMS, "part", "salt").mapInArrow(add_up, shape).collect()
-        update, tokens = [], 0
-        for k in range(PARTS):
-            mine = [r for r in sums if r["part"] == k]
-            tokens = sum(r["tokens"] for r in mine)
-            if mine:
-                update.append(np.sum([np.frombuffer(r["piece"], np.float32) for r in mine], axis=0) / tokens)
-        if update:
-            flat = np.concatenate(update).astype(np.float32)
-            model = Model(
-                start.class_weights + flat[: sizes[0]].reshape(start.class_weights.shape),
-                start.word_weights + flat[sizes[0] :].reshape(start.word_weights.shape),
-                start.class_bias, start.word_bias)
+        pieces = own.coalesce(int(tasks)).mapInArrow(learn, shape).withColumn(
+            "salt", F.pmod(F.spark_partition_id(), F.lit(PARTIAL_SUMS)))
+        some = pieces.repartition(PARTS * PARTIAL_SUMS, "part", "salt").mapInArrow(add_up, shape)
+        whole = some.repartition(PARTS, "part").mapInArrow(add_up, shape).collect()  # one model
+        if whole:
+            model = Model(start.tree, start.leaf, start.weights.copy(), start.seen.copy())
+            for k, own in enumerate(_parts(start)):
+                for r in whole:
+                    if r["part"] == k:
+                        met = np.frombuffer(r["met"], np.float32).reshape(-1, 1 + WIDTH)
+                        model.weights[own] += met[:, 1:] / np.maximum(met[:, :1], 1e-12)
+                        model.seen[own] += met[:, 0] / tasks
     return model
 
 
+def _parts(model: Model) -> list[slice]:
+    size = -(-len(model.weights) // PARTS)
+    return [slice(k * size, (k + 1) * size) for k in range(PARTS)]
+
+
+def _piece(part: int, met: np.ndarray) -> pa.RecordBatch:
+    columns = [pa.array([part], pa.int64()), pa.array([met.tobytes()], pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=["part", "met"])
+
+
 def score(
     docs: DataFrame, held_out: Column, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
