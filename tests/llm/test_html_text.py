@@ -1,5 +1,8 @@
 import html
 import re
+import time
+
+import pytest
 
 from trolley.llm.html_text import content, extract
 
@@ -30,6 +33,34 @@ def test_broken_and_empty_pages():
     assert content("<article><p>open <b>and never closed") == ["open and never closed"]
 
 
+def test_nothing_else_is_dropped():
+    page = """<nav>A menu</nav><article><p>The area is <math>x=2</math> metres <span aria-hidden="true">visible words</span> and goes
+    on</p><p style="display:none">Kept</p><button>Press</button><ul class="tags"><li>one</li></ul><div class="related">See this</div></article>"""
+    assert content(page) == ["The area is x=2 metres visible words and goes on", "Kept", "Press", "one", "See this"]
+
+
+def test_inline_boilerplate_leaves_its_line_whole():
+    assert content('<article><p>one <span class="ad">Buy!</span>two</p><a class="promo"><div>No</div></a><p>three</article>') == ["one two", "three"]
+    assert content('<p>one <a class="share">Share</a> two</p><p><span class="cookie">We use cookies</span></p>') == ["one two"]
+
+
+def test_head_without_an_end():
+    assert content("<head><title>T</title><style>p{}</style><p>text") == ["text"]
+
+
+@pytest.mark.parametrize("page, want", [
+    ("<div>" * 200_000 + "x", ["x"]), ("<div>" * 200_000 + "x" + "</p>" * 200_000, ["x"]), ("<span>" * 200_000 + "x" + "</b>" * 200_000, ["x"]),
+    ("<ul><li>" * 100_000 + "x", ["x"]), ("<div><p>x</div>" * 100_000, ["x"] * 100_000), ("<article>x</article>" * 50_000, ["x"] * 50_000),
+    ("<b>" * 100_000 + "<p>x</p>" * 100_000, ["x"] * 100_000), ("<p>x</p><aside>y</aside>" * 50_000, ["x"] * 50_000),
+    ('<b><div class="ad"></b>x' * 50_000, ["x"] * 1), ("x&amp;" * 500_000, ["x&" * 500_000]),
+])
+def test_time_grows_with_the_length_of_a_page(page, want):
+    start = time.process_time()
+    found = content(page)
+    assert time.process_time() - start < 20
+    assert found == want or "ad" in page
+
+
 def test_data_pages_and_table(spark):
     pages = spark.read.parquet(f"{DATA}/pages.parquet")
     more = spark.createDataFrame([(-1, None, None), (-2, "u", ""), (-3, "u", "<p>x</p>" * 5000)], "page_id long, url string, html string")

@@ -7,6 +7,11 @@ regions: one for each article element (else each main element), or, on pages wit
 lines left out, where those within one div, section or cell count as one.  The ratios are smoothed with a Gaussian within their region, the smoothed values are parted into
 two clusters, and every region that reaches the upper cluster is content, with all its blocks, short ones included.
 
+All text of a content line counts, whatever element holds it and whether style sheets would show it, but for scripts,
+styles, form controls and embedded pages.  An inline element that is marked as boilerplate loses its own text alone: the
+line around it stays whole.  Time grows with the length of a page however deep its elements lie, open or closed: the place
+of the last open element of each name is known.
+
 Null and empty pages have an empty text, and so have pages without a content line.  Broken markup is read as
 the parser reads it.  Repeated rows get equal results, empty tables empty ones, other columns are not read.
 """
@@ -14,6 +19,7 @@ the parser reads it.  Repeated rows get equal results, empty tables empty ones,
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -30,8 +36,10 @@ BLOCKS = frozenset(
     "tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose text is never shown as text of the page.
-SILENT = frozenset("script style noscript template head title svg math iframe object canvas select textarea button datalist".split())
+#: Elements whose text is none of the page's: scripts, styles, markup kept for later, controls of forms, embedded pages.
+SILENT = frozenset("script style template head title iframe select textarea datalist".split())
+#: Elements that may stand in a head; any other one ends it.
+IN_HEAD = frozenset("base link meta noscript script style template title".split())
 #: Elements that are no article text.
 BOILERPLATE = frozenset("nav footer aside form menu dialog".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
@@ -49,6 +57,8 @@ HOLDERS = {"main": 1, "article": 2}
 GROUPS = frozenset(["body", "center", "div", "section", "td"])
 #: Marks that count on an article, too (a comment or a teaser may be one); the whole page is never marked.
 ARTICLE_MARKS = frozenset("ad advert advertisement comment comments promo promoted related reply sponsored teaser".split())
+#: Marks that say nothing inside an article: its own header, and lists of its tags or links, which are its text.
+HELD_MARKS = MARKS - frozenset("header masthead related share sharing social tags toolbar widget".split())
 #: A start tag on the left closes an open element on the right, as browsers do.
 _CLOSES_P = BLOCKS - frozenset("body html caption tbody td tfoot th thead tr".split())
 
@@ -65,18 +75,23 @@ class _Lines(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int, int, bool, tuple[int, int], int]] = []
         self._text: list[str] = []
+        self._dropped: list[str] = []  # text of inline boilerplate
         self._tags = self._linked = 0
         self._open: list[tuple[str, bool, bool]] = []  # element, silent, boilerplate
-        self._silent = self._plate = self._links = self._seen = 0
+        self._places: defaultdict[str, list[int]] = defaultdict(list)  # of the open elements of each name
+        self._silent = self._plate = self._inline = self._links = self._seen = 0
         self._groups = [0]
         self._holders = [(0, 0)]  # how sure the innermost holder is, and its number on the page
 
     def _end_line(self) -> None:
-        if self._text:
+        if self._text or self._dropped:
             text = " ".join("".join(self._text).split())
+            plate = self._plate > 0 or not text
+            text = text or " ".join("".join(self._dropped).split())
             if text:
-                self.lines.append((text, self._tags, self._linked, self._plate > 0, self._holders[-1], self._groups[-1]))
+                self.lines.append((text, self._tags, self._linked, plate, self._holders[-1], self._groups[-1]))
             self._text.clear()
+            self._dropped.clear()
         self._tags = self._linked = 0
 
     def _marked(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
@@ -85,12 +100,8 @@ class _Lines(HTMLParser):
             return True
         if tag in ("body", "html", "main"):
             return False
-        marks = ARTICLE_MARKS if tag == "article" else MARKS - {"header"} if held else MARKS
+        marks = ARTICLE_MARKS if tag == "article" else HELD_MARKS if held else MARKS
         for name, value in attrs:
-            if name == "hidden" or (name == "aria-hidden" and value == "true"):
-                return True
-            if name == "style" and value and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-                return True
             if name == "role" and value and value.strip().lower() in ROLES:
                 return True
             if name in ("class", "id") and value and any(p.lower() in marks for p in _PIECES.findall(value)):
@@ -98,17 +109,28 @@ class _Lines(HTMLParser):
         return False
 
     def _pop_to(self, at: int) -> None:
-        for tag, silent, plate in self._open[at:]:
+        while len(self._open) > at:
+            tag, silent, plate = self._open.pop()
+            self._places[tag].pop()
             self._silent -= silent
-            self._plate -= plate
+            if tag in BLOCKS:
+                self._plate -= plate
+            else:
+                self._inline -= plate
             if tag in HOLDERS:
                 self._holders.pop()
             elif tag in GROUPS:
                 self._groups.pop()
             self._links -= tag == "a"
-        del self._open[at:]
+
+    def _last(self, tag: str) -> int:
+        """Place of the last open element of a name, -1 if there is none."""
+        places = self._places.get(tag)
+        return places[-1] if places else -1
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag not in IN_HEAD:
+            self._close("head", stop=frozenset())
         if tag in BLOCKS:
             self._end_line()
             if tag in _CLOSES_P:
@@ -120,15 +142,15 @@ class _Lines(HTMLParser):
             return
         if tag in ("li", "dt", "dd", "td", "th", "tr", "option"):
             self._close(tag, stop=frozenset(["ul", "ol", "menu", "dl", "table"]))
-        if tag == "body":
-            self._close("head", stop=frozenset())
         silent, plate = tag in SILENT, self._marked(tag, attrs)
-        if plate and tag not in BLOCKS:
-            self._end_line()
         self._tags += 1
+        self._places[tag].append(len(self._open))
         self._open.append((tag, silent, plate))
         self._silent += silent
-        self._plate += plate
+        if tag in BLOCKS:
+            self._plate += plate
+        else:
+            self._inline += plate
         if tag in HOLDERS:
             self._seen += 1
             self._holders.append((HOLDERS[tag], self._seen))
@@ -143,26 +165,28 @@ class _Lines(HTMLParser):
             self.handle_endtag(tag)
 
     def _close(self, tag: str, stop: frozenset[str]) -> None:
-        for at in range(len(self._open) - 1, -1, -1):
-            if self._open[at][0] == tag:
-                self._pop_to(at)
-                return
-            if self._open[at][0] in stop:
-                return
+        """Close the last open element of a name, unless one of ``stop`` was opened after it."""
+        at = self._last(tag)
+        if at >= 0 and all(self._last(other) < at for other in stop):
+            self._pop_to(at)
 
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCKS:
             self._end_line()
-        for at in range(len(self._open) - 1, -1, -1):
-            if self._open[at][0] == tag:
-                if any(plate for _, _, plate in self._open[at:]):
+        at = self._last(tag)
+        if at >= 0:
+            if tag not in BLOCKS:
+                self._tags += 1
+                if any(name in BLOCKS and plate for name, _, plate in self._open[at:]):
                     self._end_line()
-                self._tags += tag not in BLOCKS
-                self._pop_to(at)
-                return
+            self._pop_to(at)
 
     def handle_data(self, data: str) -> None:
-        if not self._silent:
+        if self._silent:
+            return
+        if self._inline:
+            self._dropped.append(data)
+        else:
             self._text.append(data)
             if self._links:
                 self._linked += len(data.strip())
@@ -197,8 +221,9 @@ def _stretches(open_: np.ndarray, groups: list[int]) -> np.ndarray:
     joined: dict[int, int] = {}
 
     def root(k: int) -> int:
-        while joined.get(k, k) != k:
-            k = joined[k]
+        while (up := joined.get(k, k)) != k:
+            joined[k] = joined.get(up, up)
+            k = up
         return k
 
     first: dict[int, int] = {}
@@ -223,13 +248,15 @@ def content(html: str) -> list[str]:
         return []
     ratio = np.maximum(0, np.array([len(t) for t in texts]) - linked) / np.maximum(1, tags)
     region = np.array([h[1] for h in holders]) if sure else _stretches(open_, groups)
-    regions = {k: np.flatnonzero((region == k) & open_) for k in np.unique(region[open_])}
+    shown = np.flatnonzero(open_)
+    shown = shown[np.argsort(region[shown], kind="stable")]
+    regions = np.split(shown, np.flatnonzero(np.diff(region[shown])) + 1)
     smooth = np.zeros(len(lines))
-    for own in regions.values():
+    for own in regions:
         weight = np.convolve(np.ones(len(own)), _KERNEL)[_REACH : _REACH + len(own)]
         smooth[own] = np.convolve(ratio[own], _KERNEL)[_REACH : _REACH + len(own)] / weight
     least = _upper_cluster(smooth)
-    rows = np.concatenate([own for own in regions.values() if smooth[own].max() >= least] or [np.zeros(0, int)])
+    rows = np.concatenate([own for own in regions if smooth[own].max() >= least] or [np.zeros(0, int)])
     return [texts[i] for i in np.sort(rows)]
 
 
