@@ -176,6 +176,17 @@ def test_later_models_see_out_of_fold_predictions():
     assert [len(w) for w in chain.weights] == [6, 7] and chain.weights[1][6] > 0
 
 
+def test_long_texts_leave_every_language_its_sample(spark):
+    rows = [(k, text_in(("aa", "bb")[k % 2], 30), ("aa", "bb")[k % 2]) for k in range(200)]
+    rows += [(1000, text_in("aa", 20) + " " + text_in("aa", 40) * 2000, "aa"), (1001, "zyx wvu tsr " * 3000, "cc")]
+    rows += [(2000 + k, "the same text", "bb") for k in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(docs, F.lit(True), max_bytes=60_000)
+    assert list(model.languages) == ["aa", "bb", "cc"]
+    found = language_id.predict(docs.filter("doc_id < 200"), model).collect()
+    assert sum(r.lang_pred == ("aa", "bb")[r.doc_id % 2] for r in found) >= 195
+
+
 # language-model scores
 
 def lm_rows():

@@ -177,36 +177,39 @@ def fit(
     label_column: str = "lang",
     key_column: str = "doc_id",
     per_language: int = 600,
-    max_languages: int = 200,
     max_bytes: int = 24_000_000,
 ) -> LanguageModel:
     """Fit on a bounded sample of the labelled rows that satisfy ``learn_from``.
 
-    At most ``per_language`` texts of each of the ``max_languages`` most frequent languages, chosen by a hash of
-    the key, and at most ``max_bytes`` bytes of whole texts in all, are brought to the driver.
+    Of every language texts are taken by a hash of the key, at most ``per_language`` and at most its equal share of
+    ``max_bytes`` in all, and brought to the driver whole.  A text longer than the share is passed over, unless its language
+    has no shorter one; then the shortest is taken.  So no language is left out for another one's long texts.
     """
-    lettered = F.col("text").rlike("\\p{L}")
     rows = docs.filter(learn_from).select(
         docs[text_column].alias("text"), docs[label_column].alias("label"),
         F.pmod(F.xxhash64(docs[key_column].cast("string"), F.lit(11)), F.lit(1 << 30)).alias("draw"),
-    ).filter(F.col("label").isNotNull() & F.col("text").isNotNull())
-    sizes = rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(max_languages).collect()
-    if not sizes:
+    ).filter(F.col("label").isNotNull() & F.col("text").isNotNull() & F.col("text").rlike("\\p{L}"))
+    rows = rows.withColumn("digest", F.xxhash64("text")).withColumn("bytes", F.octet_length("text").cast("long"))
+    key = ["label", "draw", "digest"]
+    found = rows.groupBy("label", F.floor(F.log2("bytes")).alias("band")).agg(
+        F.count("*").alias("n"), F.min(F.struct("bytes", "draw", "digest")).alias("least")).collect()  # some of each language
+    if not found:
         return train([], [])
-    share = F.coalesce(
-        *[F.when(F.col("label") == r["label"], F.lit(2.0 * per_language / r["count"])) for r in sizes], F.lit(0.0)
-    )
-    by_draw = Window.partitionBy("label").orderBy("draw", "text")
-    so_far = Window.orderBy("nth", "label").rowsBetween(Window.unboundedPreceding, 0)
-    sample = (
-        rows.filter((F.col("draw") < share * F.lit(float(1 << 30))) & lettered)
-        .withColumn("nth", F.row_number().over(by_draw))
-        .filter(F.col("nth") <= per_language)
-        .withColumn("total", F.sum(F.octet_length("text")).over(so_far))
-        .filter(F.col("total") <= max_bytes)
-        .select("text", "label")
-        .collect()
-    )
+    least = {label: min(r["least"] for r in found if r["label"] == label) for label in {r["label"] for r in found}}
+    share = max_bytes // len(least)
+    room = {label: max(share, r["bytes"]) for label, r in least.items()}
+    fitting = {label: sum(r["n"] for r in found if r["label"] == label and r["least"]["bytes"] <= room[label]) for label in least}
+    sizes = docs.sparkSession.createDataFrame(
+        [(label, room[label], 2.0 * per_language / fitting[label] * (1 << 30)) for label in least],
+        "label string, room long, below double")
+    drawn = rows.drop("text").join(sizes, "label").filter("bytes <= room and draw < below")  # numbers, of about 2 per_language rows
+    order = Window.partitionBy("label").orderBy("draw", "digest")
+    drawn = drawn.withColumn("nth", F.row_number().over(order)).withColumn(
+        "total", F.sum("bytes").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    chosen = [tuple(r) for r in drawn.filter((F.col("nth") <= per_language) & (F.col("total") <= F.col("room"))).select(*key).collect()]
+    chosen += [(label, r["draw"], r["digest"]) for label, r in least.items() if label not in {c[0] for c in chosen}]
+    chosen = F.broadcast(docs.sparkSession.createDataFrame(chosen, "label string, draw long, digest long"))  # per_language each
+    sample = rows.join(chosen, key, "left_semi").dropDuplicates(key).select("text", "label").collect()
     sample.sort(key=lambda r: (r["label"], r["text"]))
     return train([r["text"].encode() for r in sample], [r["label"] for r in sample])
 
