@@ -47,7 +47,7 @@ BATCH = 1024
 RATE = 0.4
 #: Squared gradients that a row starts with.
 SEEN = 2.0
-#: An update is dealt in PARTS, each added up in PARTIAL_SUMS tasks, then in one.
+#: An update is dealt in PARTS, each added up in PARTIAL_SUMS tasks if there are more than so many, then in one.
 PARTIAL_SUMS = 8
 PARTS = 16
 #: Tokens that a task learns from at least, if there are more tasks than cores: its update is as large whatever it learns.
@@ -342,8 +342,9 @@ def train(rows: DataFrame, v: Vocabulary) -> Model:
         own = rows.filter(F.pmod(F.xxhash64("key", F.lit(2)), F.lit(ROUNDS)) == turn).select("key", "text")
         pieces = own.coalesce(int(tasks)).mapInArrow(learn, shape).withColumn(
             "salt", F.pmod(F.spark_partition_id(), F.lit(PARTIAL_SUMS)))
-        some = pieces.repartition(PARTS * PARTIAL_SUMS, "part", "salt").mapInArrow(add_up, shape)
-        whole = some.repartition(PARTS, "part").mapInArrow(add_up, shape).collect()  # one model
+        if tasks > PARTIAL_SUMS:
+            pieces = pieces.repartition(PARTS * PARTIAL_SUMS, "part", "salt").mapInArrow(add_up, shape)
+        whole = stored(pieces.repartition(PARTS, "part").mapInArrow(add_up, shape), "update").collect()  # one model
         if whole:
             model = Model(start.tree, start.leaf, start.weights.copy(), start.seen.copy())
             for k, own in enumerate(_parts(start)):
