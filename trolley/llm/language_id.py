@@ -199,9 +199,9 @@ def fit(
     share = max_bytes // len(least)
     room = {label: max(share, r["bytes"]) for label, r in least.items()}
     fitting = {label: sum(r["n"] for r in found if r["label"] == label and r["least"]["bytes"] <= room[label]) for label in least}
-    sizes = docs.sparkSession.createDataFrame(
+    sizes = F.broadcast(docs.sparkSession.createDataFrame(  # one row of each language, all of them here already
         [(label, room[label], 2.0 * per_language / fitting[label] * (1 << 30)) for label in least],
-        "label string, room long, below double")
+        "label string, room long, below double"))
     drawn = rows.drop("text").join(sizes, "label").filter("bytes <= room and draw < below")  # numbers, of about 2 per_language rows
     order = Window.partitionBy("label").orderBy("draw", "digest")
     drawn = drawn.withColumn("nth", F.row_number().over(order)).withColumn(
