@@ -7,8 +7,8 @@ wholly in one segment at least.  Every document enters its segments into the ind
 above that a larger partner may lie in.
 
 Segments without n-grams agree in unrelated documents.  The cost of entering them (the documents of the band
-times the chance of an empty segment) is weighed against that of doing without; where it is higher they are left
-out and paid for by one-deletion neighbourhoods:  if two alike sets agree in z empty segments alone, then at
+times the chance of an empty segment, each read whole) is weighed against that of doing without; where it is
+higher they are left out and paid for by one-deletion neighbourhoods:  if two alike sets agree in z empty segments alone, then at
 most z - 1 of the others hold more than one of the H differences.  So a document with z empty segments enters,
 besides its segments, all one-deletions of its first segments, until z of at least two n-grams are covered; one
 of these differs by a single n-gram.  A document whose n-grams lie so close together that there may be too few of
@@ -173,9 +173,12 @@ def entries(
 
 
 def _skips_empty(band: int, m: int, crowd: dict[int, int]) -> bool:
-    """Whether meeting all other empty segments costs more than the one-deletions of a segment."""
+    """Whether meeting all other empty segments costs more than the one-deletions of a segment.
+
+    An entry is the unit of cost.  A document met without cause is read whole, which costs its size.
+    """
     load = BANDS[band] / m
-    return crowd.get(band, 0) * np.exp(-load) > load + 1
+    return crowd.get(band, 0) * np.exp(-load) * BANDS[band] > load + 1
 
 
 def _measured(docs: DataFrame, rule: Threshold) -> DataFrame:
