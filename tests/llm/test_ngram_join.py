@@ -77,3 +77,26 @@ def test_components_of_a_long_chain(spark):
 def test_empty_table(spark):
     out = join(docs_of(spark, (1, "a")).limit(0))
     assert out.columns == ["doc_id", "n_shingles", "component_id"] and out.collect() == []
+
+
+def test_sketches_never_rule_out_alike_sets(spark):
+    """Bits that differ are at most the elements that do, also between sketches of two lengths; unlike sets show more."""
+    random.seed(12)
+    rule = Threshold(5, 80, 100)
+    sets, rows = [], []
+    for size, change in [(1, 1), (40, 6), (300, 30), (600, 60), (1150, 100), (1200, 120), (1150, 900), (5000, 4000)]:
+        base = [random.getrandbits(60) for _ in range(size)]
+        more = [random.getrandbits(60) for _ in range(change)]
+        sets += [sorted(base), sorted(base + more)]
+    size = np.array([len(s) for s in sets])
+    grams = np.array([g for s in sets for g in s], np.uint64)
+    sketches = ngram_join._sketches(grams, np.repeat(np.arange(len(sets)), size), size, rule).to_pylist()
+    for k in range(0, len(sets), 2):
+        for x, y in ((k, k + 1), (k + 1, k)):
+            rows.append((x, y, sketches[x], sketches[y], int(abs(size[x] - size[y])), int(rule.differences(size[x] + size[y]))))
+    assert {len(a) == len(b) for _, _, a, b, _, _ in rows} == {True, False}
+    table = spark.createDataFrame(rows, "x int, y int, x_sketch array<long>, y_sketch array<long>, apart int, most int")
+    for row in table.withColumn("bits", ngram_join._apart("x_sketch", "y_sketch")).collect():
+        assert row.bits <= row.apart
+        if row.apart > 2 * row.most and len(row.x_sketch) == len(row.y_sketch):
+            assert row.bits > row.most

@@ -19,7 +19,7 @@ first in the task that reads them and then among tasks, so no group is gathered
 segments is verified first, on the whole texts; groups whose members then stand in one component are done.  While
 the others hold many pairs across components, their members are tied to further centres, one a turn, and verified;
 so a large group of near copies grows together without its pairs being formed.  At last every pair that still stands
-across components is verified, unless size or parity bits prove it unlike.
+across components is verified, unless size, parity bits or sketches prove it unlike.
 
 Documents are known by id.  Rows that repeat an id are versions of one document, which has the links of each of
 them.  Rows with a null id come back with their set size and a null component.  Null texts, empty ones and those
@@ -44,6 +44,8 @@ BAND_RATIO = 1.3
 BLOCK = 128
 #: Words of 64 parity bits kept for each document.
 PARITY = 8
+#: Bits of a document's sketch for each element that an alike set of its size may differ in, rounded up to a power of two.
+SKETCH_BITS = 8
 #: Groups are tied to new centres as long as they hold more open pairs for each member than this, and each turn
 #: leaves no more than half of them open.
 MANY_PAIRS = 4
@@ -181,9 +183,26 @@ def _skips_empty(band: int, m: int, crowd: dict[int, int]) -> bool:
     return crowd.get(band, 0) * np.exp(-load) * BANDS[band] > load + 1
 
 
+_BITS = [f"p{k}" for k in range(PARITY)]
+
+
+def _sketches(grams: np.ndarray, doc: np.ndarray, size: np.ndarray, rule: Threshold) -> pa.ListArray:
+    """Per set its parity bits in a power of two of 64-bit words; halves of a longer sketch fold onto a shorter one."""
+    words = np.maximum(rule.differences(2 * size) * SKETCH_BITS, 64) / 64
+    words = 1 << np.ceil(np.log2(words)).astype(np.int64)
+    ends = np.concatenate(([0], np.cumsum(words)))
+    spot = mix(grams ^ _U(0x9FB21C651E98DF25)) & (64 * words[doc] - 1).astype(np.uint64)
+    odd = np.bincount(64 * ends[doc] + spot.astype(np.int64), minlength=64 * int(ends[-1])).astype(np.uint8) & 1
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.packbits(odd).view(np.int64)))
+
+
 def _measured(docs: DataFrame, rule: Threshold) -> DataFrame:
-    """Per row the id, set size, band, a 128-bit digest of the set and its parity bits."""
-    names = ["id", "n_shingles", "band", "d1", "d2", *[f"p{k}" for k in range(PARITY)]]
+    """Per row the id, set size, band, a 128-bit digest of the set, its parity bits and its sketch.
+
+    Both say of each bit whether an odd number of elements fall on it, so two sets differ in at least as many elements
+    as bits.  Eight words tell small sets apart; the sketch grows with the set.
+    """
+    names = ["id", "n_shingles", "band", "d1", "d2", *_BITS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in chunks(batches, 1):
@@ -195,9 +214,10 @@ def _measured(docs: DataFrame, rule: Threshold) -> DataFrame:
             odd = (np.bincount(doc * 64 * PARITY + bit, minlength=len(texts) * 64 * PARITY) & 1).astype(np.uint8)
             parity = np.packbits(odd.reshape(len(texts), -1), axis=1).view("<i8")
             columns = [size, band_of(np.maximum(size, 1)), *(d.view(np.int64) for d in digests), *np.ascontiguousarray(parity.T)]
-            yield pa.RecordBatch.from_arrays([rows.column(0), *map(pa.array, columns)], names=names)
+            sketch = _sketches(grams, doc, size, rule)
+            yield pa.RecordBatch.from_arrays([rows.column(0), *map(pa.array, columns), sketch], names=[*names, "sketch"])
 
-    shape = ", ".join(["id long", *[f"{c} long" for c in names[1:]]])
+    shape = ", ".join(["id long", *[f"{c} long" for c in names[1:]], "sketch array<long>"])
     return docs.mapInArrow(run, shape)
 
 
@@ -355,9 +375,6 @@ def _labelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs
 
 
-_BITS = [f"p{k}" for k in range(PARITY)]
-
-
 def _once(members: DataFrame) -> DataFrame:
     """The members (key, a) of one of all groups that have the same ones.
 
@@ -379,20 +396,34 @@ def _members(ties: DataFrame, pairs: DataFrame, labels: DataFrame, facts: DataFr
     members = stored(members.select("key", F.explode(F.array("a", "b")).alias("a")).distinct(), "open")
     members = _once(members).withColumn("b", F.col("a"))
     members = _labelled(members, labels).select("key", "a", F.col("la").alias("label"))
-    return stored(members.join(facts, F.col("a") == F.col("id")).select("key", "a", "label", "n_shingles", *_BITS), "members")
+    return stored(members.join(facts, F.col("a") == F.col("id")).select("key", "a", "label", "n_shingles", *_BITS, "sketch"), "members")
 
 
 def _sides(members: DataFrame) -> list[DataFrame]:
     return [members.select("key", *[F.col(c).alias(f"{side}_{c}") for c in members.columns if c != "key"]) for side in "xy"]
 
 
+def _apart(x: str, y: str):
+    """Number of bits that two sketches differ in, the longer one folded if it has twice the words of the other."""
+    def folded(s):
+        half = (F.size(s) / 2).cast("int")
+        return F.zip_with(F.slice(s, F.lit(1), half), F.slice(s, half + 1, half), lambda p, q: p.bitwiseXOR(q))
+
+    def bits(p, q):
+        return F.aggregate(F.zip_with(p, q, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, k: n + k)
+
+    x, y = F.col(x), F.col(y)
+    return (F.when(F.size(x) == F.size(y), bits(x, y)).when(F.size(x) == 2 * F.size(y), bits(folded(x), y))
+            .when(2 * F.size(x) == F.size(y), bits(x, folded(y))).otherwise(0))
+
+
 def _may_link(rule: Threshold):
-    """Whether members x and y stand in different components and may be alike by size and parity."""
+    """Whether members x and y stand in different components and may be alike by size, parity and sketches."""
     total = F.col("x_n_shingles") + F.col("y_n_shingles")
     most = F.floor(total * (rule.den - rule.num) / (rule.den + rule.num))
     apart = sum((F.bit_count(F.col(f"x_{p}").bitwiseXOR(F.col(f"y_{p}"))) for p in _BITS), F.lit(0))
     near = F.greatest("x_n_shingles", "y_n_shingles") * rule.num <= F.least("x_n_shingles", "y_n_shingles") * rule.den
-    return (F.col("x_label") != F.col("y_label")) & near & (apart <= most)
+    return (F.col("x_label") != F.col("y_label")) & near & (apart <= most) & (_apart("x_sketch", "y_sketch") <= most)
 
 
 def _across(members: DataFrame, rule: Threshold) -> DataFrame:
@@ -436,7 +467,7 @@ def join(
     own = measured.filter("id is not null and n_shingles > 0")
     classes = stored(own.groupBy("n_shingles", "d1", "d2").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "classes")
     named = stored(own.join(classes, ["n_shingles", "d1", "d2"]).select(
-        "id", "rep", "n_shingles", "band", *[f"p{k}" for k in range(PARITY)]), "named")
+        "id", "rep", "n_shingles", "band", *_BITS, "sketch"), "named")
 
     facts = named.filter("id = rep").dropDuplicates(["id", "n_shingles", "p0", "p1"])
     crowd = {r["band"]: r["count"] for r in facts.groupBy("band").count().collect()}  # a few dozen rows
