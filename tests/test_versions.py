@@ -161,3 +161,45 @@ def test_parts_in_any_cut_merge_to_the_whole(spark, raw, make, merge):
     whole = make(log.drop("cut"))
     assert sorted(map(str, merged.select(whole.columns).collect())) == sorted(map(str, whole.collect()))
     log.unpersist()
+
+
+def test_months_share_their_jobs(spark, tmp_path, monkeypatch):
+    """Five months take as many writes as one, and give the rows and the turned-away lines of each."""
+    written = []
+    real = sinks.write_table
+    monkeypatch.setattr(sinks, "write_table", lambda df, path, *rest: (written.append(path), real(df, path, *rest)))
+    counts = {}
+    for many in (1, 5):
+        src = tmp_path / f"src{many}"
+        src.mkdir()
+        for k in range(many):
+            write_month(src, f"2019-0{k + 1}", [row(time=f"2019-0{k + 1}-01 09:00:00 UTC", kind="cart", product=n) for n in range(k + 1)] + [row(product="x")])
+        written.clear()
+        star.load_months(spark, str(src), str(tmp_path / f"out{many}"))
+        counts[many] = len(written)
+    assert counts[5] == counts[1]
+    root = str(tmp_path / "out5")
+    kept = star.StarSchema.over(spark, root).fact_events.groupBy("month").count()
+    assert sorted(map(tuple, kept.collect())) == [(f"2019-0{k + 1}", k + 1) for k in range(5)]
+    assert sorted(r.month for r in star.rejected_lines(spark, root).collect()) == [f"2019-0{k + 1}" for k in range(5)]
+
+
+def test_groups_of_months_are_all_loaded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(star, "MONTHS_AT_ONCE", 2)
+    src = tmp_path / "src"
+    src.mkdir()
+    for k in range(5):
+        write_month(src, f"2019-0{k + 1}", [row(time=f"2019-0{k + 1}-01 09:00:00 UTC", session=f"s{k}")] if k != 3 else [])
+    built = star.load_and_model(spark, str(src), str(tmp_path / "out"))
+    assert sorted(r.user_session for r in built.dim_session.collect()) == ["s0", "s1", "s2", "s4"]
+    assert sorted(Versions(spark, str(tmp_path / "out")).current()[1]["events"]) == [f"2019-0{k + 1}" for k in range(5)]
+
+
+def test_one_write_for_all_values(spark, tmp_path):
+    log = spark.range(1000, numPartitions=3).selectExpr("id", "concat('m', id % 2) AS month")
+    sinks.write_csvs(log, "month", str(tmp_path), {"m0": "a.csv", "m1": "b.csv", "m2": "none.csv"})
+    assert sorted(n for n in os.listdir(tmp_path) if not n.startswith(".")) == ["a.csv", "b.csv", "none.csv"]
+    for odd, name in enumerate(("a.csv", "b.csv")):
+        files = sorted(n for n in os.listdir(tmp_path / name) if n.endswith(".csv"))
+        texts = [open(tmp_path / name / n).read().split() for n in files]
+        assert {t[0] for t in texts} == {"id"} and [int(v) for t in texts for v in t[1:]] == list(range(odd, 1000, 2))
