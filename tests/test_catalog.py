@@ -82,3 +82,26 @@ def test_each_part_goes_by_its_own_header(spark, tmp_path):
     write_month(parts, "e", [row()[1:]], header=HEADER[1:])
     with pytest.raises(ValueError, match="lacks the columns"):
         raw_log.load_raw(spark, str(tmp_path))
+
+
+def test_a_line_is_split_once(spark, tmp_path):
+    write_month(tmp_path, "2019-Oct", [row(product="x"), row()])
+    found = raw_log.rejected_lines(spark, str(tmp_path), "2019-Oct")
+    assert found._jdf.queryExecution().optimizedPlan().toString().lower().count("from_csv(") == 1
+    assert [(r.month, r.reason) for r in found.collect()] == [("2019-Oct", "unreadable_number")]
+
+
+def test_all_months_are_named_at_once(spark, tmp_path, monkeypatch):
+    src, root = tmp_path / "src", str(tmp_path / "out")
+    src.mkdir()
+    for month in ("2019-Oct", "2019-Nov", "2019 Dec=5%"):
+        write_month(src, month, [row()])
+    star.load_and_model(spark, str(src), root)
+    said, real = [], type(spark).sql
+    monkeypatch.setattr(type(spark), "sql", lambda self, text, *rest, **more: (said.append(text), real(self, text, *rest, **more))[1])
+    try:
+        catalog.publish(spark, root, "at_once")
+        assert sum(text.startswith("ALTER TABLE") for text in said) == 1
+        assert spark.sql("SELECT month FROM at_once.fact_events").count() == 3
+    finally:
+        spark.sql("DROP DATABASE at_once CASCADE")
