@@ -34,8 +34,8 @@ def publish(spark: SparkSession, root: str, database: str, rules: Rules = Rules(
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in COLLAPSED.fields)
     spark.sql(f"DROP TABLE IF EXISTS {events}")
     spark.sql(f"CREATE TABLE {events} ({columns}) USING parquet PARTITIONED BY (month) LOCATION {_quoted(f'{root}/collapsed_events')}")
-    for month, folder in sorted(state["events"].items()):
-        spark.sql(f"ALTER TABLE {events} ADD IF NOT EXISTS PARTITION (month = {_quoted(month)}) LOCATION {_quoted(f'{root}/{folder}')}")
+    parts = [f"PARTITION (month = {_quoted(m)}) LOCATION {_quoted(f'{root}/{folder}')}" for m, folder in sorted(state["events"].items())]
+    spark.sql(f"ALTER TABLE {events} ADD IF NOT EXISTS {' '.join(parts)}")
     kept = ", ".join(f"`{f.name}`" for f in COLLAPSED.fields if f.name not in ("copies", "fault"))
     spark.sql(f"CREATE OR REPLACE VIEW `{database}`.`fact_events` AS SELECT {kept} FROM {events} WHERE {_CLEAN}")
 
