@@ -50,7 +50,7 @@ SKETCH_BITS = 8
 #: leaves no more than half of them open.
 MANY_PAIRS = 4
 #: A task ties its own entries once this many have come together (16 bytes each).
-TASK_ENTRIES = 2_000_000
+TASK_ENTRIES = 250_000
 
 _U = np.uint64
 
