@@ -22,7 +22,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from trolley.llm._words import chunks
+from trolley.llm._store import small_batches
+from trolley.llm._words import chunks, give_back
 
 #: Distinct pre-tokens, and pieces, that a task remembers between chunks; beyond it they are met anew.
 REMEMBERED = 100_000
@@ -187,6 +188,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_column: str = "doc_id",
 
     ``path`` names a rank file, read once by the driver; ``pattern`` splits texts into pre-tokens.
     """
+    small_batches(docs.sparkSession)
     parts = _tool(path, pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,6 +204,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_column: str = "doc_id",
 
 def decode(encoded: DataFrame, path: str, pattern: str, id_column: str = "doc_id", ids_column: str = "ids") -> DataFrame:
     """``id_column`` and the bytes that each list of ids stands for (null ids: no bytes)."""
+    small_batches(encoded.sparkSession)
     tokens, _, _ = _tool(path, pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,6 +228,7 @@ def round_trip(
     Columns: ``keep`` (doc_id), n_tokens, ids_sha256 (of the ids as little-endian unsigned 32-bit integers),
     decoded_sha256 and, if asked for, ids.
     """
+    small_batches(docs.sparkSession)
     parts = _tool(path, pattern)
     keep = keep or ["doc_id"]
     rows = docs.select(docs[text_column].alias("_llm_text"), *[docs[c] for c in keep])
@@ -243,6 +247,8 @@ def round_trip(
             if with_ids:
                 columns.append(_id_lists(packed))
             yield pa.RecordBatch.from_arrays(columns, names=names)
+        del bpe
+        give_back()
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
     shape = f"{kept}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids

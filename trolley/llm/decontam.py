@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from trolley.llm._store import small_batches
 from trolley.llm._words import Words, chunks, fold, look_up, plain_words
 
 #: With longer n-grams an item whose every third word is replaced (share 0.5) would hold none.
@@ -40,7 +41,7 @@ LEAST_SHARE = 0.4
 #: Cells of one batch of alignments, which bounds its memory.
 BATCH_CELLS = 1 << 21
 #: Seed hits and words of candidates that are looked at together, which bounds their memory.
-BATCH_HITS = 1 << 20
+BATCH_HITS = 1 << 17
 
 
 #: UTF-8 bytes of the scripts without spaces: Thai, Lao; Burmese, Khmer; kana, ideographs in three places.
@@ -265,6 +266,7 @@ def index(
     item_text: str = "text",
 ) -> list[Benchmark]:
     """The benchmark in blocks, each with its seeds chosen by counts over all ``docs``."""
+    small_batches(docs.sparkSession)
     items = benchmark.select(benchmark[item_column].alias("id"), benchmark[item_text].alias("text"))
     items = items.filter(F.col("text").isNotNull())
     size = items.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("b")).first()
@@ -281,6 +283,7 @@ def contaminated(
     docs: DataFrame, blocks: list[Benchmark], id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
     """One row for each document row and item found in it: ``id_column``, item_id and share of the perfect score."""
+    small_batches(docs.sparkSession)
     rows = docs.select(docs[id_column].alias("id"), docs[text_column].alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
 
@@ -303,6 +306,7 @@ def contaminated(
 
 def clean(docs: DataFrame, blocks: list[Benchmark], text_column: str = "text") -> DataFrame:
     """The rows that hold no item, with all their columns."""
+    small_batches(docs.sparkSession)
     text = docs.columns.index(text_column)
 
     def drop(bench: Benchmark):

@@ -21,6 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from trolley.llm._store import small_batches
 from trolley.llm._words import CHUNK_BYTES, LOWER, chunks
 
 UNKNOWN = "und"
@@ -228,6 +229,7 @@ def _scored(model: LanguageModel, text: int):
 
 def predict(docs: DataFrame, model: LanguageModel, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``id_column``, lang_pred, score and rejected for every row; one pass, no shuffle."""
+    small_batches(docs.sparkSession)
     scored = _scored(model, 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,6 +245,7 @@ def predict(docs: DataFrame, model: LanguageModel, id_column: str = "doc_id", te
 
 def accepted(docs: DataFrame, model: LanguageModel, text_column: str = "text") -> DataFrame:
     """The rows that are not rejected, with all their columns."""
+    small_batches(docs.sparkSession)
     scored = _scored(model, docs.columns.index(text_column))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from trolley.llm._store import by_ids, stored
-from trolley.llm._words import Words, chunks, fold, mix
+from trolley.llm._words import Words, chunks, fold, give_back, mix
 
 #: Upper ends of size bands grow by this factor.
 BAND_RATIO = 1.3
@@ -281,6 +281,8 @@ def _index(docs: DataFrame, rule: Threshold, crowd: dict[int, int]) -> DataFrame
             key, doc, begin = _tied(np.concatenate(keys), np.concatenate(docs_))
             more = doc != doc[begin]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key[more], doc[begin][more], doc[more])], names=names[1:])
+            del key, doc, begin, more, keys, docs_
+            give_back()
 
     entered = docs.mapInArrow(enter, "deal long, key long, a long, b long")
     return entered.repartition("deal").mapInArrow(meet, "key long, a long, b long")
